@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import brown, quality
+from corvane.llm import bpe, brown, packing, quality, toxicity
 from corvane.llm.minhash import near_duplicates
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies: in the folder of the ``public_tokenizers`` package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,17 +24,38 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    field = toxicity.learn(docs, table(spark, sf_dir, "labels"), usable=F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
+    out = toxicity.scored(docs, field)
+    return out.select("doc_id", F.coalesce(third, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"), "span_starts", "span_ends")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packing.packed(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.coded(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scores(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_toxicity": op2_toxicity,
+    "op5_packing": op5_packing,
     "op6_quality": op6_quality,
+    "op8_bpe": op8_bpe,
     "op9_brown": op9_brown,
 }
 
