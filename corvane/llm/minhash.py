@@ -11,8 +11,8 @@ Shape of the job
     3. classes that share a band value form a bucket.  Rather than all pairs of a bucket, rounds of
        stars are verified: the member that meets most others against the rest; whoever is then in the
        same component needs no further check.  What stays unresolved after ``STAR_ROUNDS`` rounds is
-       compared exactly, block by block, on signatures, and only pairs whose signatures agree well
-       enough go on to the full sets;
+       compared block by block: every pair's signatures, and the full sets of pairs whose signatures
+       agree well enough and that don't hang together yet;
     4. components of the confirmed links.
 """
 
@@ -34,9 +34,9 @@ PERMUTATIONS = 32
 BAND_PERMUTATIONS = 2
 BANDS = PERMUTATIONS // BAND_PERMUTATIONS
 STAR_ROUNDS = 3
-BLOCK = 1024
-#: A signature of 64 values estimates a similarity of 0.85 with a deviation of 0.045; pairs are let through down to five of these.
-SLACK = 0.22
+BLOCK = 512
+#: A signature of 64 values estimates a similarity of 0.85 with a deviation of 0.045; pairs are let through down to four of these.
+SLACK = 0.18
 #: Ids that may be broadcast (8 bytes each); beyond it the candidates' texts are found by a shuffled join.
 BROADCAST_IDS = 2_000_000
 
@@ -128,44 +128,65 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
+def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two non-empty sets have a similarity of at least ``percent`` %."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = _common(x, y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2), batch.column(3)
             keep = []
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = _common(x, y)
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if _links(np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64), percent):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     return confirm
 
 
-def _block_pairs(least: float):
-    """Groups of (key, i, j): all pairs between block i and block j whose signatures agree in a share of at least ``least`` and whose components differ."""
+def _block_links(percent: int):
+    """Groups of (key, i, j): a spanning forest of the links between block i and block j, beyond those known.
 
-    def pairs(table: pa.Table) -> pa.Table:
+    Signatures pick the pairs that may link; the likeliest come first, a pair that already hangs together
+    is skipped, and every other is confirmed on the full sets before it counts.
+    """
+
+    def links(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        side = np.asarray(table.column("block"))
-        ids, comp = np.asarray(table.column("id")), np.asarray(table.column("component"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+        side, ids = np.asarray(table.column("block")), np.asarray(table.column("id"))
+        raw = table.column("shingles").combine_chunks()
+        sets = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in range(len(ids))]
+        sig = signatures(sets)
+        _, root = np.unique(np.asarray(table.column("component")), return_inverse=True)
+        parent = list(range(int(root.max()) + 1))
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         first = np.flatnonzero(side == i)
         second = first if i == j else np.flatnonzero(side == j)
-        need = int(np.ceil(least * sig.shape[1]))
+        need = int(np.ceil((percent / 100 - SLACK) * sig.shape[1]))
         a, b = [], []
         for x in first:
-            close = second[(np.count_nonzero(sig[second] == sig[x], axis=1) >= need) & (comp[second] != comp[x])]
-            close = close[ids[close] > ids[x]] if i == j else close
-            a.append(np.full(len(close), ids[x]))
-            b.append(ids[close])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            agree = np.count_nonzero(sig[second] == sig[x], axis=1)
+            close = np.flatnonzero((agree >= need) & (root[second] != root[x]) & ((ids[second] > ids[x]) if i == j else True))
+            for y in second[close[np.argsort(-agree[close], kind="stable")]]:
+                p, q = top(root[x]), top(root[y])
+                if p != q and _links(sets[x], sets[y], percent):
+                    parent[max(p, q)] = min(p, q)
+                    a.append(min(ids[x], ids[y]))
+                    b.append(max(ids[x], ids[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return pairs
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -231,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = links.union(confirmed(pairs, f"links-{turn}"))
             left = left.filter("id <> center").drop("center", "size")
         else:
-            links = links.union(confirmed(_rest(left, reps, percent, scratch), f"links-{turn}"))
+            links = links.union(_rest(left, sets, percent, scratch))
         comps = connected_components(links, scratch, f"cc-{turn}")
     rows = member.select("id", "n", "rep")
     if comps is not None:
@@ -244,11 +265,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def _rest(left: DataFrame, reps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Candidate pairs of the buckets that stars didn't resolve: every pair of different components, compared on signatures in blocks."""
+def _rest(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links of the buckets that stars didn't resolve: every pair of different components, in pairs of blocks of about ``BLOCK`` members."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = left.join(reps, "id").select("key", "id", "component", "sig", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    dealt = left.join(sets, "id").select("key", "id", "component", "shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
     low = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    groups = low.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sig")
-    out = groups.groupBy("key", "i", "j").applyInArrow(_block_pairs(percent / 100 - SLACK), "a long, b long")
-    return scratch.table("rest", out.distinct())
+    groups = low.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "shingles")
+    return scratch.table("rest", groups.groupBy("key", "i", "j").applyInArrow(_block_links(percent), "a long, b long"))
