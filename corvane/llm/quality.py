@@ -154,48 +154,69 @@ def fences(sketch: DataFrame, *by: str) -> DataFrame:
     return quart.groupBy(*by).agg(F.max("size").alias("size"), *out)
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Counts, base rules and verdict for each row.
+LIMITS = tuple(f"{m.name}_{end}" for m in MEASURES for end in ("hi", "lo"))
 
-    Returns ``(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    n_lines, n_bangs, n_capitals)`` and the columns ``keep`` (which may not bear one of these names), one row for each input row.  ``base_failed``: fewer than 50 words, or more than
-    half of the words in repeated 3-word windows.  ``kept``: not ``base_failed`` and every measure
-    within the fence of its group.  A null or empty text has no words and fails.  A null language or
-    source is a group of its own.  Sketches hold only texts that pass the base rules; if there are
-    none, the base rules decide alone.  Repeated rows count and come back as often; an empty table
-    gives an empty table.
-    """
-    scratch = Scratch(docs.sparkSession, "quality")
-    names = [id_col, *keep]
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(names)), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    counts = measured(rows, "text", [*(f"_k{i}" for i in range(len(names))), "lang", "source"])
+
+def _rated(counts: DataFrame) -> DataFrame:
+    """Adds ``base_failed`` and the rates."""
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    counts = counts.withColumn("base_failed", failed).withColumns({m.name: F.expr(f"try_divide({m.expr.replace(' / ', ', ')})") for m in MEASURES})
-    counts = scratch.table("counts", counts)
+    return counts.withColumn("base_failed", failed).withColumns({m.name: F.expr(f"try_divide({m.expr.replace(' / ', ', ')})") for m in MEASURES})
 
-    own = scratch.table("sketches", sketches(counts.filter("NOT base_failed")))
+
+def _limits(rated: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, float]]:
+    """The fences of every language and source, and those of everything."""
+    own = scratch.table("sketches", sketches(rated.filter("NOT base_failed")))
     by_lang = merged(own, "lang")
     world = fences(merged(by_lang)).first()
-    lines = [f"{m.name}_{end}" for m in MEASURES for end in ("hi", "lo")]
-    everywhere = {c: world[c] if world and world[c] is not None else (math.inf if c.endswith("hi") else -math.inf) for c in lines}
-    langs = fences(by_lang, "lang").select(F.col("lang").alias("lang2"), F.col("size").alias("size2"), *(F.col(c).alias(f"{c}2") for c in lines))
+    everywhere = {c: world[c] if world and world[c] is not None else (math.inf if c.endswith("hi") else -math.inf) for c in LIMITS}
+    langs = fences(by_lang, "lang").select(F.col("lang").alias("lang2"), F.col("size").alias("size2"), *(F.col(c).alias(f"{c}2") for c in LIMITS))
     near = fences(own, "lang", "source").join(langs, F.col("lang").eqNullSafe(F.col("lang2")), "left")
-    chosen = {c: F.when(F.col("size") >= GROUP, F.col(c)).when(F.col("size2") >= GROUP, F.col(f"{c}2")).otherwise(F.lit(everywhere[c])) for c in lines}
-    limits = scratch.table("limits", near.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(v.alias(c) for c, v in chosen.items())))
+    chosen = {c: F.when(F.col("size") >= GROUP, F.col(c)).when(F.col("size2") >= GROUP, F.col(f"{c}2")).otherwise(F.lit(everywhere[c])) for c in LIMITS}
+    return scratch.table("limits", near.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(v.alias(c) for c, v in chosen.items()))), everywhere
+
 
+def _verdict(rated: DataFrame, limits: DataFrame, everywhere: dict[str, float]) -> DataFrame:
+    """Joins the fences and adds ``kept``."""
     within = F.lit(True)
     for m in MEASURES:
-        hi, lo = (F.coalesce(f"{m.name}_{end}", F.lit(everywhere[f"{m.name}_{end}"])) for end in ("hi", "lo"))
+        hi, lo = (F.coalesce(c, F.lit(everywhere[c])) for c in (f"{m.name}_hi", f"{m.name}_lo"))
         within = within & F.coalesce((F.col(m.name) <= hi) & (F.col(m.name) >= lo), F.lit(True))
     on = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
-    out = counts.join(limits, on, "left").withColumn("kept", ~F.col("base_failed") & within)
-    first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bangs", "n_capitals"]
-    return out.select(F.col("_k0").alias(id_col), *first, *(F.col(f"_k{i + 1}").alias(c) for i, c in enumerate(keep)))
+    return rated.join(limits, on, "left").withColumn("kept", ~F.col("base_failed") & within)
 
 
-def kept_documents(docs: DataFrame, **columns: str) -> DataFrame:
-    """The input's columns, only of rows that ``judged`` keeps.  The text rides along, so a repeated id decides nothing."""
+def _rows(docs: DataFrame, keep: list[str], text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """Counts of each row, with the columns ``keep`` as ``_k0``, ``_k1`` and so on."""
+    own = [f"_k{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(own, keep, strict=True)), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    return _rated(measured(rows, "text", [*own, "lang", "source"]))
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """Counts, base rules and verdict for each row.
+
+    Returns ``(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    n_lines, n_bangs, n_capitals)``, one row for each input row; other columns are ignored.  ``base_failed``: fewer than 50 words, or more than
+    half of the words in repeated 3-word windows.  ``kept``: not ``base_failed`` and every measure
+    within the fence of its group.  A null or empty text has no words and fails.  A null language or
+    source is a group of its own.  Sketches hold only texts that pass the base rules; if there are
+    none, the base rules decide alone.  Repeated rows count and come back as often; an empty table
+    gives an empty table.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    counts = scratch.table("counts", _rows(docs, [id_col], text_col, lang_col, source_col))
+    out = _verdict(counts, *_limits(counts, scratch))
+    return out.select(F.col("_k0").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bangs", "n_capitals")
+
+
+def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The input's columns, of the rows that ``judged`` keeps.
+
+    Texts are measured twice, for the sketches and beside their own row for the verdict, so that no text is
+    shuffled or stored, and a repeated id decides nothing.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
     names = docs.columns
-    tagged = docs.select(*(F.col(f"`{c}`") for c in names), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
-    out = judged(tagged, keep=("_row",), **columns)
-    return out.filter("kept").select(*(F.col(f"_row.`{c}`").alias(c) for c in names))
+    limits = _limits(_rows(docs, [], text_col, lang_col, source_col), scratch)
+    out = _verdict(_rows(docs, names, text_col, lang_col, source_col), *limits)
+    return out.filter("kept").select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(names)))
