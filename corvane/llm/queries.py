@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, brown, collisions, packing, pii, quality, toxicity
+from corvane.llm import bpe, brown, chat, collisions, licenses, packing, pii, quality, toxicity
 from corvane.llm.minhash import near_duplicates
 
 
@@ -32,6 +32,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(third, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"), "span_starts", "span_ends")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op4_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -62,15 +66,30 @@ def op9_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scores(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("places")
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
+    "op3_chat": op3_chat,
     "op4_collisions": op4_collisions,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_brown": op9_brown,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+#: ``op3_chat``: turns of the tables are plain text, so each is one message; calls and results are covered by tests.
+ORACLES: dict[str, str] = {
+    "op3_chat": """
+SELECT conv_id, turn, 0 AS idx, 'message' AS kind, role, NULL::VARCHAR AS call_id, NULL::BOOLEAN AS linked, true AS valid, '' AS problems,
+  turn AS at, 0 AS level, 0 AS step,
+  '{' || concat_ws(',', '"content":' || to_json(text)::VARCHAR, '"role":' || to_json(role)::VARCHAR) || '}' AS json
+FROM conversations
+""",
+    "op10_licenses": licenses.oracle(),
+}
