@@ -265,6 +265,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """The input's columns, of one document of each group: the one of smallest id, once even if its row repeats.
+
+    Documents without shingles and rows with a null id belong to no group and stay.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash-kept")
+    found = near_duplicates(docs, id_col, text_col, percent).filter(f"`{id_col}` IS NOT NULL")
+    found = scratch.table("found", found.groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
+
+    def ids(condition: str, name: str) -> DataFrame:
+        some = scratch.table(name, found.filter(condition).select("_id"))
+        return F.broadcast(some) if some.count() <= BROADCAST_IDS else some
+
+    here = docs[id_col].cast("long") == F.col("_id")
+    single = docs.join(ids("NOT kept OR rows > 1", "others"), here, "left_anti")
+    if found.filter("kept AND rows > 1").isEmpty():
+        return single
+    return single.unionByName(docs.join(ids("kept AND rows > 1", "repeated"), here, "left_semi").dropDuplicates([id_col]))
+
+
 def _rest(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links of the buckets that stars didn't resolve: every pair of different components, in pairs of blocks of about ``BLOCK`` members."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")

@@ -314,3 +314,10 @@ def scored(docs: DataFrame, field: Field, text_col: str = "text", keep: tuple[st
     fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double", "span_starts array<long>", "span_ends array<long>"])
     out = rows.mapInArrow(_scored(shared), fields)
     return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "score", "span_starts", "span_ends")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, usable: Column | None = None, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+    """The input's columns, of the rows whose score stays below ``cutoff``; the field learns from the labelled rows of the input."""
+    field = learn(docs, labels, text_col=text_col, usable=usable)
+    names = tuple(docs.columns)
+    return scored(docs, field, text_col, names).filter(F.col("score") < cutoff).select(*(F.col(f"`{c}`") for c in names))
