@@ -1,17 +1,15 @@
-"""Intermediate tables in the folder that the cluster shares, and the shipping of this package to executors."""
+"""Intermediate tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+from corvane.shipping import ship
+
 _left: list[tuple[SparkSession, str]] = []
 
 
@@ -24,21 +22,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package even where it isn't installed: add it as a zip, once an application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[2]
-    folder = tempfile.mkdtemp(prefix="corvane-")
-    target = os.path.join(folder, "corvane_package.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted((root / "corvane").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
-
-
 class Scratch:
     """Named Parquet tables of one run, under a folder of its own in the shared folder.
 
