@@ -123,22 +123,58 @@ def _curve_inputs(p: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return np.column_stack((np.ones(len(top)), top, np.log1p(K.sums_by_text(p, ptr))))
 
 
-def seeds(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Feature hashes chosen by the greedy cover; ``docs`` holds the distinct features of each document."""
-    n_tox = int(toxic.sum())
-    if not n_tox or n_tox == len(toxic):
-        return np.zeros(0, np.uint64)
-    good = np.concatenate([np.zeros(0, np.uint64), *(d for d, y in zip(docs, toxic, strict=True) if not y)])
-    bad = [d for d, y in zip(docs, toxic, strict=True) if y]
-    flat, owner = np.concatenate(bad), np.repeat(np.arange(len(bad)), [len(d) for d in bad])
-    keys, inv, n = np.unique(flat, return_inverse=True, return_counts=True)
-    ck, cn = np.unique(good, return_counts=True)
-    at = np.minimum(np.searchsorted(ck, keys), max(len(ck) - 1, 0))
-    clean = np.where(ck[at] == keys, cn[at], 0) if len(ck) else np.zeros(len(keys))
-    least = max(SEED_DOCS, SEED_SHARE * n_tox)
-    rate = n / n_tox
-    may = (n >= least) & (rate / (rate + clean / (len(toxic) - n_tox)) >= PURITY)
-    flat, owner, inv = flat[may[inv]], owner[may[inv]], inv[may[inv]]
+def _features(texts: pa.Array) -> Iterator[tuple[int, K.Words, np.ndarray]]:
+    """Runs of texts with the index of their first text, so that no more than one run's features are held."""
+    for run in K.runs(texts):
+        w = K.words(run, K.NOT_ALNUM)
+        yield run.first, w, features(w)
+
+
+def _distinct(w: K.Words, f: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs of a run."""
+    doc, flat = np.repeat(w.doc() + first, f.shape[1]), f.ravel()
+    doc, flat = doc[flat != 0], flat[flat != 0]
+    order = np.lexsort((flat, doc))
+    doc, flat = doc[order], flat[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], flat[new]
+
+
+def _often(texts: pa.Array, least: float) -> np.ndarray:
+    """Sorted features found in at least so many texts."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for first, w, f in _features(texts):
+        keys, inv = np.unique(np.concatenate((keys, _distinct(w, f, first)[1])), return_inverse=True)
+        counts = np.bincount(inv, np.concatenate((counts, np.ones(len(inv) - len(counts)))), len(keys))
+    return keys[counts >= least]
+
+
+def _pairs(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a text and the index of one of the sorted features ``known``."""
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, w, f in _features(texts):
+        doc, flat = _distinct(w, f, first)
+        at = np.searchsorted(known, flat)
+        at[at == len(known)] = 0
+        keep = known[at] == flat
+        owners.append(doc[keep])
+        found.append(at[keep])
+    return np.concatenate(owners), np.concatenate(found)
+
+
+def seeds(bad: pa.Array, good: pa.Array) -> np.ndarray:
+    """Feature hashes that the greedy cover chooses, from texts labelled toxic and clean."""
+    least = max(SEED_DOCS, SEED_SHARE * len(bad))
+    keys = _often(bad, least)
+    if not len(keys):
+        return keys
+    owner, inv = _pairs(bad, keys)
+    n = np.bincount(inv, minlength=len(keys))
+    clean = np.bincount(_pairs(good, keys)[1], minlength=len(keys))
+    rate = n / len(bad)
+    may = rate / (rate + clean / max(len(good), 1)) >= PURITY
+    owner, inv = owner[may[inv]], inv[may[inv]]
     left, chosen = np.ones(len(bad), bool), []
     while len(inv):
         gain = np.bincount(inv, minlength=len(keys))
@@ -148,41 +184,38 @@ def seeds(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
         chosen.append(keys[best])
         left[owner[inv == best]] = False
         stay = left[owner]
-        flat, owner, inv = flat[stay], owner[stay], inv[stay]
-    return np.array(chosen, np.uint64)
+        owner, inv = owner[stay], inv[stay]
+    return np.array(sorted(chosen), np.uint64)
 
 
-def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Field:
+def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Field:
     """A field from labelled documents; ``prior`` is the share of toxic ones among all that are labelled."""
     empty = Field(np.zeros(0, np.uint64), np.zeros(0), -20.0, np.zeros((2, 2)), np.array([np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), 0, 0]))
     if not len(texts) or toxic.all() or not toxic.any():
         return empty
-    found = []
-    for run in K.runs(pa.array(texts, pa.string())):
-        w = K.words(run, K.NOT_ALNUM)
-        f = features(w)
-        found += [f[w.ptr[i] : w.ptr[i + 1]] for i in range(len(run))]
-    distinct = [np.setdiff1d(f.ravel(), np.zeros(1, np.uint64)) for f in found]
-    seed = np.sort(seeds(distinct, toxic))
+    seed = seeds(texts.filter(pa.array(toxic)), texts.filter(pa.array(~toxic)))
     if not len(seed):
         return empty
 
     rng = np.random.default_rng(7)
     span = 2 * AROUND + 1
-    rows, marks = [], []
-    for f, y in zip(found, toxic, strict=True):
-        if not len(f):
-            continue
-        mark = np.isin(f, seed).any(1) & bool(y)
-        centers = np.flatnonzero(mark)[:4] if y else np.zeros(0, int)
-        centers = np.append(centers, rng.integers(0, len(f), 2))
-        for c in centers:
-            at = np.arange(c - AROUND, c + AROUND + 1)
-            ok = (at >= 0) & (at < len(f))
-            row, m = np.zeros((span, len(KINDS)), np.uint64), np.full(span, -1, np.int8)
-            row[ok], m[ok] = f[at[ok]], mark[at[ok]]
-            rows.append(row)
-            marks.append(m)
+    rows, marks, beside = [], [], [np.zeros(0, np.uint64)]
+    for first, w, f in _features(texts):
+        hits = np.isin(f, seed).any(1)
+        beside.append(np.unique(f[hits]))
+        for i in range(len(w.ptr) - 1):
+            a, b = w.ptr[i], w.ptr[i + 1]
+            if a == b:
+                continue
+            mark = hits[a:b] & bool(toxic[first + i])
+            for c in np.append(np.flatnonzero(mark)[:4], rng.integers(0, b - a, 2)):
+                at = np.arange(c - AROUND, c + AROUND + 1)
+                ok = (at >= 0) & (at < b - a)
+                row, m = np.zeros((span, len(KINDS)), np.uint64), np.full(span, -1, np.int8)
+                row[ok], m[ok] = f[a + at[ok]], mark[at[ok]]
+                rows.append(row)
+                marks.append(m)
+    may = np.unique(np.concatenate(beside))
     x, y = np.array(rows), np.array(marks)
     keys, inv = np.unique(x.ravel(), return_inverse=True)
     inv = inv.reshape(x.shape)
@@ -208,15 +241,10 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Field:
         weights += 0.5 * grad / np.sqrt(g2[0])
         bias += 0.5 * gb / np.sqrt(g2[1])
         chain += 0.5 * gc / np.sqrt(g2[2])
-    # Beyond what the sample labels toxic, a feature speaks for toxicity only if the cover chose it.
-    keep = (np.abs(weights) > 0.05) & ~zero & ((weights < 0) | np.isin(keys, np.concatenate([f[np.isin(f, seed).any(1)].ravel() for f in found])))
+    # Beyond what the sample labels toxic, a feature speaks for toxicity only beside one that the cover chose.
+    keep = (np.abs(weights) > 0.05) & ~zero & ((weights < 0) | np.isin(keys, may))
     field = Field(keys[keep], weights[keep], float(bias), chain, empty.curve)
-
-    inputs = []
-    for run in K.runs(pa.array(texts, pa.string())):
-        w = K.words(run, K.NOT_ALNUM)
-        inputs.append(_curve_inputs(marginals(field, field.emissions(features(w)), w.ptr), w.ptr))
-    z = np.vstack(inputs)
+    z = np.vstack([_curve_inputs(marginals(field, field.emissions(f), w.ptr), w.ptr) for _, w, f in _features(texts)])
     share = toxic.mean()
     weight = np.where(toxic, prior / share, (1 - prior) / (1 - share))
     curve = np.zeros(3)
@@ -300,7 +328,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = scratch.table("chosen", side("y > 0").union(side("y <= 0")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
     rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "y").toArrow().sort_by("id")
-    return fit(rows.column("text").to_pylist(), np.asarray(rows.column("y")) > 0, prior)
+    return fit(rows.column("text").combine_chunks(), np.asarray(rows.column("y")) > 0, prior)
 
 
 def scored(docs: DataFrame, field: Field, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
