@@ -63,7 +63,7 @@ def slices(units: DataFrame, origin: Column, direction: str = "backward", kind:
     fold = backward if direction == "backward" else forward
     out = units.filter(F.size(s) > 0).withColumn("_at", origin.cast("int"))
     out = out.withColumn("_taken", fold(s, F.col("_at"), max_hops))
-    nodes = F.transform("_taken", lambda i: F.struct(F.concat(F.lit("n"), i.cast("string")).alias("id"), F.get(s, i)["range"].alias("range"), F.get(s, i)["label"].alias("label")))
+    nodes = F.transform("_taken", lambda i, k: F.struct(k.alias("id"), F.get(s, i)["range"].alias("range"), F.get(s, i)["label"].alias("label")))
     out = out.withColumn("nodes", nodes)
     pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size("nodes") - 1), lambda i: i > 0), lambda i: F.struct(F.get(F.col("nodes"), i - 1)["id"].alias("from"), F.get(F.col("nodes"), i)["id"].alias("to"), F.lit("data").alias("kind")))
     cut = F.lit(kind == "full") | (F.size("nodes") >= max(max_hops, 1))
