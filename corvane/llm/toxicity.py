@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from corvane.llm import kernel as K
 from corvane.llm.scratch import Scratch
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 2500
 TRAIN_BYTES = 20_000
 CUTOFF = 0.7
 SPAN = 0.5
