@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,12 +60,14 @@ def matches(texts: DataFrame, text: str, rules: tuple[Rule, ...] = RULES) -> Dat
 
 def hits_by_file(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``files(path, language, source)`` → every occurrence of the language's pattern rules with its line (from 0)."""
-    each = []
-    for r in rules:
-        if r.pattern:
-            begin = F.regexp_extract_all("source", F.lit(f"({r.pattern})"), 1)
-            langs = F.col("language").isin(*r.languages)
-            each.append(F.when(langs, F.transform(F.array_distinct(begin), lambda t, r=r: F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.cwe).alias("cwe"), t.alias("text")))).otherwise(F.array()))
+
+    def occurrences(r: Rule) -> Column:
+        """Distinct texts that the rule's pattern matches, as structs."""
+        texts = F.array_distinct(F.regexp_extract_all("source", F.lit(f"({r.pattern})"), 1))
+        struct = lambda t: F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.cwe).cast("string").alias("cwe"), t.alias("text"))
+        return F.when(F.col("language").isin(*r.languages), F.transform(texts, struct)).otherwise(F.array())
+
+    each = [occurrences(r) for r in rules if r.pattern]
     rows = files.select("path", "source", F.explode(F.concat(*each)).alias("h")).select("path", "source", "h.*")
     rows = rows.withColumn("pieces", F.split("source", F.concat(F.lit("\\Q"), "text", F.lit("\\E"))))
     starts = F.transform(F.slice("pieces", F.lit(1), F.size("pieces") - 1), lambda p, i: i)
