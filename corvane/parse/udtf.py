@@ -21,16 +21,14 @@ PARSED = (
 
 
 def parse(language: str, source: str):
-    """The front end's result for one file; an empty one for an unknown language."""
+    """The front end's result for one file; an empty one for an unknown language, or brackets nested thousands deep."""
     from corvane.parse import model, python_units, rust_units, ts_units
 
-    if language == "python":
-        return python_units.parse(source)
-    if language in ("typescript", "tsx"):
-        return ts_units.parse(source)
-    if language == "rust":
-        return rust_units.parse(source)
-    return model.Parsed()
+    ends = {"python": python_units.parse, "typescript": ts_units.parse, "tsx": ts_units.parse, "rust": rust_units.parse}
+    try:
+        return ends[language](source) if language in ends else model.Parsed()
+    except RecursionError:
+        return model.Parsed()
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
