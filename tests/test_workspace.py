@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tree_of
+from tests.conftest import tree_of
 from corvane.plans import store
 from corvane.plans.workspace import CrossFileUnavailable, Semantics, UnknownSymbol, Workspace
 from corvane.sources import tree
