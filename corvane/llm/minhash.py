@@ -34,7 +34,7 @@ PERMUTATIONS = 32
 BAND_PERMUTATIONS = 2
 BANDS = PERMUTATIONS // BAND_PERMUTATIONS
 STAR_ROUNDS = 3
-BLOCK = 512
+BLOCK = 256
 #: A signature of 64 values estimates a similarity of 0.85 with a deviation of 0.045; pairs are let through down to four of these.
 SLACK = 0.18
 #: Ids that may be broadcast (8 bytes each); beyond it the candidates' texts are found by a shuffled join.
