@@ -69,3 +69,8 @@ def rendered(facts_: DataFrame, note: str = "(rendered from facts alone)") -> Da
     listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda f: F.concat(F.lit("- "), f["content"]))
     out = facts_.groupBy("symbol").agg(listed.alias("_lines"))
     return out.select("symbol", F.array_join(F.concat(F.array(F.concat("symbol", F.lit(":"))), F.col("_lines"), F.array(F.lit(note))), "\n").alias("text"))
+
+
+def shown(facts_: Column, limit: int = 8) -> Column:
+    """The first facts of an array and how many more there are."""
+    return F.struct(F.slice(facts_, 1, limit).alias("first"), F.greatest(F.size(facts_) - limit, F.lit(0)).alias("more"))

@@ -6,7 +6,7 @@ A box holds one workspace; boxes are independent and run in parallel.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,24 @@ def squarify(areas: list[float], x: float, y: float, w: float, h: float) -> list
     return out
 
 
+def file_leaves(scores: DataFrame) -> DataFrame:
+    """Files as leaves: ``(label, area, bucket, composite)``, with their lines as area, 1 at least."""
+    return scores.select(F.col("file").alias("label"), F.greatest("loc", F.lit(1)).alias("area"), "bucket", "composite")
+
+
+def symbol_leaves(scores: DataFrame) -> DataFrame:
+    """Functions as leaves: the label is the last part of the symbol, the area its lines."""
+    name = F.regexp_replace(F.substring_index("symbol_id", " ", -1), r"#\.$", "")
+    loc = F.col("range.end.line") - F.col("range.start.line") + 1
+    return scores.select(name.alias("label"), F.greatest(loc, F.lit(1)).alias("area"), "bucket", "composite")
+
+
+def shortened(label: Column, n: int) -> Column:
+    """At most ``n`` characters: the tail, after an ellipsis."""
+    tail = F.concat(F.lit("…"), F.right(label, F.lit(max(1, n - 1)))) if n > 1 else F.lit("…")
+    return F.when(F.char_length(label) <= n, label).otherwise(tail)
+
+
 def treemap(leaves: DataFrame, box: str, label: str, area: str, width: float = 1000.0, height: float = 600.0) -> DataFrame:
     """``(box, label, area, x, y, w, h)``; areas below 1 count as 1, larger ones come first, ties by label."""
     rows = leaves.select(F.col(box).alias("box"), F.col(label).cast("string").alias("label"), F.greatest(F.col(area).cast("double"), F.lit(1.0)).alias("area"))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane import schemas
+from corvane.operators.keys import rank_of
+from corvane.operators.latest import strongest
+
 _FIELDS = ("kind", "title", "body", "location", "symbol", "severity", "author", "ts")
 
 
@@ -41,3 +48,52 @@ def badge(notes: DataFrame) -> DataFrame:
 def note_id(micros: Column) -> Column:
     """``n-`` and the time in hexadecimal."""
     return F.concat(F.lit("n-"), F.lower(F.hex(micros * 1000)))
+
+
+def spotlights(notes: DataFrame) -> DataFrame:
+    """``(file, id, kind)``: for each file with a note the strongest kind, the earliest among equals."""
+    placed = notes.filter("location IS NOT NULL").withColumn("file", F.col("location.file"))
+    return strongest(placed, "file", rank_of(F.col("kind"), schemas.NOTE_PRIORITY, -1), ["first_seq"], ["id", "kind"])
+
+
+class NotesLog:
+    """An operation log in a folder that all executors share; each operation is one appended row.
+
+    One writer at a time: the sequence is the writer's clock, kept ahead of what it wrote before.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self._last = spark, path, 0
+
+    def table(self) -> DataFrame:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.createDataFrame([], schemas.NOTES_LOG)
+        return self.spark.read.schema(schemas.NOTES_LOG).parquet(self.path)
+
+    def _append(self, op: str, id_: str | None, **fields) -> int:
+        self._last = max(self._last + 1, time.time_ns() // 1000)
+        row = {"seq": self._last, "op": op, "id": id_, "ts": datetime.now(UTC), **fields}
+        self.spark.createDataFrame([row], schemas.NOTES_LOG).coalesce(1).write.mode("append").parquet(self.path)
+        return self._last
+
+    def post(self, kind: str, title: str, body: str = "", id: str | None = None, location=None, symbol=None, severity=None, author: str = "agent") -> str:  # noqa: A002
+        """Adds a note, or replaces the one with this id in its place; returns the id."""
+        if kind not in schemas.NOTE_PRIORITY:
+            raise ValueError(f"kind is one of {', '.join(schemas.NOTE_PRIORITY)}, not {kind}")
+        id = id or f"n-{time.time_ns():x}"  # noqa: A001
+        self._append("post", id, kind=kind, title=title, body=body, location=location, symbol=symbol, severity=severity, author=author)
+        return id
+
+    def resolve(self, id: str) -> bool:  # noqa: A002
+        """Removes a note; whether there was one."""
+        existed = not self.list().filter(F.col("id") == id).isEmpty()
+        self._append("resolve", id)
+        return existed
+
+    def clear(self) -> None:
+        self._append("clear", None)
+
+    def list(self) -> DataFrame:
+        return live(self.table())

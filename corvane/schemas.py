@@ -26,8 +26,8 @@ CAPABILITIES = "capability string, available boolean, reason string"
 SEVERITY_RANK = {"critical": 0, "error": 1, "warning": 2, "info": 3, "hint": 4}
 CLIENT_SEVERITY = {"critical": "Error", "error": "Error", "warning": "Warning", "info": "Information", "hint": "Hint"}
 SOURCE_ORDER = ("hallucination", "crossfile", "binding", "semgrep", "pyright", "tsc", "rust-analyzer", "pytea")
-AI_SOURCES = ("hallucination", "crossfile", "binding")
-NOTE_PRIORITY = {"concern": 3, "fix": 2, "question": 1, "intent": 0, "observation": 0}
+AI_SOURCES = ("hallucination", "cwe", "crossfile", "binding")
+NOTE_PRIORITY = {"concern": 3, "question": 2, "intent": 1, "observation": 0}
 
 #: Fixed value: extensions of the languages.
 LANGUAGES = {"python": (".py", ".pyi"), "tsx": (".tsx",), "typescript": (".ts", ".mts", ".cts"), "rust": (".rs",)}
