@@ -1,4 +1,4 @@
-"""Shipping of this package to executors that don't have it installed."""
+"""Sessions made ready for Python on executors: the package is shipped, and Arrow batches are bounded."""
 
 from __future__ import annotations
 
@@ -11,9 +11,13 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Bytes of an Arrow batch, so that a task holds a few MB of rows however long they are.
+BATCH = 4 << 20
+
 
 def ship(spark: SparkSession) -> None:
-    """Add the package as a zip to the application, once."""
+    """Add the package as a zip to the application, once, and bound the batches of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
