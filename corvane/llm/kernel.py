@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 _P = 0x9E3779B97F4A7C15  # odd, so that it has an inverse mod 2**64
 _P_INV = pow(_P, -1, 1 << 64)
 

@@ -40,8 +40,11 @@ PURITY = 0.98
 AROUND = 6
 EPOCHS = 120
 L2 = 2e-4
-#: Texts that share a step of the forward-backward pass.
+#: Texts that share a step of the forward-backward pass, and bytes of text taken at once so that there are enough of them.
 SIDE = 256
+RUN = 1 << 20
+#: Longest text of a step times the texts beside it, at most.
+CELLS = 1 << 20
 
 
 def features(w: K.Words) -> np.ndarray:
@@ -92,8 +95,10 @@ def marginals(field: Field, e: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     order = np.argsort(-size, kind="stable")
     order = order[: np.count_nonzero(size)]
     x = np.exp(np.clip(e, -30, 30))
-    for k in range(0, len(order), SIDE):
-        part = order[k : k + SIDE]
+    k = 0
+    while k < len(order):
+        part = order[k : k + max(1, min(SIDE, CELLS // int(size[order[k]])))]
+        k += len(part)
         n, first = size[part], ptr[part]
         longest = int(n[0])
         live = np.searchsorted(-n, -np.arange(longest), "left")  # texts with more than so many words
@@ -295,7 +300,7 @@ def _scored(shared):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field: Field = shared.value
         for batch in batches:
-            for run in K.runs(batch.column(batch.num_columns - 1)):
+            for run in K.runs(batch.column(batch.num_columns - 1), RUN):
                 w = K.words(run, K.NOT_ALNUM)
                 p = marginals(field, field.emissions(features(w)), w.ptr)
                 score = 1 / (1 + np.exp(-np.clip(_curve_inputs(p, w.ptr) @ field.curve, -30, 30)))
