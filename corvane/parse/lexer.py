@@ -43,7 +43,10 @@ _OPS = {
 }
 _ID = re.compile(r"[^\W\d][\w$]*|[$_][\w$]*")
 _NUM = re.compile(r"\.?\d(?:[eE][+-]?\d|[\w.])*")
-_SPACE = re.compile(r"[ \t\r\f\v ﻿]+")
+_BLANKS = r"[ \t\r\f\v\u00a0\ufeff]+"
+_PLAIN = {lang: re.compile(f"(?P<blank>{_BLANKS})|(?P<nl>\\n)|(?P<id>{_ID.pattern})|(?P<num>{_NUM.pattern})|(?P<op>{'|'.join(map(re.escape, ops))}|.)", re.S) for lang, ops in _OPS.items()}
+#: Characters at which something else than a plain token may begin.
+_SPECIAL = {"python": frozenset("#\\'\"rRbBuUfFtT"), "ts": frozenset("/'\"`#"), "rust": frozenset("/\"'rbc")}
 _PY_STRING = re.compile(r"([rRbBuUfFtT]{0,3})('''|\"\"\"|'|\")")
 _RUST_RAW = re.compile(r'(?:b|c)?r(#*)"')
 _RUST_CHAR = re.compile(r"b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[^}]*\}|.)|[^'\\\n])'")
@@ -74,26 +77,20 @@ class Lexer:
         self.text, self.lang, self.i = text, lang, start
         self.end = len(text) if end is None else end
         self.out: list[Tok] = []
-        self.ops = _OPS[lang]
 
     def run(self) -> list[Tok]:
         """All tokens; comments and blanks are left out, ends of lines are tokens."""
         step = {"python": self._python, "ts": self._ts, "rust": self._rust}[self.lang]
-        while self.i < self.end:
-            c = self.text[self.i]
-            if c == "\n":
-                self._put("nl", self.i + 1)
-            elif m := _SPACE.match(self.text, self.i, self.end):
-                self.i = m.end()
-            elif not step(c):
-                if m := _ID.match(self.text, self.i, self.end):
-                    self._put("id", m.end())
-                elif m := _NUM.match(self.text, self.i, self.end):
-                    self._put("num", m.end())
-                else:
-                    op = next((o for o in self.ops if self.text.startswith(o, self.i)), c)
-                    self._put("op", self.i + len(op))
-        return self.out
+        special, match, text, end, out = _SPECIAL[self.lang], _PLAIN[self.lang].match, self.text, self.end, self.out
+        while self.i < end:
+            c = text[self.i]
+            if c in special and step(c):
+                continue
+            m = match(text, self.i, end)
+            if m.lastgroup != "blank":
+                out.append(Tok(m.lastgroup, m[0], self.i, m.end()))
+            self.i = m.end()
+        return out
 
     def _put(self, kind: str, end: int, parts: list | None = None) -> None:
         end = min(end, self.end)

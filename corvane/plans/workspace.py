@@ -18,6 +18,10 @@ from corvane.sources import manifests, reports, tree
 
 #: Fixed value: where the message of an unknown import looks for the package.
 MANIFEST_HINT = {"python": "requirements.txt / pyproject.toml", "typescript": "package.json", "tsx": "package.json", "rust": "Cargo.toml"}
+#: The wording of messages.
+NO_PACKAGE, DELETE_IMPORT = "no package '%s' in %s", "Delete `import %s`"
+ARITY, DEFINED_HERE = "arity mismatch: %s() expects %d..%s args, called with %d", "function defined here"
+NO_BINDING = "%s('%s') — no matching uniform/attribute/var in any shader in the workspace"
 _SHADERS = (".glsl", ".vert", ".frag", ".wgsl", ".hlsl")
 _SCHEMES = {"pyright": reports.pyright, "tsc": reports.tsc, "semgrep": reports.semgrep, "rust-analyzer": reports.rust_analyzer, "pytea": reports.pytea}
 
@@ -119,8 +123,8 @@ class Workspace:
         line = F.col("range.start.line")
         edge = lambda x: F.struct(x.cast("int").alias("line"), F.lit(0).alias("col"))
         place = F.struct("file", F.struct(edge(line).alias("start"), edge(line + 1).alias("end")).alias("range"))
-        fix = F.struct(F.concat(F.lit("Delete `import "), "module", F.lit("`")).alias("description"), F.array(F.struct(place.alias("location"), F.lit("").alias("new_text"))).alias("edits"))
-        message = F.concat(F.lit("no package '"), "module", F.lit("' in "), F.element_at(hint, F.col("language")))
+        fix = F.struct(F.format_string(DELETE_IMPORT, "module").alias("description"), F.array(F.struct(place.alias("location"), F.lit("").alias("new_text"))).alias("edits"))
+        message = F.format_string(NO_PACKAGE, "module", F.element_at(hint, F.col("language")))
         return diagnostics.build(rows, "hallucination", f"{self.semantics.prefix}hallucination/unknown-import", "critical", message, F.concat_ws(":", F.lit("hallucination"), "file", line.cast("string"), "module"), fix=fix)
 
     def arity_mismatches(self) -> DataFrame:
@@ -131,14 +135,14 @@ class Workspace:
         calls, defs = (calls.drop("language"), defs.drop("language")) if self.semantics.compat else (calls.withColumn("language", family), defs.withColumn("language", family))
         rows = arity.arity_mismatches(calls, defs, on)
         most = F.coalesce(F.col("max_args").cast("string"), F.lit("∞"))
-        message = F.concat(F.lit("arity mismatch: "), "name", F.lit("() expects "), F.col("min_args").cast("string"), F.lit(".."), most, F.lit(" args, called with "), F.col("argc").cast("string"))
+        message = F.format_string(ARITY, "name", "min_args", most, "argc")
         id_ = F.concat_ws(":", F.lit("crossfile-arity"), "file", F.col("range.start.line").cast("string"), F.col("range.start.col").cast("string"), "name")
-        related = F.array(F.struct(F.col("defined").alias("location"), F.lit("function defined here").alias("message")))
+        related = F.array(F.struct(F.col("defined").alias("location"), F.lit(DEFINED_HERE).alias("message")))
         return diagnostics.build(rows, "crossfile", f"{self.semantics.prefix}crossfile/arity-mismatch", "error", message, id_, related=related)
 
     def unknown_bindings(self) -> DataFrame:
         rows = resolve.unresolved_if_any(self.bindings(), "name", self.shaders, "name")
-        message = F.concat("callee", F.lit("('"), "name", F.lit("') — no matching uniform/attribute/var in any shader in the workspace"))
+        message = F.format_string(NO_BINDING, "callee", "name")
         id_ = F.concat_ws(":", F.lit("binding"), "file", F.col("range.start.line").cast("string"), "name")
         return diagnostics.build(rows, "binding", f"{self.semantics.prefix}binding/unknown-uniform", "error", message, id_)
 

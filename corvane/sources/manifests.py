@@ -26,7 +26,13 @@ MANIFESTS = {
     "Cargo.lock": "rust",
 }
 
-_NAME_LINE = r'(?m)^name\s*=\s*"([^"]+)"'
+#: The patterns of names in lock files and of declarations in shaders.
+NAME_LINE = r'(?m)^name\s*=\s*"([^"]+)"'
+PNPM_PACKAGE = r"(?m)^\s{2}/([^:\s]+?)@[^:]+:"
+PNPM_KEY = r"(?m)^\s{2,4}([A-Za-z0-9_@/\-.]+):"
+YARN_HEAD = r'(?m)^"?([A-Za-z0-9_@/\-.]+)@[^:]+:"?$'
+GLSL_NAME = r"\b(?:uniform|attribute|in|out|varying)\s+(?:highp\s+|mediump\s+|lowp\s+)?\w+(?:\[\d+\])?\s+([A-Za-z_]\w*)\b"
+WGSL_NAME = r"\bvar(?:<[^>]+>)?\s+([A-Za-z_]\w*)\s*:"
 
 
 def discovered(files: DataFrame, path: str = "path") -> DataFrame:
@@ -91,12 +97,12 @@ def packages(files: DataFrame, path: str = "path", content: str = "source", comp
     rows = discovered(files, path).select(F.col(path).alias("p"), F.col(content).cast("string").alias("t"))
     t = F.col("t")
     toml = F.pandas_udf(toml_names, "array<string>")
-    lock_names = F.regexp_extract_all(t, F.lit(_NAME_LINE), 1)
+    lock_names = F.regexp_extract_all(t, F.lit(NAME_LINE), 1)
     both = lambda names: F.flatten(F.transform(names, lambda n: F.array(n, F.translate(n, "-", "_"))))
     after = F.transform(F.filter(_keys(t, "packages"), lambda k: k.contains("node_modules/")), lambda k: F.substring_index(k, "node_modules/", -1))
     pnpm = F.concat(
-        F.transform(F.regexp_extract_all(t, F.lit(r"(?m)^\s{2}/([^:\s]+?)@[^:]+:"), 1), lambda n: F.when(n.startswith("@"), n).otherwise(F.split_part(n, F.lit("@"), F.lit(1)))),
-        F.regexp_extract_all(t, F.lit(r"(?m)^\s{2,4}([A-Za-z0-9_@/\-.]+):"), 1),
+        F.transform(F.regexp_extract_all(t, F.lit(PNPM_PACKAGE), 1), lambda n: F.when(n.startswith("@"), n).otherwise(F.split_part(n, F.lit("@"), F.lit(1)))),
+        F.regexp_extract_all(t, F.lit(PNPM_KEY), 1),
     )
     native = {
         "requirements.txt": _requirements(t, compat),
@@ -106,7 +112,7 @@ def packages(files: DataFrame, path: str = "path", content: str = "source", comp
         "package.json": _keys(t, "dependencies", "devDependencies", "peerDependencies", "optionalDependencies"),
         "package-lock.json": F.concat(after, _keys(t, "dependencies")),
         "pnpm-lock.yaml": pnpm,
-        "yarn.lock": F.regexp_extract_all(t, F.lit(r'(?m)^"?([A-Za-z0-9_@/\-.]+)@[^:]+:"?$'), 1),
+        "yarn.lock": F.regexp_extract_all(t, F.lit(YARN_HEAD), 1),
         "Cargo.lock": both(lock_names),
     }
     names = F.array().cast("array<string>")
@@ -122,6 +128,6 @@ def shader_symbols(files: DataFrame, path: str = "path", content: str = "source"
     """``name`` of every uniform, attribute and variable that shader files declare."""
     shaders = files.filter(F.regexp_like(path, F.lit(r"\.(glsl|vert|frag|wgsl|hlsl)$")))
     t = F.col(content).cast("string")
-    glsl = F.regexp_extract_all(t, F.lit(r"\b(?:uniform|attribute|in|out|varying)\s+(?:highp\s+|mediump\s+|lowp\s+)?\w+(?:\[\d+\])?\s+([A-Za-z_]\w*)\b"), 1)
-    wgsl = F.regexp_extract_all(t, F.lit(r"\bvar(?:<[^>]+>)?\s+([A-Za-z_]\w*)\s*:"), 1)
+    glsl = F.regexp_extract_all(t, F.lit(GLSL_NAME), 1)
+    wgsl = F.regexp_extract_all(t, F.lit(WGSL_NAME), 1)
     return shaders.select(F.explode(F.concat(glsl, wgsl)).alias("name")).distinct()

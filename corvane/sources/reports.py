@@ -50,6 +50,7 @@ def pyright(reports: DataFrame, column: str = "json", root: str | None = None) -
     return build(rows, "pyright", code, sev, F.col("d.message"), _id("pyright", code))
 
 
+#: Fixed value: a compiler's line.
 _TSC = r"^([^()]+)\((\d+),(\d+)\): (error|warning) (TS\d+): (.+)$"
 
 
