@@ -43,8 +43,8 @@ MEASURES = (
     Measure("symbols", "n_symbols / word_chars", 0.01),
     Measure("bangs", "n_bangs / word_chars", 0.01),
     Measure("capitals", "n_capitals / word_chars", 0.05),
-    Measure("dup_lines", "n_dup_lines / n_lines", 0.05),
-    Measure("repeats", "n_repeat_words / n_words", 0.05),
+    Measure("dup_lines", "n_dup_lines / n_lines", 0.15),
+    Measure("repeats", "n_repeat_words / n_words", 0.1),
     Measure("word_length", "word_chars / n_words", 0.6, True),
 )
 
