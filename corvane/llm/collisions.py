@@ -11,6 +11,11 @@ with at least the count that a pair at the limit misses with a probability of at
 their cosine in double precision.  A pair that meets in several tables counts in the first of them.
 
 A large cell is worked off in pairs of blocks, and a task reports sums for each vector, never pairs.
+
+Tight groups are not compared within themselves.  Where many vectors share their cells in the first two tables, those that lie
+within half the limit's angle of their mean are a *ball*: by the triangle inequality all its members link.  So do the members of two balls whose
+distance and radii add up to no more than the limit's angle.  These links are counted by size, and
+blocks of such balls are not paired; balls meet all other blocks of their cells as anyone does.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ MISS = 1e-4
 #: Vectors of a label for which one level of cells is enough.
 LEVEL = 50_000
 SEED = 20_240
+#: Vectors that share two cells before a ball is tried.
+BALL = 64
+#: Angle by which the certain side of a bound is kept clear of rounding.
+MARGIN = 1e-6
 
 
 def _normal_share(z: float) -> float:
@@ -116,21 +125,57 @@ def collisions(query: np.ndarray, target: np.ndarray, width: float) -> np.ndarra
     return count.reshape(n, m)
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ball, v) → the sum of the vectors of each ball in a batch."""
+    for batch in batches:
+        ball = np.asarray(batch.column(0))
+        raw = batch.column(1).to_pylist()
+        for f in np.unique(ball):
+            rows = np.flatnonzero(ball == f)
+            total = np.frombuffer(b"".join(raw[k] for k in rows), np.float64).reshape(len(rows), -1).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([total.tobytes()], pa.binary())], ["ball", "v"])
+
+
+def _center(table: pa.Table) -> pa.Table:
+    """The direction of a ball's mean; its rows are one for each batch that had members."""
+    total = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(table.num_rows, -1).sum(0)
+    size = float(np.sqrt(total @ total))
+    return pa.table({"ball": table.column("ball").slice(0, 1), "center": pa.array([(total / size if size else total).tobytes()], pa.binary())})
+
+
+def _angles(limit: float, given: int):
+    """Keeps rows whose last two columns, both vectors, enclose an angle that with the column ``radii`` (0 if there is none) is at most ``limit``; passes ``given`` columns on, and the angle."""
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
+            dot = [float(np.frombuffer(p) @ np.frombuffer(q)) for p, q in zip(x, y, strict=True)]
+            angle = np.arccos(np.clip(dot, -1, 1))
+            radii = np.asarray(batch.column("radii")) if "radii" in batch.schema.names else 0.0
+            keep = pa.array(angle + radii <= limit - MARGIN)
+            out = [*batch.columns[:given], pa.array(angle)]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in out], [*batch.schema.names[:given], "angle"])
+
+    return angles
+
+
 def _linked(cosine: float):
     """One pair of blocks of one cell: links of each vector (with copies) and the smallest id it hangs together with here."""
     width, least = math.sqrt(2 - 2 * cosine), least_count()
 
     def linked(table: pa.Table) -> pa.Table:
-        i, j, turn = (table.column(c)[0].as_py() for c in ("i", "j", "turn"))
-        ids, side, copies = (np.asarray(table.column(c)) for c in ("id", "block", "copies"))
+        turn, alone = table.column("turn")[0].as_py(), table.column("alone")[0].as_py()
+        ids, side, copies = (np.asarray(table.column(c)) for c in ("id", "side", "copies"))
         v = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(len(ids), -1)
         cells = np.asarray(table.column("cells").combine_chunks().flatten()).reshape(len(ids), -1)
         lines = v @ np.random.default_rng([SEED + 1, v.shape[1]]).standard_normal((v.shape[1], LINES))
-        first = np.flatnonzero(side == i)
-        second = first if i == j else np.flatnonzero(side == j)
+        first = np.flatnonzero(side == 0)
+        second = first if alone else np.flatnonzero(side == 1)
         a, b = np.nonzero(collisions(lines[first], lines[second], width) >= least)
         a, b = first[a], second[b]
-        if i == j:
+        if alone:
             a, b = a[ids[a] < ids[b]], b[ids[a] < ids[b]]
         keep = []
         for at in range(0, len(a), 100_000):
@@ -160,14 +205,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Returns ``(id_col, n_links, component_id, kept)``, one row for each input row.  A vector that is null, empty, zero or holds a null or
     non-finite component, a null label and a null id link with nothing, and are kept.  Vectors of different lengths
     never link.  Equal vectors are one class with its number of copies; they are compared once, and each copy's
-    links count the other copies.  A row that repeats with its id is a copy like any other.  An empty table gives an empty table.
+    links count the other copies.  A row that repeats with its id is a copy like any other; an id should name one vector: of
+    rows that share id and label but not the vector, one is compared for all.  An empty table gives an empty table.
     """
     scratch = Scratch(vectors.sparkSession, "collisions")
     v = F.col(vector_col).cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v"), (sound & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).alias("sound"))
-    keyed = rows.withColumns({"d1": F.xxhash64("v"), "d2": F.xxhash64(F.lit(1), "v")})
-    rows = scratch.table("rows", keyed)
+    able = sound & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v"), able.alias("sound"))
+    rows = scratch.table("rows", rows.withColumns({"d1": F.xxhash64("v"), "d2": F.xxhash64(F.lit(1), "v")}))
     able = rows.filter("sound")
     largest = able.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     depth, tables = layout(int(largest), cosine)
@@ -180,18 +226,65 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     kind = reps.schema["label"].dataType.simpleString()
     placed = scratch.table("placed", reps.mapInArrow(_placed(depth, tables), f"id long, label {kind}, copies long, v binary, cells array<long>"))
 
-    sizes = scratch.table("sizes", placed.select("label", F.posexplode("cells").alias("turn", "cell")).groupBy("label", "turn", "cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    dealt = placed.select("*", F.posexplode("cells").alias("turn", "cell")).join(sizes, ["label", "turn", "cell"])
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = dealt.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    groups = dealt.select("label", "turn", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "v", "cells")
-    found = scratch.table("found", groups.groupBy("label", "turn", "cell", "i", "j").applyInArrow(_linked(cosine), "id long, links long, low long"))
-    scratch.drop("sizes", "placed")
+    placed = _balled(placed, cosine, scratch)
+    balls = placed.filter("ball <> 0").groupBy("label", "ball").agg(F.min("id").alias("low"), F.sum("copies").alias("weight"), F.max("angle").alias("radius"))
+    balls = scratch.table("balls", balls.join(scratch.read("centers"), "ball"))
+    near = _certain(placed, balls, cosine, scratch)
+    reach = near.select("ball", "weight2").unionByName(balls.select("ball", F.col("weight").alias("weight2"))).groupBy("ball").agg(F.sum("weight2").alias("reach"))
+    inside = placed.filter("ball <> 0").select("id", "ball", "copies").join(reach, "ball").join(balls.select("ball", "low"), "ball")
+    inside = inside.select("id", (F.col("reach") - F.col("copies")).alias("links"), "low")
+
+    cell = ["label", "turn", "cell"]
+    spread = placed.select("*", F.posexplode("cells").alias("turn", "cell"))
+    sizes = scratch.table("sizes", spread.groupBy(*cell, "ball").agg(F.count(F.lit(1)).alias("size")))
+    shared = sizes.groupBy(*cell).agg(F.sum("size").alias("all")).filter("all > 1").drop("all")
+    sizes = sizes.join(shared, cell).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    blocks = sizes.select(*cell, "ball", F.explode(F.expr("sequence(0, blocks - 1)")).alias("k")).select(*cell, F.struct("ball", "k").alias("b"))
+    pairs = blocks.withColumnRenamed("b", "i").join(blocks.withColumnRenamed("b", "j"), cell).filter("i <= j AND NOT (i.ball <> 0 AND i.ball = j.ball)")
+    sure = near.select(F.least("ball", "ball2").alias("s1"), F.greatest("ball", "ball2").alias("s2")).distinct()
+    pairs = pairs.join(sure, (F.col("i.ball") == F.col("s1")) & (F.col("j.ball") == F.col("s2")), "left_anti")
+    pairs = scratch.table("pairs", pairs.withColumn("pair", F.monotonically_increasing_id()))
+    dealt = spread.join(sizes.select(*cell, "ball", "blocks"), [*cell, "ball"])
+    dealt = dealt.withColumn("b", F.struct("ball", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("k"))).select(*cell, "b", "id", "copies", "v", "cells")
+    alone = F.col("i") == F.col("j")
+    one = pairs.select(*cell, F.col("i").alias("b"), "pair", F.lit(0).alias("side"), alone.alias("alone"))
+    two = pairs.filter("i <> j").select(*cell, F.col("j").alias("b"), "pair", F.lit(1).alias("side"), F.lit(False).alias("alone"))
+    groups = dealt.join(one.unionByName(two), [*cell, "b"]).select("pair", "turn", "side", "alone", "id", "copies", "v", "cells")
+    found = scratch.table("found", groups.groupBy("pair").applyInArrow(_linked(cosine), "id long, links long, low long").unionByName(inside))
 
     sums = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    comps = connected_components(found.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")), scratch)
+    joined = near.join(balls.select("ball", F.col("low").alias("a")), "ball").join(balls.select(F.col("ball").alias("ball2"), F.col("low").alias("b")), "ball2").select("a", "b")
+    edges = found.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).unionByName(joined)
+    comps = connected_components(edges, scratch)
     per_rep = scratch.table("per_rep", sums.join(comps.withColumnRenamed("id", "rep"), "rep", "full"))
     linked = member.select("id", "rep", "copies").join(per_rep, "rep", "left").select("id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     alone = rows.filter("NOT sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def _balled(placed: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
+    """Adds ``ball`` (0 for none) and the ``angle`` to its center; writes the table ``centers(ball, center)``."""
+    second = F.get("cells", F.lit(1))
+    keyed = placed.withColumn("ball", F.xxhash64("label", F.get("cells", F.lit(0)), F.coalesce(second, F.lit(0))))
+    full = scratch.table("full", keyed.groupBy("ball").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= BALL).drop("n"))
+    tight = keyed.join(full, "ball").select("ball", "v")
+    centers = scratch.table("centers", tight.mapInArrow(_sums, "ball long, v binary").groupBy("ball").applyInArrow(_center, "ball long, center binary"))
+    half = math.acos(cosine) / 2
+    kind = placed.schema["label"].dataType.simpleString()
+    member = keyed.join(centers, "ball").select("id", "label", "ball", "v", "center").mapInArrow(_angles(half, 3), f"id long, label {kind}, ball long, angle double")
+    member = scratch.table("tight", member)
+    out = placed.join(member, ["id", "label"], "left").withColumn("ball", F.coalesce("ball", F.lit(0).cast("long")))
+    return scratch.table("balled", out)
+
+
+def _certain(placed: DataFrame, balls: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
+    """``(ball, ball2, weight2)``, both ways: balls of a label that share a cell and all of whose members link."""
+    where = placed.filter("ball <> 0").select("label", "ball", F.posexplode("cells").alias("turn", "cell")).distinct()
+    both = where.join(where.withColumnRenamed("ball", "ball2"), ["label", "turn", "cell"]).filter("ball < ball2").select("ball", "ball2").distinct()
+    left = balls.select("ball", F.col("radius").alias("r1"), F.col("center").alias("c1"))
+    right = balls.select(F.col("ball").alias("ball2"), F.col("radius").alias("r2"), F.col("center").alias("c2"))
+    tested = both.join(left, "ball").join(right, "ball2").select("ball", "ball2", (F.col("r1") + F.col("r2")).alias("radii"), "c1", "c2")
+    sure = tested.mapInArrow(_angles(math.acos(cosine), 2), "ball long, ball2 long, angle double").select("ball", "ball2")
+    ways = sure.unionByName(sure.select(F.col("ball2").alias("ball"), F.col("ball").alias("ball2")))
+    return scratch.table("certain", ways.join(balls.select(F.col("ball").alias("ball2"), F.col("weight").alias("weight2")), "ball2").select("ball", "ball2", "weight2"))

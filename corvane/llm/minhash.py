@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text of one to four words is one shingle; a null, empty or blank text has none, links with nothing
     and is kept.  Equal sets always link.  ``component_id`` is the smallest id reachable by links.
     Rows whose id is null can be neither linked nor named: they come back with a null component, kept.
-    A row that repeats comes back as often.  An empty table gives an empty table.
+    A row that repeats comes back as often.  An id should name one text: where it names several, links are confirmed on one of them.  An empty table gives an empty table.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")

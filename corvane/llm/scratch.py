@@ -41,6 +41,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str) -> DataFrame:
+        """A table written before."""
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, f"{self.root}/{name}")

@@ -124,6 +124,23 @@ def test_embeddings_equal_all_pairs(spark, monkeypatch, block, level):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out.collect()) == _expected(rows)
 
 
+@pytest.mark.parametrize("ball,block", [(4, 512), (4, 8), (2, 16)])
+def test_tight_groups_equal_all_pairs(spark, monkeypatch, ball, block):
+    """Groups so tight that all their members link, groups that only partly do, and vectors about them."""
+    monkeypatch.setattr(collisions, "BALL", ball)
+    monkeypatch.setattr(collisions, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    rows = []
+    for center, (many, noise) in enumerate([(70, 0.02), (40, 0.05), (40, 0.07), (30, 0.09), (20, 0.12)]):
+        c = rng.normal(0, 1, 12)
+        for _ in range(many):
+            v = c / np.linalg.norm(c) + rng.normal(0, noise, 12)
+            rows.append((len(rows), [float(np.float32(x)) for x in v], center % 2))
+    rows += [(1000 + k, v, label) for k, (_, v, label) in enumerate(rows[:9])]  # equal vectors
+    out = collisions.near_duplicates(spark.createDataFrame(rows, VECS))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out.collect()) == _expected(rows)
+
+
 def test_embedding_odd_rows(spark):
     one = [1.0, 0.0, 2.0]
     rows = [(1, one, 0), (2, [2.0, 0.0, 4.0], 0), (3, one, 0), (4, one, 1), (5, None, 0), (6, [0.0, 0.0, 0.0], 0), (7, [None, 1.0, 0.0], 0), (8, [float("nan"), 1.0, 0.0], 0), (9, [float("inf"), 1.0, 0.0], 0), (10, one, None), (11, [1.0, 0.0], 0), (12, [1.0, 0.0], 0), (13, [], 0), (14, [1e-30, 0.0, 2e-30], 0), (15, [1e30, 0.0, 2e30], 0)]
