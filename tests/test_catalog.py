@@ -5,8 +5,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from corvane.operators import gate
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -66,3 +68,14 @@ def test_flagship_plan_prunes_columns_and_joins_by_hash(spark):
     plan = entry.entry(spark)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string,o_orderdate:timestamp_ntz,o_orderpriority:string>" in plan
+
+
+def test_parsed_queries_take_every_sentence(spark):
+    n = F.size(gate.sentences(F.col("text")))
+    path = F.concat(F.lit("m/"), F.col("doc_id").cast("string"), F.lit(".py"))
+    want = {r.path: r.n for r in spark.read.parquet(f"{SF}/documents.parquet").select(path.alias("path"), n.alias("n")).collect()}
+    assert max(want.values()) > 200
+    units = entry.queries()["q_units"](spark, SF).collect()
+    assert {r.path: (r["loc"], r.callees) for r in units} == {p: (1 + k + (k + 1) // 2, ["say"] if k else []) for p, k in want.items()}
+    scores = entry.queries()["q_complexity"](spark, SF).collect()
+    assert {r.path: r.cc for r in scores} == {p: 3 * ((k + 1) // 2) for p, k in want.items()}
