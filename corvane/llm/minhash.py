@@ -3,7 +3,8 @@
 Each permutation of the shingle space gives two signature values, the smallest and the largest
 image of a document's set, so 32 hash evaluations a shingle give a signature of 64 values.  Bands of
 four values (both ends of two permutations) find candidates: two sets of similarity 0.85 miss each
-other in all 16 bands with a probability of 7e-6.  Every reported link is confirmed on the full sets.
+other in all 16 bands with a probability of 7e-6.  A lower limit takes more permutations (44 at 0.80,
+which miss 9e-6).  Every reported link is confirmed on the full sets.
 
 Shape of the job
     1. one pass over the texts: size, 128-bit digest and signature of each shingle set;
@@ -18,6 +19,7 @@ Shape of the job
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ SHINGLE = 5
 PERMUTATIONS = 32
 BAND_PERMUTATIONS = 2
 BANDS = PERMUTATIONS // BAND_PERMUTATIONS
+#: How often a pair at the limit may miss all bands.
+MISS = 1e-5
 STAR_ROUNDS = 3
 BLOCK = 256
 #: A signature of 64 values estimates a similarity of 0.85 with a deviation of 0.045; pairs are let through down to four of these.
@@ -40,8 +44,13 @@ SLACK = 0.18
 #: Ids that may be broadcast (8 bytes each); beyond it the candidates' texts are found by a shuffled join.
 BROADCAST_IDS = 2_000_000
 
-_A = K.mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
-_B = K.mix64(np.arange(1001, 1001 + PERMUTATIONS, dtype=np.uint64))
+
+def permutations(percent: int) -> int:
+    """Permutations whose bands two sets of ``percent`` % similarity all miss with a probability of at most ``MISS``."""
+    if percent >= 85:
+        return PERMUTATIONS
+    one = (percent / 100) ** (2 * BAND_PERMUTATIONS)
+    return BAND_PERMUTATIONS * max(BANDS, math.ceil(math.log(MISS) / math.log1p(-one)))
 
 
 def shingle_sets(run: K.Run) -> Iterator[np.ndarray]:
@@ -61,40 +70,45 @@ def shingle_sets(run: K.Run) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Min and max under each permutation, as the upper 32 bits: rows of 2 * PERMUTATIONS values; sets must not be empty."""
+def signatures(sets: list[np.ndarray], count: int = PERMUTATIONS) -> np.ndarray:
+    """Min and max under each of ``count`` permutations, as the upper 32 bits: rows of 2 * count values; sets must not be empty."""
+    a = K.mix64(np.arange(1, count + 1, dtype=np.uint64)) | np.uint64(1)
+    b = K.mix64(np.arange(1001, 1001 + count, dtype=np.uint64))
     flat = np.concatenate(sets)
     starts = np.concatenate(([0], np.cumsum([len(x) for x in sets])[:-1]))
-    out = np.empty((len(sets), 2 * PERMUTATIONS), np.uint32)
+    out = np.empty((len(sets), 2 * count), np.uint32)
     image = np.empty_like(flat)
-    for p in range(PERMUTATIONS):
-        np.multiply(flat, _A[p], out=image)
-        np.add(image, _B[p], out=image)
+    for p in range(count):
+        np.multiply(flat, a[p], out=image)
+        np.add(image, b[p], out=image)
         out[:, 2 * p] = np.minimum.reduceat(image, starts) >> np.uint64(32)
         out[:, 2 * p + 1] = np.maximum.reduceat(image, starts) >> np.uint64(32)
     return out
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for run in K.runs(batch.column(1)):
-            sets = list(shingle_sets(run))
-            sizes = np.array([len(x) for x in sets], np.int64)
-            full = [x for x in sets if len(x)]
-            sig: list[bytes | None] = [None] * len(sets)
-            d1, d2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-            if full:
-                rows = signatures(full)
-                where = np.flatnonzero(sizes)
-                flat, starts = np.concatenate(full), np.concatenate(([0], np.cumsum(sizes[where])[:-1]))
-                d1[where] = np.add.reduceat(flat, starts)
-                d2[where] = np.add.reduceat(K.mix64(flat + np.uint64(0x51ED270B)), starts)
-                for i, row in zip(where, rows, strict=True):
-                    sig[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(run.first, len(run)), pa.array(sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sig, pa.binary())],
-                ["id", "n", "d1", "d2", "sig"],
-            )
+def _features(count: int):
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in K.runs(batch.column(1)):
+                sets = list(shingle_sets(run))
+                sizes = np.array([len(x) for x in sets], np.int64)
+                full = [x for x in sets if len(x)]
+                sig: list[bytes | None] = [None] * len(sets)
+                d1, d2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+                if full:
+                    rows = signatures(full, count)
+                    where = np.flatnonzero(sizes)
+                    flat, starts = np.concatenate(full), np.concatenate(([0], np.cumsum(sizes[where])[:-1]))
+                    d1[where] = np.add.reduceat(flat, starts)
+                    d2[where] = np.add.reduceat(K.mix64(flat + np.uint64(0x51ED270B)), starts)
+                    for i, row in zip(where, rows, strict=True):
+                        sig[i] = row.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(run.first, len(run)), pa.array(sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sig, pa.binary())],
+                    ["id", "n", "d1", "d2", "sig"],
+                )
+
+    return features
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,11 +117,12 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, width).astype(np.uint64)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2]).copy()
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1, width).astype(np.uint64)
+        bands = sig.shape[1]
+        key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2]).copy()
         for k in range(width):
             key = K.mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
-        ids = np.repeat(np.asarray(batch.column(0)), BANDS)
+        ids = np.repeat(np.asarray(batch.column(0)), bands)
         yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"])
 
 
@@ -161,7 +176,7 @@ def _block_links(percent: int):
         side, ids = np.asarray(table.column("block")), np.asarray(table.column("id"))
         raw = table.column("shingles").combine_chunks()
         sets = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in range(len(ids))]
-        sig = signatures(sets)
+        sig = signatures(sets, permutations(percent))
         _, root = np.unique(np.asarray(table.column("component")), return_inverse=True)
         parent = list(range(int(root.max()) + 1))
 
@@ -202,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = scratch.table("features", texts.mapInArrow(_features, "id long, n long, d1 long, d2 long, sig binary"))
+    seen = scratch.table("features", texts.mapInArrow(_features(permutations(percent)), "id long, n long, d1 long, d2 long, sig binary"))
 
     named = seen.filter("id IS NOT NULL AND n > 0")
     classes = scratch.table("classes", named.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"))

@@ -173,3 +173,24 @@ def test_collisions_count_windows():
     q, t = rng.normal(size=(20, 5)), rng.normal(size=(30, 5))
     want = (np.abs(q[:, None, :] - t[None, :, :]) <= 0.4).sum(2)
     assert (collisions.collisions(q, t, 0.4) == want).all()
+
+
+def test_kept_documents_at_80_percent(spark):
+    """Two changed words of 100 leave a similarity of 0.81, three 0.73."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(15):
+        base = [f"w{k}x{i}" for i in range(100)]
+        for changed in ((), (20, 60), (20, 50, 80)):
+            rows.append((len(rows), " ".join(f"new{rng.random()}" if i in changed else w for i, w in enumerate(base))))
+    want = {i for i, _, c in brute.near_duplicates(rows, 80) if i == c}
+    assert len(want) == 30 and len({c for *_, c in brute.near_duplicates(rows, 85)}) == 45
+    got = minhash.kept_documents(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)
+    assert {r.doc_id for r in got.collect()} == want
+
+
+def test_bands_suit_the_limit():
+    for percent in (70, 80, 85, 90):
+        bands = minhash.permutations(percent) // minhash.BAND_PERMUTATIONS
+        assert (1 - (percent / 100) ** (2 * minhash.BAND_PERMUTATIONS)) ** bands <= 1e-5
+    assert minhash.permutations(85) == 32
