@@ -194,3 +194,11 @@ def test_bands_suit_the_limit():
         bands = minhash.permutations(percent) // minhash.BAND_PERMUTATIONS
         assert (1 - (percent / 100) ** (2 * minhash.BAND_PERMUTATIONS)) ** bands <= 1e-5
     assert minhash.permutations(85) == 32
+
+
+def test_signature_filter_loses_less_than_the_bands():
+    for percent in (80, 85):
+        s, values = percent / 100, 2 * minhash.permutations(percent)
+        need = math.ceil((s - minhash.SLACK) * values)
+        lost = sum(math.comb(values, k) * s**k * (1 - s) ** (values - k) for k in range(need))
+        assert lost < (1 - s**4) ** (minhash.permutations(percent) // 2)
