@@ -21,8 +21,6 @@ from corvane.llm.scratch import Scratch
 
 #: Columns that order the lines of a conversation.
 ORDER = ("at", "level", "turn", "idx", "step")
-#: Rounds after which calls that still wait for each other are reported as a cycle.
-ROUNDS = 32
 
 #: JSON Schema types and the variant types that satisfy them.
 _TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DECIMAL.*|DOUBLE|FLOAT", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*|STRUCT.*|MAP.*"}
@@ -70,13 +68,58 @@ def _problems(args: Column, known: Column, params: Column) -> Column:
     return F.when(values.isNull(), F.array(F.lit("arguments are no object"))).when(~known, F.array(F.lit("unknown tool"))).otherwise(F.coalesce(F.array_sort(listed), none))
 
 
+def _placed(spots: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Places and levels behind all calls that a call depends on, round by round until a round settles none.
+
+    ``stuck`` says of the calls that are left whether they are in a cycle or only wait for one; it is null for all others.
+    """
+    key = ["conv", "call_id"]
+    spots = scratch.table("spots", spots)
+    waiting = edges.select(*key).distinct()
+    fresh = scratch.table("settled-0", spots.join(waiting, key, "left_anti").withColumn("stuck", F.lit(None).cast("string")))
+    open_ = edges.withColumns({"dat": F.lit(None).cast("long"), "dlevel": F.lit(None).cast("int")})
+    i = 0
+    while not fresh.isEmpty():
+        i += 1
+        done = fresh.select("conv", F.col("call_id").alias("dep"), F.col("at").alias("fat"), F.col("level").alias("flevel"))
+        filled = open_.join(done, ["conv", "dep"], "left").select("conv", "call_id", "dep", F.coalesce("dat", "fat").alias("dat"), F.coalesce("dlevel", "flevel").alias("dlevel"))
+        filled = scratch.table(f"open-{i}", filled)
+        scratch.drop(f"open-{i - 1}")
+        ready = filled.groupBy(*key).agg(F.max("dat").alias("dat"), F.max("dlevel").alias("dlevel"), F.bool_and(F.col("dlevel").isNotNull()).alias("ready")).filter("ready")
+        fresh = scratch.table(f"settled-{i}", spots.join(ready, key).select(*key, F.greatest("at", "dat").alias("at"), (F.col("dlevel") + 1).alias("level"), F.lit(None).cast("string").alias("stuck")))
+        open_ = filled.join(fresh.select(*key), key, "left_anti")
+    settled = scratch.spark.read.schema(fresh.schema).parquet(*(f"{scratch.root}/settled-{k}" for k in range(i + 1)))
+    if open_.isEmpty():
+        return settled
+    behind = open_.groupBy(*key).agg(F.max("dat").alias("dat"), F.max("dlevel").alias("dlevel"))
+    left = spots.join(behind, key).select(*key, F.greatest("at", "dat").alias("at"), F.coalesce(F.col("dlevel") + 1, F.lit(0)).alias("level"))
+    left = left.join(_cyclic(open_.filter("dlevel IS NULL").select("conv", "call_id", "dep"), scratch), key, "left")
+    return settled.unionByName(left.withColumn("stuck", F.coalesce("stuck", F.lit("waits for a cycle"))))
+
+
+def _cyclic(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(conv, call_id, stuck)`` of the calls that reach themselves: calls on which none depends are taken out, the others' paths doubled."""
+    n, before, i = edges.count(), -1, 0
+    while n != before:
+        needed = edges.select("conv", F.col("dep").alias("call_id")).distinct()
+        edges = scratch.table(f"core-{i}", edges.join(needed, ["conv", "call_id"], "left_semi"))
+        before, n, i = n, edges.count(), i + 1
+    paths, before, i = edges, -1, 0
+    while n != before:
+        further = paths.withColumnRenamed("dep", "via").join(paths.select("conv", F.col("call_id").alias("via"), "dep"), ["conv", "via"]).select("conv", "call_id", "dep")
+        paths = scratch.table(f"paths-{i}", paths.unionByName(further).distinct())
+        before, n, i = n, paths.count(), i + 1
+    return paths.filter("call_id = dep").select("conv", "call_id", F.lit("cycle").alias("stuck"))
+
+
 def formatted(turns: DataFrame, tools: DataFrame | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Lines of canonical JSON: ``(conv_col, turn, idx, kind, role, call_id, linked, valid, problems, at, level, step, json)``.
 
     Every turn gives a line, every call one more; nothing is dropped.  ``tools`` has rows ``(tool, param, type, required)``, with a null
     ``param`` for a tool without parameters; without it, any object passes.  ``linked``: a call that has a result, a result
     that has a call (null for messages).  Of several calls with one identifier the first by turn and
-    place counts, the others are ``duplicate``; so with results.  Calls in a cycle are reported as such.
+    place counts, the others are ``duplicate``; so with results.  Calls in a cycle are reported as ``cycle``, others that need
+    their results as ``waits for a cycle``; a chain of calls may have any length.
     ``valid`` is false where there is any problem.  A null text is a message of null content, which is left out of its line; null roles and turns
     stay null, and null turns come first.  A null conversation's calls and results are never linked.  Text that isn't JSON, or
     has a key twice, is plain text.  Repeated rows come back as often.  Other columns are ignored; an empty table gives an empty table.
@@ -92,23 +135,11 @@ def formatted(turns: DataFrame, tools: DataFrame | None = None, conv_col: str =
     edges = needs.select("conv", "call_id", F.explode("deps").alias("dep")).distinct()
     spots = firsts.filter("call IS NOT NULL").select("conv", "call_id", F.col("call.turn").alias("at"), F.lit(0).alias("level"))
     edges = scratch.table("edges", edges.join(spots.select("conv", F.col("call_id").alias("dep")), ["conv", "dep"], "left_semi"))
-    stuck = None
-    if not edges.isEmpty():
-        spots = scratch.table("spots-0", spots)
-        for i in range(1, ROUNDS + 1):
-            ahead = edges.join(spots.select("conv", F.col("call_id").alias("dep"), F.col("at").alias("dat"), F.col("level").alias("dlevel")), ["conv", "dep"])
-            ahead = ahead.groupBy("conv", "call_id").agg(F.max("dat").alias("dat"), F.max("dlevel").alias("dlevel"))
-            moved = spots.join(ahead, ["conv", "call_id"], "left").select("conv", "call_id", F.greatest("at", "dat").alias("at"), F.greatest("level", F.col("dlevel") + 1).alias("level"), (F.coalesce(F.col("dat") > F.col("at"), F.lit(False)) | F.coalesce(F.col("dlevel") + 1 > F.col("level"), F.lit(False))).alias("moved"))
-            moved = scratch.table(f"spots-{i}", moved)
-            spots, stuck = moved.drop("moved"), moved.filter("moved").select("conv", "call_id")
-            if stuck.isEmpty():
-                stuck = None
-                break
-    spots = spots.withColumn("stuck", F.lit(False)) if stuck is None else spots.join(stuck.withColumn("stuck", F.lit(True)), ["conv", "call_id"], "left").fillna(False, ["stuck"])
+    spots = spots.withColumn("stuck", F.lit(None).cast("string")) if edges.isEmpty() else _placed(spots, edges, scratch)
 
     facts = firsts.join(spots, ["conv", "call_id"], "left")
     rows = lines.filter("kind = 'message'").unionByName(lines.filter("kind <> 'message' AND (call_id IS NULL OR conv IS NULL)")).select(
-        "*", F.lit(None).cast("struct<turn:bigint,idx:int,row:bigint>").alias("call"), F.lit(None).cast("struct<turn:bigint,idx:int,row:bigint>").alias("result"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("level"), F.lit(False).alias("stuck")
+        "*", F.lit(None).cast("struct<turn:bigint,idx:int,row:bigint>").alias("call"), F.lit(None).cast("struct<turn:bigint,idx:int,row:bigint>").alias("result"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("stuck")
     )
     rows = rows.unionByName(linkable.join(facts, ["conv", "call_id"]))
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
@@ -135,7 +166,7 @@ def formatted(turns: DataFrame, tools: DataFrame | None = None, conv_col: str =
     problems = F.concat(
         F.when(~F.coalesce(is_call | is_result, F.lit(False)), none).when(F.col("call_id").isNull(), F.array(F.lit("no identifier"))).when(F.col("first"), none).otherwise(F.array(F.lit("duplicate"))),
         F.when(is_result & F.col("first") & F.col("call").isNull(), F.array(F.lit("no call"))).otherwise(none),
-        F.when(F.col("stuck") & is_call, F.array(F.lit("cycle"))).otherwise(none),
+        F.when(F.col("stuck").isNotNull() & is_call, F.array("stuck")).otherwise(none),
         F.when(is_call, argued).otherwise(none),
     )
     args = F.coalesce(F.try_parse_json("args"), F.parse_json(F.to_json(F.struct(F.col("args").alias("text")))))

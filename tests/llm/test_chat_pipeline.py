@@ -70,6 +70,18 @@ def test_chains_and_cycles(spark):
     assert {r["call_id"]: r["problems"] for r in lines(df, 2) if r["kind"] == "call"} == {"p": "cycle", "q": "cycle", "r": ""}
 
 
+def test_chains_beyond_any_number_of_rounds_and_calls_that_wait_for_cycles(spark):
+    chain = [call(f"c{k}", "f", {"x": {"$result": f"c{k + 1}"}} if k < 99 else {}) for k in range(100)]
+    needs = {"own": ["own"], "p": ["q"], "q": ["p"], "between": ["p", "free"], "s": ["t", "between"], "t": ["s"], "after": ["s"], "last": ["after"], "free": []}
+    tangle = [call(i, "f", {f"x{k}": {"$result": d} for k, d in enumerate(deps)}) for i, deps in needs.items()]
+    rows = [(1, 0, "assistant", calls(*chain[:50])), (1, 7, "assistant", calls(*chain[50:])), (2, 0, "assistant", calls(*tangle))]
+    df = chat.formatted(spark.createDataFrame(rows, TURNS))
+    got = [r for r in lines(df) if r["kind"] == "call"]
+    assert [(r["call_id"], r["level"], r["at"], r["valid"]) for r in got] == [(f"c{99 - k}", k, 7, True) for k in range(100)]
+    waits = "waits for a cycle"
+    assert {r["call_id"]: r["problems"] for r in lines(df, 2) if r["kind"] == "call"} == {"own": "cycle", "p": "cycle", "q": "cycle", "between": waits, "s": "cycle", "t": "cycle", "after": waits, "last": waits, "free": ""}
+
+
 def test_arguments_against_schemas(spark):
     tools = spark.createDataFrame([("add", "x", "number", True), ("add", "y", "object", None), ("get", "q", "string", True), ("get", "n", "array", False), ("get", "ok", "boolean", False), ("ping", None, None, None)], "tool string, param string, type string, required boolean")
     cases = {"1": ("add", {"x": 1.5}, ""), "2": ("add", {"x": "s", "y": {}}, "type of x"), "3": ("add", {}, "missing x"), "4": ("get", {"q": "v", "n": [1], "ok": True}, ""), "5": ("get", {"q": 1, "n": {}, "zz": 0}, "type of n; type of q; unexpected zz"), "6": ("nope", {}, "unknown tool"), "7": ("get", "[1]", "arguments are no object"), "8": ("ping", {}, ""), "9": ("add", {"x": {"$result": "1"}}, ""), "10": ("ping", None, "arguments are no object")}
