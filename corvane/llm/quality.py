@@ -3,10 +3,14 @@
 One pass measures each text.  Every measure is a rate; for each language and source its distribution
 is kept as a mergeable quantile sketch: counts in logarithmic bins, so that any quantile is known to
 ``ACCURACY`` (relative), two sketches merge by adding counts, and partial sketches are added before
-the shuffle.  The fence of a measure is the upper quartile plus ``REACH`` times the distance between
-the quartiles (at least the measure's ``least`` scale, for distributions that are all one value).
-Small groups use the sketch of their language, and small languages that of everything.  Thresholds are then joined
-back to the documents.
+the shuffle.  The fence of a measure is a far quantile of the group's own sketch: the upper quartile plus ``REACH`` times
+its distance from the median, or, where these two are the same, the upper decile plus ``REACH`` times its distance.  Nothing else sets it:
+there is no least width, and a measure that nine in ten texts of a group don't show has its fence at zero.  Fences are drawn towards those
+of the language, and these towards those of everything, with the weight of ``GROUP`` texts, so that small groups follow
+larger ones.  Thresholds are then joined back to the documents.
+
+A text breaks a fence with the part of its rate that chance doesn't explain: a count ``k`` is taken down by
+``ERRORS`` standard errors of the square root of a Poisson count, to ``max(0, sqrt(k) - ERRORS / 2) ** 2``.
 """
 
 from __future__ import annotations
@@ -24,28 +28,28 @@ from corvane.llm import kernel as K
 from corvane.llm.scratch import Scratch
 
 ACCURACY = 0.01
-REACH = 4.0
-#: Texts that a group needs for thresholds of its own.
+REACH = 8.0
+#: Weight, in texts, of the fences of the language in those of a group, and of everything in those of a language.
 GROUP = 200
+ERRORS = 3.0
 
 
 @dataclass(frozen=True)
 class Measure:
-    """A rate, its smallest scale, and whether very low values are rejected too."""
+    """A rate, and whether it is a mean size, of which low values are rejected too, and not a count with its chance."""
 
     name: str
     expr: str
-    least: float
     low: bool = False
 
 
 MEASURES = (
-    Measure("symbols", "n_symbols / word_chars", 0.01),
-    Measure("bangs", "n_bangs / word_chars", 0.01),
-    Measure("capitals", "n_capitals / word_chars", 0.05),
-    Measure("dup_lines", "n_dup_lines / n_lines", 0.15),
-    Measure("repeats", "n_repeat_words / n_words", 0.1),
-    Measure("word_length", "word_chars / n_words", 0.6, True),
+    Measure("symbols", "n_symbols / word_chars"),
+    Measure("bangs", "n_bangs / word_chars"),
+    Measure("capitals", "n_capitals / word_chars"),
+    Measure("dup_lines", "n_dup_lines / n_lines"),
+    Measure("repeats", "n_repeat_words / n_words"),
+    Measure("word_length", "word_chars / n_words", True),
 )
 
 _SYMBOL = np.zeros(256, bool)
@@ -143,17 +147,19 @@ def fences(sketch: DataFrame, *by: str) -> DataFrame:
     """A row for each group: its size, and ``measure_hi`` and ``measure_lo`` for each measure.  A window covers the bins of one sketch, some hundreds."""
     one = Window.partitionBy(*by, "measure")
     seen = sketch.withColumn("upto", F.sum("n").over(one.orderBy("bin"))).withColumn("total", F.sum("n").over(one))
-    cut = [F.min(F.when(F.col("upto") >= F.col("total") * q, value_of(F.col("bin")))).alias(a) for a, q in (("q1", 0.25), ("q3", 0.75))]
+    cut = [F.min(F.when(F.col("upto") >= F.col("total") * q, value_of(F.col("bin")))).alias(a) for a, q in QUANTILES.items()]
     quart = seen.groupBy(*by, "measure").agg(*cut, F.max("total").alias("size"))
+    far = lambda q: F.col(q) + (F.col(q) - F.col("q50")) * REACH
+    high = F.when(F.col("q75") > F.col("q50"), far("q75")).otherwise(far("q90"))
     out = []
     for m in MEASURES:
         here = F.col("measure") == m.name
-        reach = F.greatest(F.col("q3") - F.col("q1"), F.lit(m.least)) * REACH
-        out.append(F.max(F.when(here, F.col("q3") + reach)).alias(f"{m.name}_hi"))
-        out.append(F.max(F.when(here, F.col("q1") - reach if m.low else F.lit(-1.0))).alias(f"{m.name}_lo"))
+        out.append(F.max(F.when(here, high)).alias(f"{m.name}_hi"))
+        out.append(F.max(F.when(here, far("q25") if m.low else F.lit(-1.0))).alias(f"{m.name}_lo"))
     return quart.groupBy(*by).agg(F.max("size").alias("size"), *out)
 
 
+QUANTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
 LIMITS = tuple(f"{m.name}_{end}" for m in MEASURES for end in ("hi", "lo"))
 
 
@@ -163,24 +169,35 @@ def _rated(counts: DataFrame) -> DataFrame:
     return counts.withColumn("base_failed", failed).withColumns({m.name: F.expr(f"try_divide({m.expr.replace(' / ', ', ')})") for m in MEASURES})
 
 
-def _limits(rated: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, float]]:
-    """The fences of every language and source, and those of everything."""
+def _certain(m: Measure) -> Column:
+    """The rate of a text without what chance may have added to its count."""
+    if m.low:
+        return F.col(m.name)
+    count, of = m.expr.split(" / ")
+    return F.expr(f"try_divide(pow(greatest(sqrt({count}) - {ERRORS / 2}, 0), 2), {of})")
+
+
+def _drawn(own: str, size: str, towards: Column) -> Column:
+    """A group's fence, drawn towards that of a larger group."""
+    return (F.col(own) * F.col(size) + towards * GROUP) / (F.col(size) + GROUP)
+
+
+def _limits(rated: DataFrame, scratch: Scratch) -> DataFrame:
+    """The fences of every language and source that has texts which pass the base rules."""
     own = scratch.table("sketches", sketches(rated.filter("NOT base_failed")))
     by_lang = merged(own, "lang")
     world = fences(merged(by_lang)).first()
-    everywhere = {c: world[c] if world and world[c] is not None else (math.inf if c.endswith("hi") else -math.inf) for c in LIMITS}
-    langs = fences(by_lang, "lang").select(F.col("lang").alias("lang2"), F.col("size").alias("size2"), *(F.col(c).alias(f"{c}2") for c in LIMITS))
+    langs = fences(by_lang, "lang").select(F.col("lang").alias("lang2"), *(_drawn(c, "size", F.lit(world[c] if world else None)).alias(f"{c}2") for c in LIMITS))
     near = fences(own, "lang", "source").join(langs, F.col("lang").eqNullSafe(F.col("lang2")), "left")
-    chosen = {c: F.when(F.col("size") >= GROUP, F.col(c)).when(F.col("size2") >= GROUP, F.col(f"{c}2")).otherwise(F.lit(everywhere[c])) for c in LIMITS}
-    return scratch.table("limits", near.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(v.alias(c) for c, v in chosen.items()))), everywhere
+    return scratch.table("limits", near.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(_drawn(c, "size", F.col(f"{c}2")).alias(c) for c in LIMITS)))
 
 
-def _verdict(rated: DataFrame, limits: DataFrame, everywhere: dict[str, float]) -> DataFrame:
+def _verdict(rated: DataFrame, limits: DataFrame) -> DataFrame:
     """Joins the fences and adds ``kept``."""
     within = F.lit(True)
     for m in MEASURES:
-        hi, lo = (F.coalesce(c, F.lit(everywhere[c])) for c in (f"{m.name}_hi", f"{m.name}_lo"))
-        within = within & F.coalesce((F.col(m.name) <= hi) & (F.col(m.name) >= lo), F.lit(True))
+        low, high = F.col(f"{m.name}_lo") / (1 + ACCURACY), F.col(f"{m.name}_hi") / (1 - ACCURACY)  # the ends of the sketch's bins
+        within = within & F.coalesce(_certain(m).between(low, high), F.lit(True))
     on = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
     return rated.join(limits, on, "left").withColumn("kept", ~F.col("base_failed") & within)
 
@@ -205,7 +222,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """
     scratch = Scratch(docs.sparkSession, "quality")
     counts = scratch.table("counts", _rows(docs, [id_col], text_col, lang_col, source_col))
-    out = _verdict(counts, *_limits(counts, scratch))
+    out = _verdict(counts, _limits(counts, scratch))
     return out.select(F.col("_k0").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bangs", "n_capitals")
 
 
@@ -218,5 +235,5 @@ def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     scratch = Scratch(docs.sparkSession, "quality")
     names = docs.columns
     limits = _limits(_rows(docs, [], text_col, lang_col, source_col), scratch)
-    out = _verdict(_rows(docs, names, text_col, lang_col, source_col), *limits)
+    out = _verdict(_rows(docs, names, text_col, lang_col, source_col), limits)
     return out.filter("kept").select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(names)))

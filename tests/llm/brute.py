@@ -83,8 +83,8 @@ def value_of(b, accuracy=0.01):
     return 0.0 if b == -100_000 else g**b * 2 / (g + 1)
 
 
-def quality_verdicts(rows, measures, group, reach):
-    """``(id, text, lang, source)`` → verdict of each row, in order."""
+def quality_fences(rows, measures, group, reach):
+    """``(id, text, lang, source)`` → counts of each row, and the fences of each language and source, drawn towards those of larger groups."""
     counts = [quality(t) for _, t, _, _ in rows]
     for c in counts:
         c["rates"] = {}
@@ -98,24 +98,31 @@ def quality_verdicts(rows, measures, group, reach):
                 pools[key].append(c)
 
     def fence(pool, m):
-        bins = sorted(bin_of(c["rates"][m.name]) for c in pool if c["rates"][m.name] is not None)
-        if not bins:
-            return math.inf, -math.inf, 0
-        q = [value_of(bins[max(math.ceil(len(bins) * p), 1) - 1]) for p in (0.25, 0.75)]
-        far = max(q[1] - q[0], m.least) * reach
-        return q[1] + far, q[0] - far if m.low else -1.0, len(bins)
-
-    fences = {key: {m.name: fence(pool, m) for m in measures} for key, pool in pools.items()}
-    size = lambda key: max((f[2] for f in fences.get(key, {}).values()), default=0)
+        bins = sorted(bin_of(c["rates"][m.name]) for c in pool)
+        q25, q50, q75, q90 = (value_of(bins[math.ceil(len(bins) * p) - 1]) for p in (0.25, 0.5, 0.75, 0.9))
+        return q25 + (q25 - q50) * reach if m.low else -1.0, q75 + (q75 - q50) * reach if q75 > q50 else q90 + (q90 - q50) * reach
+
+    def drawn(key, m):
+        ends = fence(pools[key], m)
+        above = {"own": ("lang", key[1] if len(key) > 1 else None), "lang": ("all",)}.get(key[0])
+        n = len(pools[key])
+        return ends if above is None else tuple((x * n + y * group) / (n + group) for x, y in zip(ends, drawn(above, m), strict=True))
+
+    return counts, {key: {m.name: drawn(key, m) for m in measures} for key in list(pools) if key[0] == "own"}
+
+
+def quality_verdicts(rows, measures, group, reach, errors):
+    """``(id, text, lang, source)`` → counts and verdict of each row, in order."""
+    counts, fences = quality_fences(rows, measures, group, reach)
     out = []
     for (_, _, lang, source), c in zip(rows, counts, strict=True):
-        key = next((k for k in (("own", lang, source), ("lang", lang)) if size(k) >= group and ("own", lang, source) in fences), ("all",))
         ok = not c["base_failed"]
         for m in measures:
-            r = c["rates"][m.name]
-            if r is not None and key in fences:
-                hi, lo, _ = fences[key][m.name]
-                ok = ok and lo <= r <= hi
+            if ok:
+                a, b = m.expr.split(" / ")
+                rate = c["rates"][m.name] if m.low else max(0, math.sqrt(c[a]) - errors / 2) ** 2 / c[b]
+                low, high = fences["own", lang, source][m.name]
+                ok = low / 1.01 <= rate <= high / 0.99
         out.append((c, ok))
     return out
 

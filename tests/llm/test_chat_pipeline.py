@@ -137,7 +137,7 @@ def test_pipeline_equals_brute_force(spark, corpus, monkeypatch):
     folder, rows, labels = corpus
     monkeypatch.setattr(quality, "GROUP", 15)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "minhash", "pii", "packing"]
-    verdicts = brute.quality_verdicts([r[:4] for r in rows], quality.MEASURES, 15, quality.REACH)
+    verdicts = brute.quality_verdicts([r[:4] for r in rows], quality.MEASURES, 15, quality.REACH, quality.ERRORS)
     left = [r for r, (_, ok) in zip(rows, verdicts, strict=True) if ok]
 
     docs = spark.read.parquet(f"{folder}/documents.parquet")

@@ -51,7 +51,7 @@ def test_quality_equals_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(quality, "GROUP", group)
     rows = data.documents()
     out = {r["doc_id"]: r for r in quality.judged(frame(spark, rows)).collect()}
-    want = brute.quality_verdicts([r[:4] for r in rows], quality.MEASURES, group, quality.REACH)
+    want = brute.quality_verdicts([r[:4] for r in rows], quality.MEASURES, group, quality.REACH, quality.ERRORS)
     assert len(out) == len(rows)
     for (i, *_), (c, kept) in zip(rows, want, strict=True):
         assert {k: out[i][k] for k in (*quality.COUNTS, "base_failed")} == {k: c[k] for k in (*quality.COUNTS, "base_failed")}
@@ -61,6 +61,32 @@ def test_quality_equals_brute_force(spark, monkeypatch, group):
     assert sorted(r["doc_id"] for r in stay.collect()) == sorted(i for (i, *_), (_, k) in zip(rows, want, strict=True) if k)
 
 
+def test_fences_follow_the_rates_of_their_group(spark, monkeypatch):
+    """A source whose texts shout ten times as much has a fence ten times as far; a group without texts of its own follows its language."""
+    rng = random.Random(6)
+    monkeypatch.setattr(quality, "GROUP", 0)
+    from corvane.llm.scratch import Scratch
+
+    def text(bangs):  # 60 words of 3000 characters in all, as many of them exclamation marks
+        letters = [data.word(rng) for _ in range(60)]
+        room = 3000 - bangs - sum(map(len, letters))
+        return " ".join(letters) + "x" * room + "!" * bangs
+
+    shouts = [rng.randint(0, 20) for _ in range(300)]
+    rows = [(1000 * s + i, text(k * scale), "en", f"s{s}", 1) for s, scale in ((1, 1), (2, 10)) for i, k in enumerate(shouts)]
+    df = spark.createDataFrame(rows, data.DOCS)
+    limits = {r["g_source"]: r for r in quality._limits(quality._rows(df, [], "text", "lang", "source"), Scratch(spark, "t")).collect()}
+    assert limits["s2"]["bangs_hi"] / limits["s1"]["bangs_hi"] == pytest.approx(10, rel=0.05)
+    _, want = brute.quality_fences([r[:4] for r in rows], quality.MEASURES, 0, quality.REACH)
+    for (_, _, source), ends in want.items():
+        for name, (low, high) in ends.items():
+            assert limits[source][f"{name}_lo"] == pytest.approx(low) and limits[source][f"{name}_hi"] == pytest.approx(high)
+    more = [(5000, text(190), "en", "s1", 1), (5001, text(190), "en", "s2", 1)]
+    judged = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows + more, data.DOCS)).collect()}
+    assert not judged[5000] and judged[5001]
+    assert sum(judged.values()) == 601
+
+
 def test_quality_odd_rows(spark):
     assert quality.judged(spark.createDataFrame([], data.DOCS)).count() == 0
     rows = [(None, None, None, None, None), (1, "a b", None, "s", 3), (1, "a b", None, "s", 3)]
