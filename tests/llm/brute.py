@@ -156,6 +156,79 @@ def unigram(rows, held):
     return [(len(ts), sum(counts[w] > 0 for w in ts), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ts)) for ts in tokens]
 
 
+def class_model(rows, held, hashed, exchange, seed_words, head_words, classes, prior, least=2):
+    """``(id, text)`` → log10 probability of each text under a class bigram model; ``exchange`` clusters the seeds' table of pairs."""
+    texts = [[*words(lower(t)), "\n"] for _, t in rows]
+    train = [ts for (i, _), ts in zip(rows, texts, strict=True) if not held(i)]
+    counts = Counter(w for ts in train for w in ts if w != "\n")
+    bands: dict = defaultdict(list)
+    for w, c in counts.items():
+        if c >= least:
+            bands[math.floor(math.log2(c) * 8)].append(w)
+    head: set = set()
+    for b in sorted(bands, reverse=True):
+        if len(head) + len(bands[b]) > head_words:
+            break
+        head |= set(bands[b])
+    seeds = sorted(head, key=lambda w: (-counts[w], hashed(w)))[:seed_words]
+    pairs = Counter((a, b) for ts in train for a, b in zip(["\n", *ts], ts, strict=False))
+
+    def table(kind, n):
+        out = [[0.0] * n for _ in range(n)]
+        for (a, b), k in pairs.items():
+            out[kind(a)][kind(b)] += k
+        return out
+
+    own = len(seeds)
+    rank = {w: k for k, w in enumerate(seeds)}
+    cls = exchange(table(lambda w: own + 1 if w == "\n" else rank.get(w, own), own + 2), own)
+    n = min(classes, own)
+    other, end, size = n, n + 1, n + 2
+    of = {w: int(cls[k]) for w, k in rank.items()}
+    looked = set(seeds)
+    for _ in range(2):
+        kind = lambda w: end if w == "\n" else of[w] if w in looked else other  # noqa: E731, B023
+        t = table(kind, size)
+        right, left = [sum(r) for r in t], [sum(r[k] for r in t) for k in range(size)]
+        gains: dict = {w: [0.0] * n for w, c in counts.items() if c >= least and w not in rank}
+        for (a, b), k in pairs.items():
+            for c in range(n):
+                if b in gains:
+                    gains[b][c] += k * math.log((t[kind(a)][c] + 0.5) / (left[c] + 0.5 * size))
+                if a in gains:
+                    gains[a][c] += k * math.log((t[c][kind(b)] + 0.5) / (right[c] + 0.5 * size))
+        for w, g in gains.items():
+            g = [round(x, 9) for x in g]
+            of[w] = g.index(max(g))
+        looked = head
+    kind = lambda w: end if w == "\n" else of.get(w, other)
+    near = lambda w: w == "\n" or w in head
+    t = [[0.0] * size for _ in range(size)]
+    out, into, both = [0] * size, [0] * size, 0
+    for (a, b), k in pairs.items():
+        if near(a) or near(b):
+            t[kind(a)][kind(b)] += k
+        else:
+            out[kind(a)] += k
+            into[kind(b)] += k
+            both += k
+    for a in range(size):
+        for b in range(size):
+            t[a][b] += out[a] * into[b] / max(both, 1)
+    mass = [sum(r[k] for r in t) for k in range(size)]
+    share = [(m + 0.5) / (sum(mass) + 0.5 * size) for m in mass]
+    step = [[math.log10((x + prior * q) / (sum(r) + prior)) for x, q in zip(r, share, strict=True)] for r in t]
+    tokens = [sum(counts[w] for w in of if of[w] == c) for c in range(n)]
+    rare = [c for w, c in counts.items() if w not in of]
+
+    def word(w):
+        if w == "\n":
+            return 0.0
+        return math.log10(counts[w] / tokens[of[w]]) if w in of else math.log10((counts[w] + 1) / (sum(rare) + len(rare) + 1))
+
+    return [sum(step[kind(a)][kind(b)] + word(b) for a, b in zip(["\n", *ts], ts, strict=False)) for ts in texts]
+
+
 def license_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
 

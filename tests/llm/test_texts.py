@@ -349,16 +349,28 @@ def _held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-@pytest.mark.parametrize("head", [1 << 18, 5])
-def test_language_model(spark, monkeypatch, head):
+def _hash(word):
+    return int(kernel.words(next(kernel.runs(pa.array([word])))).hashes()[0])
+
+
+@pytest.mark.parametrize("head,seeds,held", [(1 << 18, 1000, 1 << 20), (60, 40, 50), (5, 1000, 50)])
+def test_language_model(spark, monkeypatch, head, seeds, held):
+    """Base score and class model against plain Python; with a small head most words are beyond it."""
     monkeypatch.setattr(brown, "HEAD_WORDS", head)
-    monkeypatch.setattr(brown, "HELD", 50)
+    monkeypatch.setattr(brown, "SEED_WORDS", seeds)
+    monkeypatch.setattr(brown, "HELD", held)
+    monkeypatch.setattr(brown, "CLASSES", 7)
     rows = [(i, t) for i, t, *_ in data.documents(n=120)] + [(None, "null id"), (1, "again"), (2, None)]
     out = brown.scores(data.clashing(spark.createDataFrame(rows, TEXT))).collect()
     want = sorted((str(i), a, b, n, round(s, 6)) for (i, _), (a, b, n, s) in zip(rows, brute.unigram(rows, _held), strict=True))
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in out)
     assert {r["doc_id"] for r in out if r["held_out"]} == {i for i, _ in rows if _held(i)}
+    if head == 5:  # not even one band of words fits: all are of one type
+        assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in out)
+        return
+    cluster = lambda pairs, own: brown.exchange(np.array(pairs), own, 7, brown.SWEEPS)
+    scores = brute.class_model(rows, _held, _hash, cluster, seeds, head, 7, brown.PRIOR)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 5)) for r in out) == sorted((str(i), n, round(s, 5)) for (i, _), (n, *_), s in zip(rows, brute.unigram(rows, _held), scores, strict=True))
 
 
 def test_language_model_beats_unigrams_on_structure(spark):
@@ -379,19 +391,37 @@ def test_language_model_without_training(spark):
     assert brown.scores(spark.createDataFrame([], TEXT)).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
+def test_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
-    counts = rng.integers(1, 60, 40)
-    head = brown.head_of(np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64)), counts, own=12)
-    pairs = rng.integers(0, 9, (head.n_types, head.n_types)).astype(float)
-    model = brown.fit(head, pairs, 12, 3)
-    cls = brown.exchange(pairs, 12)
-    m = cls.max() + 1
-    first = [int(np.flatnonzero(cls == c)[0]) for c in range(m)]
-    assert np.allclose((10 ** model.step[np.ix_(first, first)]).sum(1), 1)
-    owner = cls[head.types]
-    for c in np.unique(owner):
-        assert abs((10 ** model.word[owner == c]).sum() - 1) < 1e-9
+    table = rng.integers(0, 9, (12, 12)).astype(float)
+    assert np.allclose((10 ** brown.steps(table)).sum(1), 1)
+    counts, kind = rng.integers(2, 60, 40), rng.integers(0, 10, 40)
+    head = brown.Head(np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64)), kind, np.ones(40, bool), 12)
+    mass = np.append(np.bincount(kind, counts, 10), [5 + 5 + 1, 1])
+    model = brown.Model(head, counts, brown.steps(table), mass, 3)
+    for c in np.unique(kind):
+        assert abs((10 ** model.word(kind[kind == c], counts[kind == c])).sum() - 1) < 1e-9
+    rare = np.full(6, head.other)  # five words met once, and all that are new
+    assert abs((10 ** model.word(rare, np.array([1, 1, 1, 1, 1, 0]))).sum() - 1) < 1e-9
+
+
+def test_pairs_beyond_the_head_keep_their_sums():
+    rng = np.random.default_rng(5)
+    kinds, far = rng.integers(0, 4, 3000), rng.random(3000) < 0.3
+    kinds[rng.random(3000) < 0.05] = 4  # rare words have no class and are beyond the head
+    far |= kinds == 4
+    seen = np.where(far, 4, kinds)
+    table = np.zeros((6, 6))
+    np.add.at(table, (seen, np.roll(seen, -1)), 1)
+    counted = np.zeros((4, 12))
+    for k in range(3000):
+        if far[k] and kinds[k] < 4:
+            counted[kinds[k], seen[k - 1]] += 1
+            counted[kinds[k], 6 + seen[(k + 1) % 3000]] += 1
+    got = brown.spread_far(table, counted)
+    want = np.bincount(kinds, minlength=6)
+    assert np.allclose(got.sum(0), want) and np.allclose(got.sum(1), want)
+    assert abs(got.sum() - 3000) < 1e-6
 
 
 def test_exchange_raises_the_likelihood():
