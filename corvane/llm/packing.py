@@ -10,6 +10,7 @@ length that most pieces have is not ranked in one task.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -27,6 +28,10 @@ END_ID = 2
 #: Pieces in a salted part of one length, about.
 PART = 4096
 
+#: Blank, or other, characters in a row from which on a text goes through the tokenizers library.
+STRETCH = 5000
+_STRETCH = re.compile(rf"\s{{{STRETCH}}}|\S{{{STRETCH}}}")
+
 #: Fixed value: the splitting pattern of byte-level BPE files of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -42,16 +47,15 @@ class Encoder:
     """Token ids of whole texts as the tokenizers library gives them for a byte-level BPE file.
 
     Where the file's ids rank its merges, texts go through tiktoken with the same vocabulary, which
-    gives the same ids three times as fast.  Texts that hold the string of a special token, and all
-    texts if ids don't rank merges, go through the tokenizers library itself.
+    gives the same ids three times as fast.  Texts that hold the string of a special token or a stretch of ``STRETCH``
+    characters that are all blank or all not, on which tiktoken's pattern may run out of stack, and all
+    texts if ids don't rank merges, go through the tokenizers library itself, which is loaded when first needed.
     """
 
     def __init__(self, spec: str):
         model = json.loads(spec)
+        self.spec, self._slow = spec, None
         self.specials = [t["content"] for t in model["added_tokens"]]
-        self.slow = Tokenizer.from_str(spec)
-        self.slow.no_padding()
-        self.slow.no_truncation()
         vocab, merges = model["model"]["vocab"], model["model"]["merges"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         order = [vocab.get(a + b, -1) for a, b in pairs]
@@ -62,8 +66,16 @@ class Encoder:
             letters = byte_letters()
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(letters[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
 
+    @property
+    def slow(self) -> Tokenizer:
+        if self._slow is None:
+            self._slow = Tokenizer.from_str(self.spec)
+            self._slow.no_padding()
+            self._slow.no_truncation()
+        return self._slow
+
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.specials):
+        if self.fast is None or any(s in text for s in self.specials) or len(text) >= STRETCH and _STRETCH.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
