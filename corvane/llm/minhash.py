@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import kernel as K
 from corvane.llm.components import connected_components
-from corvane.llm.scratch import Scratch
+from corvane.llm.scratch import Scratch, unused
 
 SHINGLE = 5
 PERMUTATIONS = 32
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text of one to four words is one shingle; a null, empty or blank text has none, links with nothing
     and is kept.  Equal sets always link.  ``component_id`` is the smallest id reachable by links.
     Rows whose id is null can be neither linked nor named: they come back with a null component, kept.
-    A row that repeats comes back as often.  An id should name one text: where it names several, links are confirmed on one of them.  An empty table gives an empty table.
+    A row that repeats comes back as often.  An id should name one text: where it names several, links are confirmed on the one whose set sorts first.  An empty table gives an empty table.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = scratch.table("candidates", bucket.select("id").distinct())
     few = found.count() <= BROADCAST_IDS
-    sets = scratch.table("sets", texts.join(F.broadcast(found) if few else found, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]))
+    sets = scratch.table("sets", texts.join(F.broadcast(found) if few else found, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -287,14 +287,15 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Documents without shingles and rows with a null id belong to no group and stay.
     """
     scratch = Scratch(docs.sparkSession, "minhash-kept")
+    (own,) = unused(docs.columns, "_id")
     found = near_duplicates(docs, id_col, text_col, percent).filter(f"`{id_col}` IS NOT NULL")
-    found = scratch.table("found", found.groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
+    found = scratch.table("found", found.groupBy(F.col(id_col).alias(own)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
 
     def ids(condition: str, name: str) -> DataFrame:
-        some = scratch.table(name, found.filter(condition).select("_id"))
+        some = scratch.table(name, found.filter(condition).select(own))
         return F.broadcast(some) if some.count() <= BROADCAST_IDS else some
 
-    here = docs[id_col].cast("long") == F.col("_id")
+    here = docs[id_col].cast("long") == F.col(own)
     single = docs.join(ids("NOT kept OR rows > 1", "others"), here, "left_anti")
     if found.filter("kept AND rows > 1").isEmpty():
         return single

@@ -181,17 +181,25 @@ def spans(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
     A null or empty text has none, and masks to itself.  Repeated rows come back as often; other columns are
     ignored; an empty table stays empty.
     """
+    out = _rows(docs, text_col, keep, mask)
+    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "spans", *(["masked"] if mask else []))
+
+
+def _rows(docs: DataFrame, text_col: str, keep: tuple[str, ...], mask: bool) -> DataFrame:
+    """The columns ``keep`` as ``_k0``, ``_k1`` and so on, with ``spans`` and, if asked for, ``masked``."""
     ship(docs.sparkSession)
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(f"`{text_col}`").cast("string").alias("_text"))
     fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "spans array<struct<kind:string,start:bigint,end:bigint>>", *(["masked string"] if mask else [])])
-    out = rows.mapInArrow(_found(mask), fields)
-    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "spans", *(["masked"] if mask else []))
+    return rows.mapInArrow(_found(mask), fields)
 
 
 def masked_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input's columns with personal data in the text replaced, and ``n_chars``, if there is one, counted anew."""
+    """The input's columns with personal data in the text replaced, and ``n_chars``, if there is one, counted anew.
+
+    Other columns may have any names.  A null or empty text stays as it is; repeated rows come back as often; an empty table stays empty.
+    """
     names = docs.columns
     others = tuple(c for c in names if c != text_col)
-    out = spans(docs, text_col, others, mask=True)
     again = {text_col: F.col("masked"), "n_chars": F.char_length("masked").cast("long")}
-    return out.select(*((again[c] if c in again else F.col(f"`{c}`")).alias(c) for c in names))
+    kept = {c: F.col(f"_k{i}") for i, c in enumerate(others)}
+    return _rows(docs, text_col, others, True).select(*((again[c] if c in again else kept[c]).alias(c) for c in names))

@@ -14,14 +14,28 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, a folder of our own (tests, one machine)."""
+    """``spark.checkpoint.dir`` of the session.  Where it is unset, a session on one machine gets a folder of its own, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/corvane-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """Names for columns beside ``names``, which clash with none of them whatever their case."""
+    taken = {n.lower() for n in names}
+    out = []
+    for w in wanted:
+        while w.lower() in taken:
+            w = f"_{w}"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 class Scratch:
     """Named Parquet tables of one run, under a folder of its own in the shared folder.
 

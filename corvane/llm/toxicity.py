@@ -317,7 +317,7 @@ def _scored(shared):
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None) -> Field:
     """Fit on a bounded sample of labelled documents.  ``usable`` says which ids may be learnt from (all, by default).
 
-    Labels that are null are ignored; an id that is labelled twice counts as toxic if one label says so.
+    Labels that are null are ignored; an id that is labelled twice counts as toxic if one label says so; of several texts with one id the smallest is learnt from.
     Without both classes the field is empty and every document gets the prior as its score.
     """
     spark = docs.sparkSession
@@ -332,25 +332,29 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     side = lambda c: ids.filter(c).orderBy(mixed, "id").limit(TRAIN_DOCS)
     chosen = scratch.table("chosen", side("y > 0").union(side("y <= 0")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
-    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "y").toArrow().sort_by("id")
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toArrow().sort_by("id")
     return fit(rows.column("text").combine_chunks(), np.asarray(rows.column("y")) > 0, prior)
 
 
+def _rows(docs: DataFrame, field: Field, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` as ``_k0``, ``_k1`` and so on, with ``score``, ``span_starts`` and ``span_ends``."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double", "span_starts array<long>", "span_ends array<long>"])
+    return rows.mapInArrow(_scored(shared), fields)
+
+
 def scored(docs: DataFrame, field: Field, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``(keep..., score, span_starts, span_ends)`` for each row.
 
     Spans are code-point offsets of words whose marginal reaches ``SPAN``.  Null, empty and wordless
     texts get the curve's value at zero; repeated rows come back as often; an empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field)
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("_text"))
-    fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double", "span_starts array<long>", "span_ends array<long>"])
-    out = rows.mapInArrow(_scored(shared), fields)
-    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "score", "span_starts", "span_ends")
+    return _rows(docs, field, text_col, keep).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "score", "span_starts", "span_ends")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, usable: Column | None = None, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """The input's columns, of the rows whose score stays below ``cutoff``; the field learns from the labelled rows of the input."""
+    """The input's columns, whatever their names, of the rows whose score stays below ``cutoff``; the field learns from the labelled rows of the input."""
     field = learn(docs, labels, text_col=text_col, usable=usable)
     names = tuple(docs.columns)
-    return scored(docs, field, text_col, names).filter(F.col("score") < cutoff).select(*(F.col(f"`{c}`") for c in names))
+    return _rows(docs, field, text_col, names).filter(F.col("score") < cutoff).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(names)))

@@ -58,6 +58,26 @@ def test_kept_documents(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (4, "q r s"), (4, "q r s"), (None, "a b"), (5, None)]
     out = minhash.kept_documents(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a b c d e f"), (4, "q r s"), (None, "a b"), (5, None)], key=str)
+    names = ("_id", "__id", "kept", "rows", "id", "component", "n")
+    clashing = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *(f"'{c}' AS {c}" for c in names))
+    again = minhash.kept_documents(clashing)
+    assert again.columns == clashing.columns and sorted(map(str, again.select("doc_id", "text").collect())) == sorted(map(str, out.collect()))
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from corvane.llm import scratch
+
+    unset = {}
+    conf = SimpleNamespace(get=lambda k, d=None: unset.get(k, d), set=unset.__setitem__)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_dir(cluster)
+    assert not unset
+    assert scratch.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file:")
+    unset["spark.checkpoint.dir"] = "hdfs://shared/c/"
+    assert scratch.shared_dir(cluster) == "hdfs://shared/c"
 
 
 def test_signature_estimates_similarity():

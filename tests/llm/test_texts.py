@@ -144,6 +144,9 @@ def test_toxicity_on_held_out_documents(spark):
     assert spans and all(any(s.startswith(bad) for bad in data.BAD) for s in spans)
     stay = toxicity.kept_documents(df, y)
     assert stay.columns == ["doc_id", "text"]
+    clashing = df.withColumns({c: F.lit(c) for c in ("score", "span_starts", "_k0", "_text", "id", "y")})
+    again = toxicity.kept_documents(clashing, y)
+    assert again.columns == clashing.columns and again.count() == stay.count() == again.filter("score = 'score'").count()
     assert 0.6 * len(docs) < stay.count() < 0.8 * len(docs)
 
 
@@ -196,6 +199,9 @@ def test_spans_and_masks(spark):
     docs = pii.masked_documents(spark.createDataFrame([(1, "to a@b.co", "en", "s", 9)], data.DOCS)).first()
     assert (docs["text"], docs["n_chars"]) == ("to <EMAIL>", 10)
     assert pii.spans(df.limit(0)).count() == 0
+    clashing = spark.createDataFrame([("m", "s", "k", 1, "to a@b.co", "t")], "masked string, spans string, _k0 string, n_chars int, text string, _text string")
+    out = pii.masked_documents(clashing)
+    assert out.columns == clashing.columns and tuple(out.first()) == ("m", "s", "k", 10, "to <EMAIL>", "t")
     assert pii.masked("abcdef", [("email", 1, 3), ("secret", 2, 5)]) == "a<EMAIL>f"
 
 
@@ -231,6 +237,13 @@ def test_long_words_equal_the_library(coders):
         assert fast(text) == slow.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("c", [" ", "\n", "a", "\u3000", "7", "-"])
+def test_very_long_runs_equal_the_library(coders, c):
+    _, _, fast, slow = coders
+    text = "some text" + c * 2_000_000 + "more text"
+    assert fast(text) == slow.encode(text, add_special_tokens=False).ids
+
+
 def test_coded_table(spark, coders):
     rows = [(i, t) for i, t, *_ in data.documents()] + [(None, "null id"), (1, "again")]
     out = bpe.coded(data.clashing(spark.createDataFrame(rows, TEXT)), tokenizer_path("word_bpe_49k.json")).collect()
