@@ -32,8 +32,31 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(third, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"), "span_starts", "span_ends")
 
 
+#: Schemas of the two tools that derived calls name: ``(tool, param, type, required)``.
+TOOLS = [("count", "n", "integer", True), ("count", "after", "object", False), ("find", "n", "string", True), ("find", "after", "object", False)]
+
+
+def with_calls(turns: DataFrame) -> DataFrame:
+    """The turns, and calls and results that follow from them, as the tables hold plain text only.
+
+    Every assistant turn ``t`` also makes the call ``ct``.  With ``u = t div 2``: it names ``find`` if ``u mod 5 = 4``, else ``count``; its argument
+    is the length of the turn's text, called ``m`` if ``u mod 6 = 5``, else ``n``; unless ``u mod 4 = 3`` it needs the result of the call two turns later, if there is one.
+    Every user turn ``t`` but the first is also the result of the call ``c(t - 1)``, whether or not there is one.
+    """
+    t, u = F.col("turn"), F.floor(F.col("turn") / 2)
+    n = F.coalesce(F.char_length("text"), F.lit(0)).cast("string")
+    needs = F.when(u % 4 == 3, "").otherwise(F.concat(F.lit(',"after":{"$result":"c'), (t + 2).cast("string"), F.lit('"}')))
+    name, arg = F.when(u % 5 == 4, "find").otherwise("count"), F.when(u % 6 == 5, "m").otherwise("n")
+    called = F.concat(F.lit('{"tool_calls":[{"id":"c'), t.cast("string"), F.lit('","name":"'), name, F.lit('","arguments":{"'), arg, F.lit('":'), n, needs, F.lit("}}]}"))
+    given = F.concat(F.lit('{"tool_call_id":"c'), (t - 1).cast("string"), F.lit('","content":"'), n, F.lit('"}'))
+    said = turns.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
+    calls = said.filter("role = 'assistant'").withColumn("text", called)
+    return said.unionByName(calls).unionByName(said.filter("role = 'user' AND turn > 0").withColumn("text", given))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.formatted(table(spark, sf_dir, "conversations"))
+    tools = spark.createDataFrame(TOOLS, "tool string, param string, type string, required boolean")
+    return chat.formatted(with_calls(table(spark, sf_dir, "conversations")), tools)
 
 
 def op4_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +107,25 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 
-#: ``op3_chat``: turns of the tables are plain text, so each is one message; calls and results are covered by tests.
 ORACLES: dict[str, str] = {
     "op3_chat": """
-SELECT conv_id, turn, 0 AS idx, 'message' AS kind, role, NULL::VARCHAR AS call_id, NULL::BOOLEAN AS linked, true AS valid, '' AS problems,
-  turn AS at, 0 AS level, 0 AS step,
-  '{' || concat_ws(',', '"content":' || to_json(text)::VARCHAR, '"role":' || to_json(role)::VARCHAR) || '}' AS json
-FROM conversations
+WITH t AS (SELECT conv_id, turn, role, text, turn // 2 AS u, coalesce(length(text), 0) AS n FROM conversations),
+calls AS (SELECT c.*, c1.turn IS NOT NULL AND c.u % 4 < 3 AS one, c1.u % 4 < 3 AND c2.turn IS NOT NULL AS two, c2.u % 4 < 3 AND c3.turn IS NOT NULL AS three, r.turn IS NOT NULL AS linked
+  FROM t c LEFT JOIN t c1 ON c1.conv_id = c.conv_id AND c1.role = 'assistant' AND c1.turn = c.turn + 2 LEFT JOIN t c2 ON c2.conv_id = c.conv_id AND c2.role = 'assistant' AND c2.turn = c.turn + 4
+  LEFT JOIN t c3 ON c3.conv_id = c.conv_id AND c3.role = 'assistant' AND c3.turn = c.turn + 6 LEFT JOIN t r ON r.conv_id = c.conv_id AND r.role = 'user' AND r.turn = c.turn + 1 WHERE c.role = 'assistant'),
+placed AS (SELECT *, CASE WHEN NOT one THEN 0 WHEN NOT two THEN 1 WHEN NOT three THEN 2 ELSE 3 END AS level FROM calls)
+SELECT conv_id, turn, 0 AS idx, 'message' AS kind, role, NULL::VARCHAR AS call_id, NULL::BOOLEAN AS linked, true AS valid, '' AS problems, turn AS at, 0 AS level, 0 AS step,
+  '{' || concat_ws(',', '"content":' || to_json(text)::VARCHAR, '"role":' || to_json(role)::VARCHAR) || '}' AS json FROM t
+UNION ALL
+SELECT conv_id, turn, 0, 'message', role, NULL, NULL, true, '', turn, 0, 0, '{"role":"assistant"}' FROM calls
+UNION ALL
+SELECT conv_id, turn, 1, 'call', role, 'c' || turn, linked, u % 6 <> 5 AND u % 5 <> 4, CASE WHEN u % 6 = 5 THEN 'missing n; unexpected m' WHEN u % 5 = 4 THEN 'type of n' ELSE '' END, turn + 2 * level, level, 1,
+  '{"arguments":{' || CASE WHEN u % 4 = 3 THEN '' ELSE '"after":{"$result":"c' || (turn + 2) || '"},' END || CASE WHEN u % 6 = 5 THEN '"m":' ELSE '"n":' END || n
+  || '},"id":"c' || turn || '","name":"' || CASE WHEN u % 5 = 4 THEN 'find' ELSE 'count' END || '","role":"assistant","type":"call"}' FROM placed
+UNION ALL
+SELECT t.conv_id, t.turn, 0, 'result', t.role, 'c' || (t.turn - 1), c.turn IS NOT NULL, c.turn IS NOT NULL, CASE WHEN c.turn IS NULL THEN 'no call' ELSE '' END, greatest(t.turn, coalesce(c.turn + 2 * level, t.turn)), coalesce(level, 0), 2,
+  '{"content":"' || t.n || '","id":"c' || (t.turn - 1) || '","role":"user","type":"result"}'
+FROM t LEFT JOIN placed c ON c.conv_id = t.conv_id AND c.turn = t.turn - 1 WHERE t.role = 'user' AND t.turn > 0
 """,
     "op10_licenses": licenses.oracle(),
 }
