@@ -10,8 +10,9 @@ Shape of the job
     1. one pass over the texts: size, 128-bit digest and signature of each shingle set;
     2. documents of equal sets become one class, whose smallest id stands for it;
     3. classes that share a band value form a bucket.  Rather than all pairs of a bucket, rounds of
-       stars are verified: the member that meets most others against the rest; whoever is then in the
-       same component needs no further check.  What stays unresolved after ``STAR_ROUNDS`` rounds is
+       stars are verified: a center against all members that don't hang together with it yet.  The first two
+       rounds have one center a bucket, the member that meets most others; each further round has, beside it, twice as many
+       others, picked by hash, as long as rounds link anything.  What stays unresolved after ``STAR_ROUNDS`` rounds is
        compared block by block: every pair's signatures, and the full sets of pairs whose signatures
        agree well enough and that don't hang together yet;
     4. components of the confirmed links.
@@ -37,7 +38,7 @@ BAND_PERMUTATIONS = 2
 BANDS = PERMUTATIONS // BAND_PERMUTATIONS
 #: How often a pair at the limit may miss all bands.
 MISS = 1e-5
-STAR_ROUNDS = 3
+STAR_ROUNDS = 6
 BLOCK = 256
 #: A signature of 64 values estimates a similarity of 0.85 with a deviation of 0.045; pairs are let through down to five and a half of these,
 #: so that a pair at the limit is lost with 6e-7 here, which is less than what the bands miss.
@@ -247,6 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = F.coalesce("component", "id")
     comps = None
     left = bucket
+    linked = True
     for turn in range(STAR_ROUNDS + 1):
         if comps is not None:
             left = left.drop("component").join(comps, "id", "left").withColumn("component", label)
@@ -258,18 +260,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         scratch.drop(f"left-{turn - 1}", f"open-{turn}")
         if left.isEmpty():
             break
-        if turn < STAR_ROUNDS:
-            own = F.when(F.col("id") == F.col("center"), F.col("component"))
-            heart = left.select("key", own.alias("heart")).filter("heart IS NOT NULL") if turn else None
-            rim = left.filter("id <> center")
-            if heart is not None:
-                rim = rim.join(heart, "key").filter("component <> heart")
-            pairs = rim.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
-            links = links.union(confirmed(pairs, f"links-{turn}"))
-            left = left.filter("id <> center").drop("center", "size")
-        else:
+        if not linked or turn == STAR_ROUNDS:
             links = links.union(_rest(left, sets, percent, scratch))
-        comps = connected_components(links, scratch, f"cc-{turn}")
+            comps = connected_components(links, scratch, f"cc-{turn}")
+            break
+        more = 2 ** (turn - 1) - 1 if turn else 0
+        mid = (F.col("id") == F.col("center")) | (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("size")) < more)
+        heart = left.filter(mid).select("key", F.col("id").alias("hub"), F.col("component").alias("heart"))
+        rim = left.join(heart, "key").filter("component <> heart")
+        pairs = rim.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        found = confirmed(pairs, f"links-{turn}")
+        linked = not found.isEmpty()
+        left = left.filter(~mid).drop("center", "size")
+        if linked:
+            links = links.union(found)
+            comps = connected_components(links, scratch, f"cc-{turn}")
     rows = member.select("id", "n", "rep")
     if comps is not None:
         rows = rows.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
