@@ -159,7 +159,7 @@ def test_pipeline_equals_brute_force(spark, corpus, monkeypatch):
     assert learnt and not any(r[0] >= 900 for r in left)
     assert sum(r[0] < 90 for r in left) >= 85  # clean documents stay
 
-    groups = brute.near_duplicates([(r[0], r[1]) for r in left])
+    groups = brute.near_duplicates([(r[0], r[1]) for r in left], 80)
     keep = {i for i, _, c in groups if i == c}
     left = [r for r in left if r[0] in keep]
     assert len(keep) < len(groups) and sorted(after["minhash"]) == sorted(keep)
