@@ -158,7 +158,8 @@ def q_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, count(DISTINCT l_partkey) AS fan_out FROM lineitem GROUP BY l_orderkey")
 def q_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct().groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("fan_out"))
+    units = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("callees"))
+    return units.select("l_orderkey", fanin.fan_out(F.col("callees")).cast("long").alias("fan_out"))
 
 
 @query("""
@@ -421,16 +422,17 @@ def q_report_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as functions: a turn is a statement that writes its first three words and reads the next eight."""
+    """Conversations as functions: a turn is a statement that writes its first three words and reads all others."""
     words = F.split("text", " ")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(words, 1, 3).alias("writes"), F.slice(words, 4, 8).alias("reads"))
+    rest = F.slice(words, F.lit(4), F.greatest(F.size(words) - 3, F.lit(0)))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(words, 1, 3).alias("writes"), rest.alias("reads"))
     return turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "writes", "reads"))), lambda s: F.struct(s["writes"].alias("writes"), s["reads"].alias("reads"))).alias("statements"))
 
 
 def _slice_oracle(backward: bool) -> str:
     first, step, mine, theirs = ("max(turn)", "- 1", "writes", "reads") if backward else ("min(turn)", "+ 1", "reads", "writes")
     return f"""
-WITH RECURSIVE s AS (SELECT conv_id, turn, string_split(text, ' ')[1:3] AS writes, string_split(text, ' ')[4:11] AS reads FROM conversations),
+WITH RECURSIVE s AS (SELECT conv_id, turn, string_split(text, ' ')[1:3] AS writes, string_split(text, ' ')[4:] AS reads FROM conversations),
 o AS (SELECT conv_id, {first} AS turn FROM s GROUP BY 1),
 walk(conv_id, turn, names, taken) AS (
   SELECT s.conv_id, s.turn, s.{theirs}, [s.turn] FROM s JOIN o USING (conv_id, turn)
@@ -470,14 +472,15 @@ def q_sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STOP = "[" + ", ".join(f"'{w}'" for w in gate.STOP_WORDS) + "]"
 _TOKENS = r"list_filter(list_transform(list_filter(regexp_split_to_array({0}, '[^\p{{L}}\p{{N}}_]+'), lambda t: strlen(t) >= 3), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), lambda t: NOT list_contains({1}, t))"
 _CLAIMS = f"""claims AS (SELECT doc_id, unnest(generate_series(0, len(s) - 1))::INT AS ord, unnest(s) AS claim, content FROM
-  (SELECT d.doc_id, {_SENTENCES.replace("text", "d.text")} AS s, b.text AS content FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.lang = 'en')),
+  (SELECT d.doc_id, {_SENTENCES.replace("text", "d.text")} AS s, b.text AS content FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))),
 gated AS (SELECT doc_id, ord, list_has_any({_TOKENS.format("claim", _STOP)}, {_TOKENS.format("content", _STOP)}) AS entailed FROM claims)"""
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of English documents against the fact that their benchmark item states."""
+    """Every document's sentences against the fact that its benchmark item states; items are numbered from 0 and dealt to documents in turn."""
+    items = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("n")).scalar()
     bench = table(spark, sf_dir, "benchmark").select("item_id", F.array(F.struct(F.lit("f").alias("id"), F.col("text").alias("content"))).alias("facts"))
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % items).alias("item_id"))
     return gate.gated(docs.join(bench, "item_id"), "text", "facts").select("doc_id", "ord", "entailed", "supporting_fact_ids", "reason")
 
 
