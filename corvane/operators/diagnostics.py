@@ -47,6 +47,25 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.orderBy(rank_of(F.col("severity"), schemas.SEVERITY_RANK), ai, "file", F.col("range.start.line"), "source", "ord")
 
 
+def by_severity(rows: DataFrame, first: int) -> DataFrame:
+    """``(severity, n, first)``: the number of diagnostics of each severity, and the first so many in the client's order.
+
+    A severity's rows are cut before they are gathered: each of the five is one plain top-k.
+    """
+    out = []
+    for severity in schemas.SEVERITY_RANK:
+        some = rows.filter(F.col("severity") == severity)
+        top = ordered(some).limit(first).agg(F.collect_list(F.struct("file", "range", "source", "code", "message", "ord")).alias("first"))
+        out.append(some.agg(F.count(F.lit(1)).alias("n")).crossJoin(top).select(F.lit(severity).alias("severity"), "n", "first").filter("n > 0"))
+    return union(out)
+
+
+def snapshot(rows: DataFrame, prefix: int = 80) -> DataFrame:
+    """``(file, line, code, severity, message_prefix)`` of the sources that need no external tool, by file, line and code."""
+    own = rows.filter(F.col("source").isin(*schemas.AI_SOURCES))
+    return own.select("file", F.col("range.start.line").alias("line"), "code", "severity", F.substring("message", 1, prefix).alias("message_prefix")).orderBy("file", "line", "code")
+
+
 def chosen(rows: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, file: str | None = None) -> DataFrame:
     """Exclusion wins; an empty inclusion means all."""
     if include:

@@ -79,6 +79,16 @@ def ranked(scores: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.limit(max(1, limit))
 
 
+def snapshot(scores: DataFrame, key: str = "file") -> DataFrame:
+    """``(path, bucket, composite_hundredths)``, by path."""
+    return scores.select(F.col(key).alias("path"), "bucket", F.round(F.col("composite") * 100).cast("int").alias("composite_hundredths")).orderBy("path")
+
+
+def degraded(capabilities: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether any capability of a workspace is not available; one that isn't known counts as available."""
+    return capabilities.groupBy(*keys).agg(F.bool_or(~F.coalesce("available", F.lit(True))).alias("degraded"))
+
+
 def dominant(parts: tuple[str, ...] = ("novelty", "cognitive_complexity", "coupling", "ai_signal")) -> Column:
     """Name of the component with the largest value; the first of equals."""
     top = F.greatest(*(F.col(p) for p in parts))

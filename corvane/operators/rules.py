@@ -1,4 +1,4 @@
-"""The rule pack: rules as a table, and those that are plain patterns as a join."""
+"""The rule pack: rules as a table, and those that are plain patterns as column expressions."""
 
 from __future__ import annotations
 
@@ -61,18 +61,18 @@ def matches(texts: DataFrame, text: str, rules: tuple[Rule, ...] = RULES) -> Dat
 def hits_by_file(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``files(path, language, source)`` → every occurrence of the language's pattern rules with its line (from 0)."""
 
+    def lines(text: Column) -> Column:
+        return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+
     def occurrences(r: Rule) -> Column:
-        """Distinct texts that the rule's pattern matches, as structs."""
-        texts = F.array_distinct(F.regexp_extract_all("source", F.lit(f"({r.pattern})"), 1))
-        struct = lambda t: F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.cwe).cast("string").alias("cwe"), t.alias("text"))
-        return F.when(F.col("language").isin(*r.languages), F.transform(texts, struct)).otherwise(F.array())
+        """Lines on which the matches of the rule's pattern begin: the text is cut at them once, and newlines are counted along the pieces."""
+        hits = F.regexp_extract_all("source", F.lit(f"({r.pattern})"), 1)
+        steps = F.zip_with(F.split("source", r.pattern), hits, lambda piece, hit: F.struct(lines(piece).alias("before"), lines(hit).alias("inside"), hit.isNotNull().alias("hit")))
+        start = F.struct(F.lit(0).alias("line"), F.array().cast("array<int>").alias("out"))
+        found = F.aggregate(steps, start, lambda a, s: F.struct((a["line"] + s["before"] + F.coalesce(s["inside"], F.lit(0))).alias("line"), F.when(s["hit"], F.array_append(a["out"], a["line"] + s["before"])).otherwise(a["out"]).alias("out")))["out"]
+        struct = lambda line: F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.cwe).cast("string").alias("cwe"), line.alias("line"))
+        return F.when(F.col("language").isin(*r.languages), F.transform(found, struct)).otherwise(F.array())
 
     each = [occurrences(r) for r in rules if r.pattern]
-    rows = files.select("path", "source", F.explode(F.concat(*each)).alias("h")).select("path", "source", "h.*")
-    rows = rows.withColumn("pieces", F.split("source", F.concat(F.lit("\\Q"), "text", F.lit("\\E"))))
-    starts = F.transform(F.slice("pieces", F.lit(1), F.size("pieces") - 1), lambda p, i: i)
-    rows = rows.withColumn("nth", F.explode(starts))
-    before = F.array_join(F.slice("pieces", F.lit(1), F.col("nth") + 1), "")
-    lines = lambda s: F.char_length(s) - F.char_length(F.replace(s, F.lit("\n"), F.lit("")))
-    line = lines(before) + F.col("nth") * lines(F.col("text"))
-    return rows.select(F.col("path").alias("file"), "rule", "severity", "message", "cwe", line.cast("int").alias("line"))
+    rows = files.select("path", F.explode(F.concat(*each)).alias("h"))
+    return rows.select(F.col("path").alias("file"), "h.*")

@@ -317,3 +317,40 @@ def test_affected_and_events(spark):
     old = spark.createDataFrame([("a", "1", "c", "m", "error"), ("b", "1", "c", "m", "error")], kind)
     new = spark.createDataFrame([("a", "1", "c", "m", "error"), ("e", "2", "c", "m", "error")], kind)
     assert sorted(r["file"] for r in changes.events_of(old, new).collect()) == ["b", "e"]
+
+
+def test_hits_by_file_equal_plain_python(spark):
+    """Texts that would end a quoted pattern, several hits of one text, hits across lines, other languages and nulls."""
+    import re
+
+    from corvane.operators import rules
+
+    secret = 'password = "abcdefgh\\Eijklmnopqrs"'
+    texts = {
+        "a.py": f"x = 1\n{secret}\n\\Q\n{secret}\n{secret}",
+        "b.ts": "// é\n\ntoken: 'aaaaaaaaaaaaaaaaaaaa'\npass = \"admin\"; password='letmein'",
+        "c.py": "# fully implemented\n\n    pass\n# complete solution\n TODO\n",
+        "d.rs": secret,
+        "e.py": "",
+        "f.py": None,
+    }
+    language = {"py": "python", "ts": "typescript", "rs": "rust"}
+    rows = [(p, language[p[-2:]], t) for p, t in texts.items()]
+    got = sorted((r["file"], r["rule"], r["line"]) for r in rules.hits_by_file(spark.createDataFrame(rows, "path string, language string, source string")).collect())
+    want = [(p, r.id, t[: m.start()].count("\n")) for p, lang, t in rows for r in rules.RULES if r.pattern and lang in r.languages and t for m in re.finditer(r.pattern, t)]
+    assert got == sorted(want) and len(got) == 8
+
+
+def test_degraded_and_snapshots(spark):
+    from corvane.operators import diagnostics, health
+
+    caps = spark.createDataFrame([(1, True), (1, None), (2, True), (2, False)], "w int, available boolean")
+    assert sorted(map(tuple, health.degraded(caps, ["w"]).collect())) == [(1, False), (2, True)]
+    scores = spark.createDataFrame([("b", 0.405, "yellow"), ("a", 0.0, "green")], "file string, composite double, bucket string")
+    assert [tuple(r) for r in health.snapshot(scores).collect()] == [("a", "green", 0), ("b", "yellow", 41)]
+    point = "struct<start:struct<line:int,col:int>,end:struct<line:int,col:int>>"
+    rows = [(f, ((n, 0), (n, 0)), s, c, "error", "m" * 99, n) for f, n, s, c in [("b", 1, "binding", "x"), ("a", 9, "cwe", "y"), ("a", 2, "tsc", "z"), ("a", 9, "binding", "x")]]
+    df = spark.createDataFrame(rows, f"file string, range {point}, source string, code string, severity string, message string, ord int")
+    assert [tuple(r) for r in diagnostics.snapshot(df).collect()] == [("a", 9, "x", "error", "m" * 80), ("a", 9, "y", "error", "m" * 80), ("b", 1, "x", "error", "m" * 80)]
+    (only,) = diagnostics.by_severity(df, 2).collect()
+    assert (only["severity"], only["n"], [d["ord"] for d in only["first"]]) == ("error", 4, [9, 9])
