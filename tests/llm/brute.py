@@ -238,6 +238,18 @@ def license_places(text, templates):
     return [(name, i) for name, phrase in templates for p in [phrase.split()] for i in range(len(w)) if w[i : i + len(p)] == p]
 
 
+def license_notices(text, templates, library):
+    """Every template at every beginning that words of both posted halves agree on: ``(label, start, share, whether a key phrase is whole)``."""
+    w = license_words(text)
+    out = []
+    for (name, _, _), (words, posts, keys) in zip(templates, library, strict=True):
+        first, second = ({i - at for at in half for i, x in enumerate(w) if x == words[at]} for half in posts)
+        for start in first & second:
+            ok = [0 <= start + k < len(w) and w[start + k] == x for k, x in enumerate(words)]
+            out.append((name, start, sum(ok) / len(ok), any(all(ok[a : a + n]) for a, n in keys)))
+    return out
+
+
 def marginals(e, chain):
     """P(state 1) of each place, by summing over all sequences."""
     n = len(e)

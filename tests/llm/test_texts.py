@@ -334,27 +334,46 @@ def test_plan_equals_best_fit_decreasing(counts):
 
 
 def test_licenses_equal_brute_force(spark):
-    phrases = [p for _, p in licenses.TEMPLATES]
+    phrases = [p for _, p, _ in licenses.TEMPLATES]
     rng = random.Random(12)
     rows = [(0, None), (1, ""), (2, " .. "), (None, "under the mit license"), (3, "Under THE MIT-license under the mit license"), (4, "İ under the mit licenſe K"), (5, "apache license version 2.0, CC BY-NC 4.0"), (5, "apache license version 2.0, CC BY-NC 4.0"), (6, "mit " * 20_000 + "under the mit license")]
     for i in range(7, 120):
-        parts = [rng.choice([rng.choice(phrases), rng.choice(phrases)[:-3], data.word(rng), "the mit", "license"]) for _ in range(rng.randint(1, 9))]
+        parts = [rng.choice([rng.choice(phrases[:12]), rng.choice(phrases[:12])[:-3], data.word(rng), "the mit", "license"]) for _ in range(rng.randint(1, 9))]
         rows.append((i, rng.choice([" ", ", ", "\n-"]).join(parts).title() if i % 2 else " ".join(parts)))
+    for i in range(120, 200):  # notices cut at either end, with words changed
+        w = rng.choice(phrases[12:]).split()
+        w = w[rng.randint(0, len(w) // 2) :][: rng.randint(5, len(w))]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = data.word(rng)
+        rows.append((i, data.prose(rng, rng.randint(0, 9)) + "\n * " + " ".join(w) + rng.choice(["", ".\n", " " + data.prose(rng, 5)])))
+    library = licenses.library()
     out = sorted(licenses.scanned(data.clashing(spark.createDataFrame(rows, TEXT))).collect(), key=lambda r: (str(r["doc_id"]), r["n_words"]))
     for r, (_, text) in zip(out, sorted(rows, key=lambda x: (str(x[0]), len(brute.license_words(x[1])))), strict=True):
-        places = brute.license_places(text, licenses.TEMPLATES)
-        base = brute.license_places(text, licenses.TEMPLATES[: licenses.BASE_TEMPLATES])
+        notices = brute.license_notices(text, licenses.TEMPLATES, library)
+        base = brute.license_places(text, [t[:2] for t in licenses.TEMPLATES[: licenses.BASE_TEMPLATES]])
         assert r["n_words"] == len(brute.license_words(text))
         assert (r["n_base"], r["base_labels"]) == (len(base), ",".join(sorted({n for n, _ in base})))
         assert (r["first_word"], r["last_word"]) == ((min(i for _, i in base), max(i for _, i in base)) if base else (None, None))
-        assert r["labels"] == ",".join(sorted({n for n, _ in places}))
-        assert sorted((p["label"], p["start"]) for p in r["places"]) == sorted(places)
-        assert (r["score"] == 1) == bool(places) and 0 <= r["score"] <= 1
+        assert r["labels"] == ",".join(sorted({n for n, _, _, whole in notices if whole}))
+        assert {n for n, _ in base} <= {n for n, _, _, whole in notices if whole}
+        assert sorted((p["label"], p["start"], p["share"]) for p in r["places"]) == sorted(n[:3] for n in notices if n[3])
+        assert r["score"] == max((share for _, _, share, _ in notices), default=0)
     assert licenses.scanned(spark.createDataFrame([], TEXT)).count() == 0
     plan = licenses.scanned(spark.createDataFrame(rows, TEXT))._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_each_notice_is_found_by_its_name(spark):
+    """A whole notice gives its label and a score of 1, a cut one its label and a part; templates are notices of some length."""
+    rows = [(2 * k + cut, "x " + " ".join(text.split()[2 * cut :]) + " y") for k, (_, text, _) in enumerate(licenses.TEMPLATES) for cut in (0, 1)]
+    got = {r["doc_id"]: r for r in licenses.scanned(spark.createDataFrame(rows, TEXT)).collect()}
+    for k, (name, text, _) in enumerate(licenses.TEMPLATES):
+        assert name in got[2 * k]["labels"].split(",") and got[2 * k]["score"] == 1
+        if any(place >= 2 for place, _ in licenses.library()[k].keys):  # a key phrase is left
+            assert any(p["label"] == name and p["start"] == -1 and 0.8 < p["share"] < 1 for p in got[2 * k + 1]["places"])
+    assert sum(len(t.split()) >= 20 for _, t, _ in licenses.TEMPLATES) >= 12
+
+
 # --- language model -----------------------------------------------------------------------------------------------
 
 
