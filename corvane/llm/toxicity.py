@@ -1,18 +1,19 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
 Documents carry labels, the field needs labelled tokens.  They come from a greedy cover: among the
-words, word beginnings and word ends that hardly occur in clean documents, take again and again the
-one found in most toxic documents that none so far explains, until the next would explain too few.
+words, word beginnings and word ends that hardly occur, or hardly occur often, in clean documents, take again and again the
+one found in most toxic documents that none so far explains, until the next would explain too few.  Then
+the cover begins anew without the features it has, for those alone that many documents have, until there is none.  Near copies in the sample count once.
 Tokens of toxic documents with a chosen feature are labelled toxic, all others clean.  The field has
 two states, features of the word itself, its beginnings and its end, and transitions; it is fitted by
-gradient ascent with forward-backward sums over windows of the sample's tokens.
+gradient ascent with forward-backward sums over all tokens of the sample's whole texts, in pieces of ``PIECE`` words.
 
 Scoring runs forward-backward over every whole text.  Marginals of at least ``SPAN`` give the offending
-offsets; their maximum and their sum go through a logistic curve fitted on the sample, which gives
+offsets; their maximum, their sum and its share of the words go through a logistic curve fitted on the sample, which gives
 the document's score.
 
 Only the fit uses a sample: at most ``TRAIN_DOCS`` labelled documents of each class, by the hash of their
-id, of at most ``TRAIN_BYTES`` bytes each.
+id, of at most ``TRAIN_BYTES`` bytes each; these are its documented bounds.
 """
 
 from __future__ import annotations
@@ -28,17 +29,21 @@ from pyspark.sql import functions as F
 from corvane.llm import kernel as K
 from corvane.llm.scratch import Scratch
 
-TRAIN_DOCS = 2500
+TRAIN_DOCS = 2000
 TRAIN_BYTES = 20_000
 CUTOFF = 0.7
 SPAN = 0.5
 #: The kinds of feature: the word, and so many of its first or (negative) last bytes.
-KINDS = (0, 4, 5, 6, -4, -5)
+KINDS = (0, 4, 5, 6, 7, 8, -4, -5)
 #: A seed is found in at least this share of the toxic sample that no other seed explains, and at least so many documents.
-SEED_SHARE, SEED_DOCS = 0.002, 4
+SEED_SHARE, SEED_DOCS = 0.002, 3
 PURITY = 0.98
-AROUND = 6
-EPOCHS = 120
+#: A feature that explains no new document must be found in this share of the toxic sample.
+MANY = 0.05
+#: A feature is met often in a text that has it twice or more, and in this share of its words; marked by this bit of its hash.
+OFTEN_SHARE, OFTEN = 0.01, np.uint64(1 << 63)
+PIECE = 64
+EPOCHS = 40
 L2 = 2e-4
 #: Texts that share a step of the forward-backward pass, and bytes of text taken at once so that there are enough of them.
 SIDE = 256
@@ -56,7 +61,7 @@ def features(w: K.Words) -> np.ndarray:
         long = size > abs(k)
         a = w.end[long] + k if k < 0 else w.start[long]
         b = w.start[long] + k if k > 0 else w.end[long]
-        out[long, j] = K.mix64(w.span_hash(sums, a, b) + np.uint64(j + 1))
+        out[long, j] = K.mix64(w.span_hash(sums, a, b) + np.uint64(j + 1)) & ~OFTEN | np.uint64(1)
     return out
 
 
@@ -121,11 +126,15 @@ def marginals(field: Field, e: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 
 def _curve_inputs(p: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    full = np.flatnonzero(np.diff(ptr))
-    top = np.zeros(len(ptr) - 1)
+    """One, the largest marginal, its log odds, the log of the marginals' sum, and that of the sum for each hundred words."""
+    n = np.diff(ptr)
+    full = np.flatnonzero(n)
+    top = np.zeros(len(n))
     if len(full):
         top[full] = np.maximum.reduceat(p, ptr[full])
-    return np.column_stack((np.ones(len(top)), top, np.log1p(K.sums_by_text(p, ptr))))
+    total = K.sums_by_text(p, ptr)
+    odds = np.log(np.clip(top, 1e-3, 1 - 1e-3)) - np.log1p(-np.clip(top, 1e-3, 1 - 1e-3))
+    return np.column_stack((np.ones(len(top)), top, odds / 7, np.log1p(total), np.log1p(100 * total / np.maximum(n, 1))))
 
 
 def _features(texts: pa.Array) -> Iterator[tuple[int, K.Words, np.ndarray]]:
@@ -136,14 +145,18 @@ def _features(texts: pa.Array) -> Iterator[tuple[int, K.Words, np.ndarray]]:
 
 
 def _distinct(w: K.Words, f: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs of a run."""
+    """Distinct (text, feature) pairs of a run; features that a text has often come a second time, marked."""
     doc, flat = np.repeat(w.doc() + first, f.shape[1]), f.ravel()
     doc, flat = doc[flat != 0], flat[flat != 0]
     order = np.lexsort((flat, doc))
     doc, flat = doc[order], flat[order]
     new = np.ones(len(flat), bool)
     new[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], flat[new]
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(flat)))
+    doc, flat = doc[at], flat[at]
+    often = (times >= 2) & (times >= OFTEN_SHARE * np.diff(w.ptr)[doc - first])
+    return np.concatenate((doc, doc[often])), np.concatenate((flat, flat[often] | OFTEN))
 
 
 def _often(texts: pa.Array, least: float) -> np.ndarray:
@@ -168,8 +181,23 @@ def _pairs(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(found)
 
 
+def originals(texts: pa.Array) -> np.ndarray:
+    """Whether each text shares none of four smallest hashes of its five-word windows with a text before it; texts of fewer words stay."""
+    seen: set[tuple[int, int]] = set()
+    out = np.ones(len(texts), bool)
+    for run in K.runs(texts):
+        w = K.words(run)
+        windows, ptr = K.windows(w.hashes(), w.ptr, 5)
+        for i in np.flatnonzero(np.diff(ptr)):
+            part = windows[ptr[i] : ptr[i + 1]]
+            mine = {(k, int((part * np.uint64(2 * k + 3) if k else part).min())) for k in range(4)}
+            out[run.first + i] = not (mine & seen)
+            seen |= mine
+    return out
+
+
 def seeds(bad: pa.Array, good: pa.Array) -> np.ndarray:
-    """Feature hashes that the greedy cover chooses, from texts labelled toxic and clean."""
+    """Feature hashes that the greedy cover chooses, from texts labelled toxic and clean, whether it takes them for occurring at all or often."""
     least = max(SEED_DOCS, SEED_SHARE * len(bad))
     keys = _often(bad, least)
     if not len(keys):
@@ -180,59 +208,75 @@ def seeds(bad: pa.Array, good: pa.Array) -> np.ndarray:
     rate = n / len(bad)
     may = rate / (rate + clean / max(len(good), 1)) >= PURITY
     owner, inv = owner[may[inv]], inv[may[inv]]
-    left, chosen = np.ones(len(bad), bool), []
-    while len(inv):
-        gain = np.bincount(inv, minlength=len(keys))
-        best = int(np.argmax(gain))
-        if gain[best] < least:
-            break
-        chosen.append(keys[best])
-        left[owner[inv == best]] = False
-        stay = left[owner]
-        owner, inv = owner[stay], inv[stay]
-    return np.array(sorted(chosen), np.uint64)
+    chosen: list[int] = []
+
+    def cover(owner: np.ndarray, inv: np.ndarray, least: float) -> int:
+        left, before = np.ones(len(bad), bool), len(chosen)
+        while len(inv):
+            gain = np.bincount(inv, minlength=len(keys))
+            best = int(np.argmax(gain))
+            if gain[best] < least:
+                break
+            chosen.append(best)
+            left[owner[inv == best]] = False
+            stay = left[owner]
+            owner, inv = owner[stay], inv[stay]
+        return len(chosen) - before
+
+    found = cover(owner, inv, least)
+    while found:
+        fresh = ~np.isin(inv, chosen)
+        owner, inv = owner[fresh], inv[fresh]
+        found = cover(owner, inv, max(least, MANY * len(bad)))
+    chosen = keys[chosen]
+    return np.unique(np.array(chosen, np.uint64) & ~OFTEN)
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Field:
     """A field from labelled documents; ``prior`` is the share of toxic ones among all that are labelled."""
-    empty = Field(np.zeros(0, np.uint64), np.zeros(0), -20.0, np.zeros((2, 2)), np.array([np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), 0, 0]))
+    empty = Field(np.zeros(0, np.uint64), np.zeros(0), -20.0, np.zeros((2, 2)), np.array([np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), 0, 0, 0, 0]))
     if not len(texts) or toxic.all() or not toxic.any():
         return empty
+    own = originals(texts)
+    texts, toxic = texts.filter(pa.array(own)), toxic[own]
+    if toxic.all() or not toxic.any():
+        return empty
     seed = seeds(texts.filter(pa.array(toxic)), texts.filter(pa.array(~toxic)))
     if not len(seed):
         return empty
 
-    rng = np.random.default_rng(7)
-    span = 2 * AROUND + 1
+    # Features that hardly any toxic document has tell nothing; index 0 stands for them.
+    keys = np.unique(np.append(_often(texts.filter(pa.array(toxic)), SEED_DOCS) & ~OFTEN, np.uint64(0)))
     rows, marks, beside = [], [], [np.zeros(0, np.uint64)]
     for first, w, f in _features(texts):
+        at = np.searchsorted(keys, f)
+        at[at == len(keys)] = 0
+        at = np.where(keys[at] == f, at, 0).astype(np.int32)
+        doc = w.doc()
         hits = np.isin(f, seed).any(1)
         beside.append(np.unique(f[hits]))
-        for i in range(len(w.ptr) - 1):
-            a, b = w.ptr[i], w.ptr[i + 1]
-            if a == b:
-                continue
-            mark = hits[a:b] & bool(toxic[first + i])
-            for c in np.append(np.flatnonzero(mark)[:4], rng.integers(0, b - a, 2)):
-                at = np.arange(c - AROUND, c + AROUND + 1)
-                ok = (at >= 0) & (at < b - a)
-                row, m = np.zeros((span, len(KINDS)), np.uint64), np.full(span, -1, np.int8)
-                row[ok], m[ok] = f[a + at[ok]], mark[at[ok]]
-                rows.append(row)
-                marks.append(m)
+        mark = hits & toxic[first + doc]
+        pieces = -(-np.diff(w.ptr) // PIECE)  # of each text
+        place = np.arange(len(doc)) - w.ptr[doc]
+        piece = (np.cumsum(pieces) - pieces)[doc] + place // PIECE
+        row, m = np.zeros((int(pieces.sum()), PIECE, len(KINDS)), np.int32), np.full((int(pieces.sum()), PIECE), -1, np.int8)
+        row[piece, place % PIECE], m[piece, place % PIECE] = at, mark
+        rows.append(row)
+        marks.append(m)
     may = np.unique(np.concatenate(beside))
-    x, y = np.array(rows), np.array(marks)
-    keys, inv = np.unique(x.ravel(), return_inverse=True)
-    inv = inv.reshape(x.shape)
+    inv, y = np.concatenate(rows), np.concatenate(marks)
     weights, bias, chain = np.zeros(len(keys)), -2.0, np.zeros((2, 2))
     zero = keys == 0
     valid = y >= 0
     g2 = [np.full(len(keys), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
-    total = len(x)
+    total = len(y)
     for _ in range(EPOCHS):
-        p, joint = _batch_marginals(weights[inv].sum(2) + bias, chain, valid)
+        e = np.full(y.shape, bias)
+        for j in range(len(KINDS)):
+            e += weights[inv[:, :, j]]
+        p, joint = _batch_marginals(e, chain, valid)
         err = np.where(valid, (y == 1) - p, 0.0)
-        grad = np.bincount(inv.ravel(), np.repeat(err.ravel(), len(KINDS)), len(keys)) / total - L2 * weights
+        grad = sum(np.bincount(inv[:, :, j].ravel(), err.ravel(), len(keys)) for j in range(len(KINDS))) / total - L2 * weights
         grad[zero] = 0
         gb = err.sum() / total
         gc = np.zeros((2, 2))
@@ -252,11 +296,11 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Field:
     z = np.vstack([_curve_inputs(marginals(field, field.emissions(f), w.ptr), w.ptr) for _, w, f in _features(texts)])
     share = toxic.mean()
     weight = np.where(toxic, prior / share, (1 - prior) / (1 - share))
-    curve = np.zeros(3)
+    curve, ridge = np.zeros(z.shape[1]), np.array([1e-3] + [1e-1] * (z.shape[1] - 1))
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(z @ curve, -30, 30)))
-        h = (z * (weight * q * (1 - q))[:, None]).T @ z + np.diag([1e-3, 1e-1, 1e-1])
-        step = np.linalg.solve(h, z.T @ (weight * (toxic - q)) - np.array([1e-3, 1e-1, 1e-1]) * curve)
+        h = (z * (weight * q * (1 - q))[:, None]).T @ z + np.diag(ridge)
+        step = np.linalg.solve(h, z.T @ (weight * (toxic - q)) - ridge * curve)
         curve += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break

@@ -129,7 +129,9 @@ def _score(field, text):
             b = tuple(sum(math.exp(field.chain[a][c]) * x[c] * back[k + 1][c] for c in (0, 1)) for a in (0, 1))
             back[k] = tuple(v / sum(b) for v in b)
     p = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(ahead, back, strict=True)]
-    z = field.curve[0] + field.curve[1] * max(p, default=0.0) + field.curve[2] * math.log1p(sum(p))
+    top = max(p, default=0.0)
+    odds = math.log(min(max(top, 1e-3), 1 - 1e-3) / (1 - min(max(top, 1e-3), 1 - 1e-3)))
+    z = sum(a * b for a, b in zip(field.curve, (1, top, odds / 7, math.log1p(sum(p)), math.log1p(100 * sum(p) / max(n, 1))), strict=True))
     return 1 / (1 + math.exp(-z))
 
 

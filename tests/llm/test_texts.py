@@ -150,6 +150,26 @@ def test_toxicity_on_held_out_documents(spark):
     assert 0.6 * len(docs) < stay.count() < 0.8 * len(docs)
 
 
+def test_near_copies_count_once_and_rates_tell():
+    """A family of toxic copies names no words of its own; a stem that clean texts have once marks texts that have it often."""
+    rng = random.Random(13)
+    family = data.prose(rng, 80)
+    copies = [family + f" end{k}" for k in range(60)]
+    assert toxicity.originals(pa.array([*copies, "a b", "a b", None, data.prose(rng, 30)])).tolist() == [True, *[False] * 59, True, True, True, True]
+    good = [data.prose(rng, 60) + (f" gromblat{data.word(rng)}" if k % 9 == 0 else "") for k in range(400)]
+    bad = [" ".join(f"gromblat{data.word(rng)}" if rng.random() < 0.08 else data.word(rng) for _ in range(rng.randint(60, 120))) for _ in range(60)]
+    texts, toxic = pa.array(good[:300] + bad[:45] + copies), np.array([False] * 300 + [True] * 105)
+    field = toxicity.fit(texts, toxic, 0.15)
+
+    def score(text):
+        w = kernel.words(next(kernel.runs(pa.array([text]))), kernel.NOT_ALNUM)
+        z = toxicity._curve_inputs(toxicity.marginals(field, field.emissions(toxicity.features(w)), w.ptr), w.ptr) @ field.curve
+        return 1 / (1 + math.exp(-float(z[0])))
+
+    assert sum(score(t) >= 0.7 for t in bad[45:]) >= 13
+    assert sum(score(t) >= 0.7 for t in good[300:]) <= 2
+
+
 def test_toxicity_odd_rows(spark):
     docs, labels = _labelled(300)
     y = spark.createDataFrame([*labels, (None, 1), (1, None), (2, 1), (2, 0)], "doc_id long, toxic int")
