@@ -206,7 +206,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     non-finite component, a null label and a null id link with nothing, and are kept.  Vectors of different lengths
     never link.  Equal vectors are one class with its number of copies; they are compared once, and each copy's
     links count the other copies.  A row that repeats with its id is a copy like any other; an id should name one vector: of
-    rows that share id and label but not the vector, one is compared for all.  An empty table gives an empty table.
+    rows that share id and label but not the vector, the smallest vector is compared for all.  An empty table gives an empty table.
     """
     scratch = Scratch(vectors.sparkSession, "collisions")
     v = F.col(vector_col).cast("array<double>")
@@ -222,7 +222,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = scratch.table("classes", able.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
     member = able.select("id", "v", *key).join(classes, key, "left").select("id", "label", "v", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
     member = scratch.table("members", member)
-    reps = member.filter("id = rep").dropDuplicates(["id", "label"]).select("id", "label", "copies", "v")
+    reps = member.filter("id = rep").groupBy("id", "label").agg(F.min(F.struct("v", "copies")).alias("one")).select("id", "label", "one.copies", "one.v")
     kind = reps.schema["label"].dataType.simpleString()
     placed = scratch.table("placed", reps.mapInArrow(_placed(depth, tables), f"id long, label {kind}, copies long, v binary, cells array<long>"))
 
