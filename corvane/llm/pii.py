@@ -6,12 +6,14 @@ deterministic local parsers expand to the left and right and validate what they
 looks again at what an earlier match or attempt of its kind has covered, so the work stays linear in the text.
 
 Base kinds: ``email``, ``ip``, ``card`` and ``phone``.  Kinds that the method adds:
-    secret   the value after ``password``, ``token``, ``secret`` or ``api key`` and ``=`` or ``:``
-    login    ``user:password`` before the host of a URL
+    secret   the value after ``password``, ``token``, ``secret`` or ``api key``, or a name that ends so, and ``=`` or ``:``
+    login    ``user:password`` of any length before the host of a URL
     iban     after its cue, valid by its remainder mod 97
     ssn      after its cue, ``ddd-dd-dddd``
     account  6 to 17 digits after ``account``, ``acct`` or ``account number``
-    address  a house number and one to four capitalised words before a street word
+    address  a house number and one to four capitalised words, of at most 31 characters each, before a street word
+
+Cues are met in any case; but for secrets, a cue begins a word, or a part of a name written like ``userAccount``.
 """
 
 from __future__ import annotations
@@ -45,12 +47,13 @@ _SECRET = re.compile(r"""["']?[ \t]?[=:][ \t]?["']?([^\s"',;]{6,})""")
 _IBAN = re.compile(r"[ :#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 _SSN = re.compile(r"[ :#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _ACCOUNT = re.compile(r"(?: ?(?:number|no\.?|nr\.?|#))?[ :#]{0,3}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
-_LOGIN = re.compile(r"[^\s/@:]{1,64}:[^\s/@]{1,128}(?=@[A-Za-z0-9-])")
+_LOGIN = re.compile(r"[^\s/@:]++:[^\s/@]++(?=@[A-Za-z0-9-])")  # never reads past the next slash, so a text is read once for all its URLs
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _HOUSE = re.compile(r"(?<![^\s,;(])[0-9]{1,5}[A-Za-z]?(?: [A-Z][A-Za-z'.-]{0,30}){1,4} $")
 
 
 def automaton() -> ahocorasick.Automaton:
-    """Anchors with their kind of parser; cues in lower case, capitalised and in capitals."""
+    """Anchors with their kind of parser, for lower-cased texts."""
     a = ahocorasick.Automaton()
     for c in "0123456789":
         a.add_word(c, ("digit", 1))
@@ -59,12 +62,17 @@ def automaton() -> ahocorasick.Automaton:
     a.add_word("://", ("login", 3))
     for kind, cues in _CUES.items():
         for cue in cues:
-            for form in {cue, cue.capitalize(), cue.title(), cue.upper()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
 
+def lowered(text: str) -> str:
+    """The text in lower case with every character in its place: where one would become two, only A to Z are lowered."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -82,7 +90,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int,
     """Spans of each kind as code-point offsets, in order; spans of one kind never overlap."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     seen = dict.fromkeys((*KINDS, "digits"), 0)  # for each kind, where its next match may begin
-    for last, (kind, size) in anchors.iter(text):
+    for last, (kind, size) in anchors.iter(lowered(text)):
         start = last + 1 - size
         if kind == "digit":
             if start >= seen["card"]:
@@ -125,7 +133,8 @@ def find(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int,
                     out[kind].append((low + m.start(), last + 1))
                     seen[kind] = last + 1
                 continue
-            if kind != "login" and start and (text[start - 1].isalnum()):
+            inner = start and text[start - 1].isalnum()
+            if inner and kind not in ("login", "secret") and not (text[start].isupper() and not text[start - 1].isupper()):
                 continue
             m = {"secret": _SECRET, "iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT, "login": _LOGIN}[kind].match(text, last + 1)
             if m is None:

@@ -208,6 +208,15 @@ def test_added_kinds():
     assert not any(pii.find("the account of a street, token of trust; password reset and no data", pii.automaton()).values())
 
 
+def test_cues_in_names_and_logins_of_any_length():
+    long_user, long_word = "u" * 500, "p" * 3000
+    text = f"İ accessToken=abcdef12 apiKey: 'xyz12345' dbpassword=hunter22 ToKeN=qwerty77 userAccount 12345678 subaccount 87654321 https://{long_user}:{long_word}@host.org/"
+    found = pii.find(text, pii.automaton())
+    got = {k: [text[a:b] for a, b in found[k]] for k in ("secret", "account", "login")}
+    assert got == {"secret": ["abcdef12", "xyz12345", "hunter22", "qwerty77"], "account": ["12345678"], "login": [f"{long_user}:{long_word}"]}
+    assert not pii.find("://" * 200_000 + "a:" * 200_000, pii.automaton())["login"]
+
+
 def test_spans_and_masks(spark):
     rows = [(1, "é a@b.co x"), (2, None), (3, ""), (None, "none"), (1, "é a@b.co x"), (4, "5" * 30_000 + " " + "1." * 5000)]
     df = spark.createDataFrame(rows, TEXT)
