@@ -48,6 +48,8 @@ L2 = 2e-4
 #: Texts that share a step of the forward-backward pass, and bytes of text taken at once so that there are enough of them.
 SIDE = 256
 RUN = 1 << 20
+#: Pieces of the sample whose marginals are held at once by the fit.
+STEP = 2048
 #: Longest text of a step times the texts beside it, at most.
 CELLS = 1 << 20
 
@@ -139,7 +141,7 @@ def _curve_inputs(p: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 def _features(texts: pa.Array) -> Iterator[tuple[int, K.Words, np.ndarray]]:
     """Runs of texts with the index of their first text, so that no more than one run's features are held."""
-    for run in K.runs(texts):
+    for run in K.runs(texts, RUN):
         w = K.words(run, K.NOT_ALNUM)
         yield run.first, w, features(w)
 
@@ -170,15 +172,23 @@ def _often(texts: pa.Array, least: float) -> np.ndarray:
 
 def _pairs(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of a text and the index of one of the sorted features ``known``."""
-    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    owners, found = zip(*_known(texts, known), strict=True)
+    return np.concatenate(owners), np.concatenate(found)
+
+
+def _met_in(texts: pa.Array, known: np.ndarray) -> np.ndarray:
+    """In how many texts each of the sorted features ``known`` is found."""
+    return sum((np.bincount(at, minlength=len(known)) for _, at in _known(texts, known)), np.zeros(len(known), np.int64))
+
+
+def _known(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, run by run."""
     for first, w, f in _features(texts):
         doc, flat = _distinct(w, f, first)
         at = np.searchsorted(known, flat)
         at[at == len(known)] = 0
         keep = known[at] == flat
-        owners.append(doc[keep])
-        found.append(at[keep])
-    return np.concatenate(owners), np.concatenate(found)
+        yield doc[keep].astype(np.int32), at[keep].astype(np.int32)
 
 
 def originals(texts: pa.Array) -> np.ndarray:
@@ -204,7 +214,7 @@ def seeds(bad: pa.Array, good: pa.Array) -> np.ndarray:
         return keys
     owner, inv = _pairs(bad, keys)
     n = np.bincount(inv, minlength=len(keys))
-    clean = np.bincount(_pairs(good, keys)[1], minlength=len(keys))
+    clean = _met_in(good, keys)
     rate = n / len(bad)
     may = rate / (rate + clean / max(len(good), 1)) >= PURITY
     owner, inv = owner[may[inv]], inv[may[inv]]
@@ -264,26 +274,29 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Field:
         rows.append(row)
         marks.append(m)
     may = np.unique(np.concatenate(beside))
-    inv, y = np.concatenate(rows), np.concatenate(marks)
+    steps = [(r[i : i + STEP], m[i : i + STEP]) for r, m in zip(rows, marks, strict=True) for i in range(0, len(m), STEP)]
     weights, bias, chain = np.zeros(len(keys)), -2.0, np.zeros((2, 2))
     zero = keys == 0
-    valid = y >= 0
     g2 = [np.full(len(keys), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
-    total = len(y)
+    total = sum(len(y) for _, y in steps)
     for _ in range(EPOCHS):
-        e = np.full(y.shape, bias)
-        for j in range(len(KINDS)):
-            e += weights[inv[:, :, j]]
-        p, joint = _batch_marginals(e, chain, valid)
-        err = np.where(valid, (y == 1) - p, 0.0)
-        grad = sum(np.bincount(inv[:, :, j].ravel(), err.ravel(), len(keys)) for j in range(len(KINDS))) / total - L2 * weights
+        grad, gb, gc = np.zeros(len(keys)), 0.0, np.zeros((2, 2))
+        for inv, y in steps:
+            valid = y >= 0
+            e = np.full(y.shape, bias)
+            for j in range(len(KINDS)):
+                e += weights[inv[:, :, j]]
+            p, joint = _batch_marginals(e, chain, valid)
+            err = np.where(valid, (y == 1) - p, 0.0)
+            gb += err.sum()
+            grad += np.bincount(inv.ravel(), np.repeat(err.ravel(), len(KINDS)), len(keys))
+            pair = valid[:, 1:] & valid[:, :-1]
+            for a in (0, 1):
+                for b in (0, 1):
+                    gc[a, b] += ((y[:, :-1] == a) & (y[:, 1:] == b) & pair).sum() - (joint[a][b] * pair).sum()
+        grad = grad / total - L2 * weights
         grad[zero] = 0
-        gb = err.sum() / total
-        gc = np.zeros((2, 2))
-        pair = valid[:, 1:] & valid[:, :-1]
-        for a in (0, 1):
-            for b in (0, 1):
-                gc[a, b] = (((y[:, :-1] == a) & (y[:, 1:] == b) & pair).sum() - (joint[a][b] * pair).sum()) / total - L2 * chain[a, b]
+        gb, gc = gb / total, gc / total - L2 * chain
         g2[0] += grad**2
         g2[1] += gb**2
         g2[2] += gc**2
