@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, brown, chat, collisions, licenses, packing, pii, quality, toxicity
+from corvane.llm import bpe, brown, chat, collisions, langid, licenses, packing, phrases, pii, quality, toxicity
 from corvane.llm.minhash import near_duplicates
 
 
@@ -94,6 +94,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents")).drop("places")
 
 
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fourth = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(~fourth))
+    out = langid.predicted(docs, model)
+    return out.select("doc_id", fourth.alias("held_out"), "lang_pred", "score", "n_words", "n_known")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
@@ -105,6 +117,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_brown": op9_brown,
     "op10_licenses": op10_licenses,
+    "op11_langid": op11_langid,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -128,4 +142,5 @@ SELECT t.conv_id, t.turn, 0, 'result', t.role, 'c' || (t.turn - 1), c.turn IS NO
 FROM t LEFT JOIN placed c ON c.conv_id = t.conv_id AND c.turn = t.turn - 1 WHERE t.role = 'user' AND t.turn > 0
 """,
     "op10_licenses": licenses.oracle(),
+    "op12_phrases": phrases.oracle(),
 }

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.shipping import ship
 
@@ -36,6 +37,11 @@ def unused(names: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` to be broadcast if it was counted to have at most so many rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 class Scratch:
     """Named Parquet tables of one run, under a folder of its own in the shared folder.
 
