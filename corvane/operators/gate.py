@@ -27,17 +27,32 @@ def tokens(text: Column) -> Column:
     return F.array_except(low, F.array(*map(F.lit, STOP_WORDS)))
 
 
+def tokenised(cases: DataFrame, facts: str) -> DataFrame:
+    """Adds to each fact of the array ``facts`` its tokens, so that they are made once for a table of facts that is joined to many texts."""
+    return cases.withColumn(facts, F.transform(facts, lambda f: F.struct(f["id"].alias("id"), f["content"].alias("content"), tokens(f["content"]).alias("tokens"))))
+
+
+def verdicts(cases: DataFrame, text: str, facts: str) -> DataFrame:
+    """Adds ``verdicts``, an array with ``claim``, ``entailed`` and ``supporting_fact_ids`` of each sentence.  ``facts`` come from ``tokenised``; null means none.
+
+    Sentences are judged within their row, so neither text nor facts are copied to each of them.
+    """
+    cut = F.transform(sentences(F.col(text)), lambda s: F.struct(s.alias("claim"), tokens(s).alias("t")))
+    known = F.coalesce(F.col(facts), F.filter(facts, lambda f: F.lit(False)), F.array().cast("array<struct<id:string,content:string,tokens:array<string>>>"))
+    support = lambda c: F.transform(F.filter(known, lambda f: F.arrays_overlap(f["tokens"], c["t"])), lambda f: f["id"].cast("string"))
+    found = F.transform(cut, lambda c: F.struct(c["claim"].alias("claim"), support(c).alias("ids")))
+    return cases.withColumn("verdicts", F.transform(found, lambda c: F.struct(c["claim"].alias("claim"), (F.size(c["ids"]) > 0).alias("entailed"), c["ids"].alias("supporting_fact_ids"))))
+
+
 def gated(cases: DataFrame, text: str, facts: str) -> DataFrame:
     """A row for each sentence of ``text``: ``ord, claim, entailed, supporting_fact_ids, reason`` beside the case's columns.
 
-    ``facts`` is an array of ``struct<id, content>``, small for each case.  All supporting facts are listed, in order.
+    ``facts`` is an array of ``struct<id, content>``, small for each case, or one from ``tokenised``.  All supporting facts are listed, in order.
     """
-    known = cases.withColumn("_facts", F.transform(facts, lambda f: F.struct(f["id"].alias("id"), tokens(f["content"]).alias("t"))))
-    rows = known.select("*", F.posexplode(sentences(F.col(text))).alias("ord", "claim")).withColumn("_t", tokens(F.col("claim")))
-    support = F.transform(F.filter("_facts", lambda f: F.arrays_overlap(f["t"], F.col("_t"))), lambda f: f["id"])
-    out = rows.withColumn("supporting_fact_ids", F.coalesce(support, F.array().cast("array<string>")))
-    out = out.withColumn("entailed", F.size("supporting_fact_ids") > 0)
-    return out.withColumn("reason", F.when(~F.col("entailed"), NO_SUPPORT)).drop("_facts", "_t")
+    ready = "tokens" in cases.schema[facts].dataType.elementType.fieldNames()
+    judged = verdicts(cases if ready else tokenised(cases, facts), text, facts)
+    out = judged.select(*cases.columns, F.posexplode("verdicts").alias("ord", "_v")).select(*cases.columns, "ord", "_v.*")
+    return out.withColumn("reason", F.when(~F.col("entailed"), NO_SUPPORT))
 
 
 def confusion(truth: Column, predicted: Column) -> list[Column]:

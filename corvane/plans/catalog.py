@@ -461,19 +461,19 @@ def q_slice_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sliced(spark, sf_dir, False)
 
 
-_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+SENTENCES_SQL = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 
 
-@query(f"SELECT doc_id, unnest(generate_series(0, len(s) - 1))::INT AS ord, unnest(s) AS claim FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)")
+@query(f"SELECT doc_id, unnest(generate_series(0, len(s) - 1))::INT AS ord, unnest(s) AS claim FROM (SELECT doc_id, {SENTENCES_SQL} AS s FROM documents)")
 def q_sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(gate.sentences(F.col("text"))).alias("ord", "claim"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in gate.STOP_WORDS) + "]"
-_TOKENS = r"list_filter(list_transform(list_filter(regexp_split_to_array({0}, '[^\p{{L}}\p{{N}}_]+'), lambda t: strlen(t) >= 3), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), lambda t: NOT list_contains({1}, t))"
+TOKENS_SQL = r"list_filter(list_transform(list_filter(regexp_split_to_array({0}, '[^\p{{L}}\p{{N}}_]+'), lambda t: strlen(t) >= 3), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), lambda t: NOT list_contains({1}, t))"
 _CLAIMS = f"""claims AS (SELECT doc_id, unnest(generate_series(0, len(s) - 1))::INT AS ord, unnest(s) AS claim, content FROM
-  (SELECT d.doc_id, {_SENTENCES.replace("text", "d.text")} AS s, b.text AS content FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))),
-gated AS (SELECT doc_id, ord, list_has_any({_TOKENS.format("claim", _STOP)}, {_TOKENS.format("content", _STOP)}) AS entailed FROM claims)"""
+  (SELECT d.doc_id, {SENTENCES_SQL.replace("text", "d.text")} AS s, b.text AS content FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))),
+gated AS (SELECT doc_id, ord, list_has_any({TOKENS_SQL.format("claim", _STOP)}, {TOKENS_SQL.format("content", _STOP)}) AS entailed FROM claims)"""
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -481,7 +481,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("n")).scalar()
     bench = table(spark, sf_dir, "benchmark").select("item_id", F.array(F.struct(F.lit("f").alias("id"), F.col("text").alias("content"))).alias("facts"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % items).alias("item_id"))
-    return gate.gated(docs.join(bench, "item_id"), "text", "facts").select("doc_id", "ord", "entailed", "supporting_fact_ids", "reason")
+    return gate.gated(docs.join(gate.tokenised(bench, "facts"), "item_id"), "text", "facts").select("doc_id", "ord", "entailed", "supporting_fact_ids", "reason")
 
 
 @query(f"WITH {_CLAIMS} SELECT doc_id, ord, entailed, CASE WHEN entailed THEN 'f' ELSE '' END AS support, CASE WHEN entailed THEN NULL ELSE '{gate.NO_SUPPORT}' END AS reason FROM gated")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import diagnostics, gate, health, keys, latest, layout, notes, resolve, slicing
-from corvane.plans.catalog import ORACLES, QUERIES, _SENTENCES, _slice_oracle, _talks, query, table
+from corvane.plans.catalog import ORACLES, QUERIES, SENTENCES_SQL, _slice_oracle, _talks, query, table
 from corvane.sources import churn, manifests, reports, tree
 from corvane.streaming import changes
 
@@ -443,7 +443,7 @@ def q_js_package(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The modules of ``q_units`` and ``q_complexity`` follow from the number of sentences.
-_COUNTED = f"(SELECT doc_id, len({_SENTENCES}) AS k FROM documents)"
+_COUNTED = f"(SELECT doc_id, len({SENTENCES_SQL}) AS k FROM documents)"
 ORACLES["q_complexity"] = f"SELECT 'm/' || doc_id || '.py' AS path, 'act_' || doc_id AS name, (3 * ((k + 1) // 2))::INT AS cc FROM {_COUNTED}"
 
 
