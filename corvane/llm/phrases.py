@@ -32,7 +32,7 @@ DEPTH = 5
 LEAST = 100
 TOP = 2000
 #: Bytes of text of a shard, beyond one text.
-SHARD = 8 << 20
+SHARD = 4 << 20
 #: Bits of the bitmap of frequent words, and of that of frequent pairs (16 MB each).
 FILTER_BITS = 1 << 27
 #: Groups into which each language's phrases are dealt before their first ones meet.
@@ -59,7 +59,7 @@ def _gather(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 @dataclass
 class Pieces:
-    """The words of a shard in order: ``buf[start:end]`` are the bytes of each, with one space between words.
+    """The words of a shard in order: ``buf[start:end]`` are the bytes of each, with one space after it.
 
     ``word`` numbers them by bytes and language, ``lang`` gives the language's number, ``joined`` says whether the next word follows in the same piece.
     """
@@ -73,22 +73,22 @@ class Pieces:
 
 
 def pieces(run: K.Run, lang: np.ndarray, n_langs: int) -> Pieces:
-    """Words of the texts of ``run``, ``lang`` being the number of each text's language."""
+    """Words of the texts of ``run``, each of which ends in a line end; ``lang`` is the number of each text's language."""
     w = K.words(run, _GAPS)
     size = w.end - w.start
+    low = _LOWER[run.buf]
+    low[w.end] = 32
+    keep = ~_GAPS[run.buf]
+    keep[w.end] = True  # the byte after a word stands for the space
+    buf = low[keep]
     end = np.cumsum(size + 1) - 1
     start = end - size
-    buf = np.full(int(end[-1]) + 1 if len(end) else 0, 32, np.uint8)
-    at = np.repeat(w.start - start, size + 1) + np.arange(len(buf))
-    buf[:] = _LOWER[run.buf[np.minimum(at, len(run.buf) - 1)]] if len(buf) else 0
-    buf[end] = 32
-    ends = np.zeros(len(run.buf) + 1, np.int64)
-    np.cumsum(_ENDS[run.buf], out=ends[1:])
-    doc = w.doc()
+    ends = np.flatnonzero(_ENDS[run.buf])
     joined = np.zeros(len(size), bool)
-    joined[:-1] = (ends[w.start[1:]] == ends[w.start[:-1]]) & (doc[1:] == doc[:-1])
-    of = lang[doc]
-    number = np.asarray(_gather(buf, start, end).dictionary_encode().indices).astype(np.int64)
+    joined[:-1] = np.diff(np.searchsorted(ends, w.start)) == 0
+    of = lang[w.doc()]
+    edges = np.append(start, len(buf)).astype(np.int32)
+    number = np.asarray(pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edges), pa.py_buffer(buf)]).dictionary_encode().indices).astype(np.int64)
     return Pieces(buf, start, end, number * n_langs + of, of, joined)
 
 
@@ -124,24 +124,19 @@ def _marks(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def _keys(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lang_hash: np.ndarray) -> np.ndarray:
-    """A hash of each word with its language; it only chooses a bit."""
-    w = K.Words(K.Run(0, buf, np.array([0, len(buf)])), start, end, np.array([0, len(start)]))
-    return K.mix64(w.hashes(lower=False) ^ lang_hash)
+def _whole(texts: pa.Array) -> np.ndarray:
+    """A hash of each text."""
+    out = np.zeros(len(texts), np.uint64)
+    for run in K.runs(texts):
+        w = K.Words(run, run.off[:-1], run.off[1:], np.arange(len(run) + 1))
+        out[run.first : run.first + len(run)] = w.hashes(lower=False)
+    return out
 
 
 def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return K.mix64(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
-def _lang_hash(lang: pa.Array) -> np.ndarray:
-    out = np.zeros(len(lang), np.uint64)
-    for run in K.runs(lang, 1 << 40):
-        w = K.Words(run, run.off[:-1], run.off[1:], np.arange(len(run) + 1))
-        out[run.first : run.first + len(run)] = w.hashes(lower=False)
-    return out
-
-
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, K.Run]]:
     """The batches (lang, text) in shards of about ``most`` bytes: languages and texts."""
     held, size = [], 0
@@ -159,7 +154,7 @@ def _shard(held: list[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, K.
         return
     rows = pa.Table.from_batches(held)
     lang, text = rows.column(0).cast(pa.large_string()).combine_chunks(), rows.column(1).cast(pa.large_string()).combine_chunks()
-    for run in K.runs(text, 2 * most):
+    for run in K.runs(text, most):
         yield lang.slice(run.first, len(run)), run
 
 
@@ -175,7 +170,7 @@ def _counted(order: int, shared, most: int):
             joined = p.joined
             if order > 1 and len(p.start):
                 own, first, back = np.unique(p.word, return_index=True, return_inverse=True)
-                key = _keys(p.buf, p.start[first], p.end[first], _lang_hash(names)[p.lang[first]])
+                key = K.mix64(_whole(_gather(p.buf, p.start[first], p.end[first])) ^ _whole(names)[p.lang[first]])
                 if order == 2:
                     often = _marks(bits, key)[back]
                     joined = joined.copy()
@@ -207,8 +202,8 @@ def _slots(width: int):
         for batch in batches:
             for run in K.runs(batch.column(1)):
                 w = K.words(run, _SPACE)
-                lang = _lang_hash(batch.column(0).slice(run.first, len(run)))
-                key = _keys(run.buf, w.start, w.end, lang[w.doc()])
+                lang = _whole(batch.column(0).slice(run.first, len(run)))
+                key = K.mix64(w.hashes(lower=False) ^ lang[w.doc()])
                 first = key[w.ptr[:-1]]
                 two = np.diff(w.ptr) == 2
                 first[two] = _pair(first[two], key[w.ptr[:-1][two] + 1])
@@ -232,7 +227,7 @@ def _added(rows: DataFrame, order: int, shared) -> DataFrame:
 
 def frequent(docs: DataFrame, scratch: Scratch, text_col: str, lang_col: str, least: int) -> tuple[DataFrame, DataFrame]:
     """All phrases of one to ``DEPTH`` words with ``least`` occurrences: ``(lang, phrase, size, n)``; and the words of each language, ``(lang, words)``."""
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.concat(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("\n")).alias("text"))
     words = _added(rows, 1, None)
     # a language's total and its frequent words come from one shuffle of the counts
     ones = scratch.table("words", words.groupBy("lang", F.when(F.col("n") >= least, F.col("phrase")).alias("phrase")).agg(F.sum("n").alias("n")))

@@ -280,7 +280,7 @@ def test_automaton_equals_the_classical_one():
 
 
 def test_pieces_keep_words_apart():
-    run = next(K.runs(pa.array(["A b.c", "d\te  f"])))
+    run = next(K.runs(pa.array(["A b.c\n", "d\te  f\n"])))
     p = phrases.pieces(run, np.array([0, 1]), 2)
     assert [p.buf[a:b].tobytes() for a, b in zip(p.start, p.end, strict=True)] == [b"a", b"b", b"c", b"d", b"e", b"f"]
     assert p.joined.tolist() == [True, False, False, True, True, False]
