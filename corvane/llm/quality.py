@@ -3,14 +3,15 @@
 One pass measures each text.  Every measure is a rate; for each language and source its distribution
 is kept as a mergeable quantile sketch: counts in logarithmic bins, so that any quantile is known to
 ``ACCURACY`` (relative), two sketches merge by adding counts, and partial sketches are added before
-the shuffle.  The fence of a measure is a far quantile of the group's own sketch: the upper quartile plus ``REACH`` times
-its distance from the median, or, where these two are the same, the upper decile plus ``REACH`` times its distance.  Nothing else sets it:
-there is no least width, and a measure that nine in ten texts of a group don't show has its fence at zero.  Fences are drawn towards those
-of the language, and these towards those of everything, with the weight of ``GROUP`` texts, so that small groups follow
-larger ones.  Thresholds are then joined back to the documents.
+the shuffle.  A text tells its rate only to the resolution of its length, so its count has ``HALF`` added in the sketch: of texts without any
+occurrence the longer ones say more, and no quantile is zero.  The fence of a measure is a far quantile of the group's own sketch: the upper quartile plus ``REACH`` times
+its distance from the median, or, where fewer than a quarter of the texts have any occurrence, the upper decile plus ``REACH`` times its distance.  Nothing else
+sets it.  Fences are drawn towards those of the language, and these towards those of everything, by a geometric mean with the weight of ``GROUP`` texts
+(low ends, which may be negative, by an arithmetic one), so that small groups follow larger ones.  Thresholds are then joined back to the documents.
 
 A text breaks a fence with the part of its rate that chance doesn't explain: a count ``k`` is taken down by
-``ERRORS`` standard errors of the square root of a Poisson count, to ``max(0, sqrt(k) - ERRORS / 2) ** 2``.
+``ERRORS`` standard errors of the square root of a Poisson count, to ``max(0, sqrt(k) - ERRORS / 2) ** 2``.  So it breaks it if ``k`` is more than chance makes of
+the fence's own rate over the text's length, however long that is.
 """
 
 from __future__ import annotations
@@ -32,23 +33,34 @@ REACH = 8.0
 #: Weight, in texts, of the fences of the language in those of a group, and of everything in those of a language.
 GROUP = 200
 ERRORS = 3.0
+#: Added to a count in the sketch.
+HALF = 0.5
+#: Share of texts with an occurrence from which the upper quartile sets the fence.
+SEEN = 0.25
 
 
 @dataclass(frozen=True)
 class Measure:
-    """A rate, and whether it is a mean size, of which low values are rejected too, and not a count with its chance."""
+    """A rate, and whether it is a mean size, of which low values are rejected too, and not a count with its chance.
+
+    ``clump`` units of the count come together at least, and count as one: words that repeat come as three words twice.
+    """
 
     name: str
     expr: str
     low: bool = False
+    clump: int = 1
+
+    def count(self) -> str:
+        return self.expr.split(" / ")[0] + (f" / {self.clump}" if self.clump > 1 else "")
 
 
 MEASURES = (
     Measure("symbols", "n_symbols / word_chars"),
     Measure("bangs", "n_bangs / word_chars"),
     Measure("capitals", "n_capitals / word_chars"),
-    Measure("dup_lines", "n_dup_lines / n_lines"),
-    Measure("repeats", "n_repeat_words / n_words"),
+    Measure("dup_lines", "n_dup_lines / n_words"),
+    Measure("repeats", "n_repeat_words / n_words", clump=6),
     Measure("word_length", "word_chars / n_words", True),
 )
 
@@ -132,15 +144,20 @@ def value_of(bin_: Column) -> Column:
     return F.when(bin_ == -100_000, F.lit(0.0)).otherwise(F.pow(F.lit(gamma), bin_) * (2 / (gamma + 1)))
 
 
+def _resolved(m: Measure) -> Column:
+    """The rate as the sketch takes it, and whether there is any occurrence."""
+    return F.col(m.name) if m.low else F.expr(f"try_divide({m.count()} + {HALF}, {m.expr.split(' / ')[1]})")
+
+
 def sketches(rows: DataFrame) -> DataFrame:
-    """(lang, source, bin by measure) counts: ``rows(lang, source, measure...)`` → ``(lang, source, measure, bin, n)``."""
-    pairs = F.array(*(F.struct(F.lit(m.name).alias("measure"), bin_of(F.col(m.name)).alias("bin")) for m in MEASURES))
-    return rows.select("lang", "source", F.inline(pairs)).filter("bin IS NOT NULL").groupBy("lang", "source", "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+    """(lang, source, bin by measure) counts: ``rows(lang, source, measure...)`` → ``(lang, source, measure, bin, n, seen)``; ``seen`` texts have an occurrence."""
+    pairs = F.array(*(F.struct(F.lit(m.name).alias("measure"), bin_of(_resolved(m)).alias("bin"), (F.col(m.name) > 0).cast("long").alias("any")) for m in MEASURES))
+    return rows.select("lang", "source", F.inline(pairs)).filter("bin IS NOT NULL").groupBy("lang", "source", "measure", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("any").alias("seen"))
 
 
 def merged(sketch: DataFrame, *by: str) -> DataFrame:
     """Sketches of larger groups, by adding counts."""
-    return sketch.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
+    return sketch.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def fences(sketch: DataFrame, *by: str) -> DataFrame:
@@ -148,9 +165,9 @@ def fences(sketch: DataFrame, *by: str) -> DataFrame:
     one = Window.partitionBy(*by, "measure")
     seen = sketch.withColumn("upto", F.sum("n").over(one.orderBy("bin"))).withColumn("total", F.sum("n").over(one))
     cut = [F.min(F.when(F.col("upto") >= F.col("total") * q, value_of(F.col("bin")))).alias(a) for a, q in QUANTILES.items()]
-    quart = seen.groupBy(*by, "measure").agg(*cut, F.max("total").alias("size"))
+    quart = seen.groupBy(*by, "measure").agg(*cut, F.max("total").alias("size"), (F.sum("seen") / F.max("total")).alias("share"))
     far = lambda q: F.col(q) + (F.col(q) - F.col("q50")) * REACH
-    high = F.when(F.col("q75") > F.col("q50"), far("q75")).otherwise(far("q90"))
+    high = F.when(F.col("share") >= SEEN, far("q75")).otherwise(far("q90"))
     out = []
     for m in MEASURES:
         here = F.col("measure") == m.name
@@ -173,13 +190,13 @@ def _certain(m: Measure) -> Column:
     """The rate of a text without what chance may have added to its count."""
     if m.low:
         return F.col(m.name)
-    count, of = m.expr.split(" / ")
-    return F.expr(f"try_divide(pow(greatest(sqrt({count}) - {ERRORS / 2}, 0), 2), {of})")
+    return F.expr(f"try_divide(pow(greatest(sqrt({m.count()}) - {ERRORS / 2}, 0), 2), {m.expr.split(' / ')[1]})")
 
 
 def _drawn(own: str, size: str, towards: Column) -> Column:
     """A group's fence, drawn towards that of a larger group."""
-    return (F.col(own) * F.col(size) + towards * GROUP) / (F.col(size) + GROUP)
+    mean = lambda a, b: (a * F.col(size) + b * GROUP) / (F.col(size) + GROUP)
+    return F.exp(mean(F.log(F.col(own)), F.log(towards))) if own.endswith("_hi") else mean(F.col(own), towards)
 
 
 def _limits(rated: DataFrame, scratch: Scratch) -> DataFrame:

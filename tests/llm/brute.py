@@ -98,15 +98,20 @@ def quality_fences(rows, measures, group, reach):
                 pools[key].append(c)
 
     def fence(pool, m):
-        bins = sorted(bin_of(c["rates"][m.name]) for c in pool)
+        a, b = m.expr.split(" / ")
+        bins = sorted(bin_of(c["rates"][m.name] if m.low else (c[a] / m.clump + 0.5) / c[b]) for c in pool)
         q25, q50, q75, q90 = (value_of(bins[math.ceil(len(bins) * p) - 1]) for p in (0.25, 0.5, 0.75, 0.9))
-        return q25 + (q25 - q50) * reach if m.low else -1.0, q75 + (q75 - q50) * reach if q75 > q50 else q90 + (q90 - q50) * reach
+        often = 4 * sum(c["rates"][m.name] > 0 for c in pool) >= len(pool)
+        return q25 + (q25 - q50) * reach if m.low else -1.0, q75 + (q75 - q50) * reach if often else q90 + (q90 - q50) * reach
 
     def drawn(key, m):
         ends = fence(pools[key], m)
         above = {"own": ("lang", key[1] if len(key) > 1 else None), "lang": ("all",)}.get(key[0])
         n = len(pools[key])
-        return ends if above is None else tuple((x * n + y * group) / (n + group) for x, y in zip(ends, drawn(above, m), strict=True))
+        if above is None:
+            return ends
+        (low, high), (low2, high2) = ends, drawn(above, m)
+        return (low * n + low2 * group) / (n + group), math.exp((math.log(high) * n + math.log(high2) * group) / (n + group))
 
     return counts, {key: {m.name: drawn(key, m) for m in measures} for key in list(pools) if key[0] == "own"}
 
@@ -120,7 +125,7 @@ def quality_verdicts(rows, measures, group, reach, errors):
         for m in measures:
             if ok:
                 a, b = m.expr.split(" / ")
-                rate = c["rates"][m.name] if m.low else max(0, math.sqrt(c[a]) - errors / 2) ** 2 / c[b]
+                rate = c["rates"][m.name] if m.low else max(0, math.sqrt(c[a] / m.clump) - errors / 2) ** 2 / c[b]
                 low, high = fences["own", lang, source][m.name]
                 ok = low / 1.01 <= rate <= high / 0.99
         out.append((c, ok))

@@ -87,6 +87,16 @@ def test_fences_follow_the_rates_of_their_group(spark, monkeypatch):
     assert sum(judged.values()) == 601
 
 
+def test_a_few_symbols_dont_reject_a_long_text(spark):
+    """In a group where nine in ten texts have no symbol, three are few in a long text; many are not, whatever the length."""
+    rng = random.Random(7)
+    rows = [(i, data.prose(rng, 120) + (" %" if i % 10 == 0 else ""), "en", "s", 1) for i in range(200)]
+    more = [(1000, data.prose(rng, 6000) + " % % %", "en", "s", 1), (1001, data.prose(rng, 120) + " %" * 60, "en", "s", 1), (1002, data.prose(rng, 6000) + " %" * 3000, "en", "s", 1)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows + more, data.DOCS)).collect()}
+    assert all(kept[i] for i in range(200))
+    assert (kept[1000], kept[1001], kept[1002]) == (True, False, False)
+
+
 def test_quality_odd_rows(spark):
     assert quality.judged(spark.createDataFrame([], data.DOCS)).count() == 0
     rows = [(None, None, None, None, None), (1, "a b", None, "s", 3), (1, "a b", None, "s", 3)]
