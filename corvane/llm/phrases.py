@@ -6,10 +6,10 @@ a child of its suffix of ``L - 1`` words, by the word that comes before.  Every
 them; a node that has as many ends as its only child belongs to the child's state.  The nodes enumerate all substrings up to the depth with
 their counts, and one shuffle adds the counts of all shards.
 
-Substrings of a frequent phrase are frequent.  So words are counted first, then pairs of frequent words, then longer phrases whose pairs are all
-frequent, and pieces are cut in between.  What is frequent travels as a bitmap of a fixed size (``FILTER_BITS``), which lets some rare ones pass and never
-stops a frequent one: with very many frequent pairs more is counted in vain, and the counts stay exact.  Words are numbered by their bytes
-within a shard, and phrases meet by their text, so no count rests on a hash.
+Substrings of a frequent phrase are frequent.  So words are counted first, then pairs of frequent words, by a hash of ``PAIR_BITS``, then all phrases whose
+pairs are all frequent by it, and pieces are cut in between.  What is frequent travels as a bitmap of a fixed size (``FILTER_BITS``).  Hash and bitmap
+let some rare pairs pass and never stop a frequent one: with very many pairs more is counted in vain, and the counts stay exact.  Words are numbered
+by their bytes within a shard, and phrases meet by their text, so no count that is returned rests on a hash.
 
 A phrase is subsumed by a longer one that is found as often.  Then one of the phrases with one word more is found as often too: those of which
 it is the suffix (the automaton's link) or the prefix.  One equality join finds these.
@@ -35,6 +35,7 @@ TOP = 2000
 SHARD = 4 << 20
 #: Bits of the bitmap of frequent words, and of that of frequent pairs (16 MB each).
 FILTER_BITS = 1 << 27
+PAIR_BITS = 40
 #: Groups into which each language's phrases are dealt before their first ones meet.
 DEALT = 64
 
@@ -42,8 +43,6 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAPS = _ENDS.copy()
 _GAPS[[0x20, 0x09]] = True
-_SPACE = np.zeros(256, bool)
-_SPACE[0x20] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -134,7 +133,7 @@ def _whole(texts: pa.Array) -> np.ndarray:
 
 
 def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return K.mix64(first * np.uint64(0x9E3779B97F4A7C15) + second)
+    return K.mix64(first * np.uint64(0x9E3779B97F4A7C15) + second) & np.uint64((1 << PAIR_BITS) - 1)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, K.Run]]:
@@ -159,7 +158,7 @@ def _shard(held: list[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, K.
 
 
 def _counted(order: int, shared, most: int):
-    """Counts of words (order 1), of pairs of marked words (2), or of phrases of three words or more whose pairs are marked (3)."""
+    """Counts of words (order 1), of hashes of pairs of marked words (2), or of phrases whose pairs are marked (3)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if shared is None else np.frombuffer(shared.value, np.uint8)
@@ -171,22 +170,26 @@ def _counted(order: int, shared, most: int):
             if order > 1 and len(p.start):
                 own, first, back = np.unique(p.word, return_index=True, return_inverse=True)
                 key = K.mix64(_whole(_gather(p.buf, p.start[first], p.end[first])) ^ _whole(names)[p.lang[first]])
+                joined = joined.copy()
                 if order == 2:
                     often = _marks(bits, key)[back]
-                    joined = joined.copy()
                     joined[:-1] &= often[:-1] & often[1:]
                 else:
-                    joined = joined.copy()
                     go = np.flatnonzero(joined)
                     joined[go] = _marks(bits, _pair(key[back[go]], key[back[go + 1]]))
-                if order > 1:
-                    inner = joined.copy()
-                    inner[1:] |= joined[:-1]
-                    keep = np.flatnonzero(inner)  # words outside any phrase leave; pieces stay apart
-                    p, joined = Pieces(p.buf, p.start[keep], p.end[keep], p.word[keep], p.lang[keep], None), joined[keep]
+                inner = joined.copy()
+                inner[1:] |= joined[:-1]
+                keep = np.flatnonzero(inner)  # words outside any phrase leave; pieces stay apart
+                back = back[keep]
+                p, joined = Pieces(p.buf, p.start[keep], p.end[keep], p.word[keep], p.lang[keep], None), joined[keep]
             levels = automaton(p.word, joined, {1: 1, 2: 2, 3: DEPTH}[order])
+            if order == 2:
+                if len(p.start):
+                    at = levels[1].at
+                    yield pa.RecordBatch.from_arrays([pa.array(_pair(key[back[at - 1]], key[back[at]]).astype(np.int64)), pa.array(levels[1].count.astype(np.int64))], ["key", "n"])
+                continue
             for size, level in enumerate(levels, 1):
-                if size < order or not len(level.at):
+                if order > 1 and size == 1:
                     continue
                 for k in range(0, len(level.at), 200_000):
                     at = level.at[k : k + 200_000]
@@ -196,33 +199,25 @@ def _counted(order: int, shared, most: int):
     return counted
 
 
-def _slots(width: int):
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(lang, phrase) of one or two words → the bitmap's word and the bit within it."""
-        for batch in batches:
-            for run in K.runs(batch.column(1)):
-                w = K.words(run, _SPACE)
-                lang = _whole(batch.column(0).slice(run.first, len(run)))
-                key = K.mix64(w.hashes(lower=False) ^ lang[w.doc()])
-                first = key[w.ptr[:-1]]
-                two = np.diff(w.ptr) == 2
-                first[two] = _pair(first[two], key[w.ptr[:-1][two] + 1])
-                bit = (first & np.uint64(width - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64)).astype(np.int64))], ["slot", "mask"])
-
-    return slots
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word) → the word's hash with its language."""
+    for batch in batches:
+        key = K.mix64(_whole(batch.column(1)) ^ _whole(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64))], ["key"])
 
 
-def _bitmap(often: DataFrame):
-    """A broadcast bitmap of the phrases, ``FILTER_BITS`` wide however many there are."""
-    slots = often.select("lang", "phrase").mapInArrow(_slots(FILTER_BITS), "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+def _bitmap(keys: DataFrame):
+    """A broadcast bitmap of the low bits of ``key``, ``FILTER_BITS`` wide however many there are."""
+    bit = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    slots = keys.select(F.shiftright(bit, 6).alias("slot"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(max(1, FILTER_BITS // 64), np.int64)
     bits[np.asarray(slots.column("slot"))] = np.asarray(slots.column("mask"))
-    return often.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return keys.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 
 def _added(rows: DataFrame, order: int, shared) -> DataFrame:
-    return rows.mapInArrow(_counted(order, shared, SHARD), "lang string, phrase string, size int, n long").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    fields, by = ("key long, n long", ["key"]) if order == 2 else ("lang string, phrase string, size int, n long", ["lang", "phrase", "size"])
+    return rows.mapInArrow(_counted(order, shared, SHARD), fields).groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def frequent(docs: DataFrame, scratch: Scratch, text_col: str, lang_col: str, least: int) -> tuple[DataFrame, DataFrame]:
@@ -233,9 +228,9 @@ def frequent(docs: DataFrame, scratch: Scratch, text_col: str, lang_col: str, le
     ones = scratch.table("words", words.groupBy("lang", F.when(F.col("n") >= least, F.col("phrase")).alias("phrase")).agg(F.sum("n").alias("n")))
     totals = scratch.table("totals", ones.groupBy("lang").agg(F.sum("n").alias("words")))
     ones = ones.filter("phrase IS NOT NULL").select("lang", "phrase", F.lit(1).alias("size"), "n")
-    pairs = scratch.table("pairs", _added(rows, 2, _bitmap(ones)).filter(F.col("n") >= least))
-    more = scratch.table("more", _added(rows, 3, _bitmap(pairs)).filter(F.col("n") >= least))
-    return ones.unionByName(pairs).unionByName(more), totals
+    keys = ones.select("lang", "phrase").mapInArrow(_word_keys, "key long")
+    pairs = scratch.table("pairs", _added(rows, 2, _bitmap(keys)).filter(F.col("n") >= least).select("key"))
+    return ones.unionByName(scratch.table("more", _added(rows, 3, _bitmap(pairs)).filter(F.col("n") >= least))), totals
 
 
 def _part(words: str, first: Column, size: Column) -> Column:
