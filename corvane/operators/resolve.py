@@ -55,6 +55,18 @@ def unresolved(refs: DataFrame, *catalogs: tuple[Column | str, DataFrame, str])
     return out
 
 
+def ecosystem(language: Column) -> Column:
+    return F.when(language == "python", "python").when(language.isin("typescript", "tsx"), "js").when(language == "rust", "rust")
+
+
+def import_names(eco: Column, module: Column) -> tuple[Column, Column, Column]:
+    """The names under which a module may be declared, as written and normalised, and the one that a local module would have (null where there are none)."""
+    raw = F.when(eco == "js", js_package(module)).otherwise(module)
+    norm = F.when(eco == "python", package_key(module)).when(eco == "rust", F.translate(module, "-", "_")).otherwise(js_package(module))
+    local = F.when(eco == "python", F.split_part(module, F.lit("."), F.lit(1))).when(eco == "rust", F.split_part(module, F.lit("::"), F.lit(1)))
+    return raw, norm, local
+
+
 def unknown_imports(imports: DataFrame, packages: DataFrame, present: DataFrame, local_modules: DataFrame, compat: bool = True) -> DataFrame:
     """Imports that no manifest, standard library or local module explains.
 
@@ -63,8 +75,7 @@ def unknown_imports(imports: DataFrame, packages: DataFrame, present: DataFrame,
     names as written and with underscores for hyphens, JavaScript by top-level package.
     """
     m = F.col("module")
-    eco = F.when(F.col("language") == "python", "python").when(F.col("language").isin("typescript", "tsx"), "js").when(F.col("language") == "rust", "rust")
-    refs = imports.withColumn("_eco", eco).join(present.select(F.col("ecosystem").alias("_eco")).distinct(), "_eco", "left_semi")
+    refs = imports.withColumn("_eco", ecosystem(F.col("language"))).join(present.select(F.col("ecosystem").alias("_eco")).distinct(), "_eco", "left_semi")
     node_head = F.split_part(F.regexp_replace(m, "^node:", ""), F.lit("/"), F.lit(1))
     builtin = (
         F.when(F.col("_eco") == "python", m.isin(*python_modules(compat)) | m.startswith(".") | (m == ""))
@@ -73,25 +84,24 @@ def unknown_imports(imports: DataFrame, packages: DataFrame, present: DataFrame,
     )
     refs = refs.filter(~builtin)
     tag = lambda name: F.concat_ws("\u0001", F.col("_eco"), name)
-    raw = F.when(F.col("_eco") == "js", js_package(m)).otherwise(m)
-    norm = F.when(F.col("_eco") == "python", package_key(m)).when(F.col("_eco") == "rust", F.translate(m, "-", "_")).otherwise(js_package(m))
-    local = F.when(F.col("_eco") == "python", F.split_part(m, F.lit("."), F.lit(1))).when(F.col("_eco") == "rust", F.split_part(m, F.lit("::"), F.lit(1)))
+    raw, norm, local = import_names(F.col("_eco"), m)
     declared = packages.select(F.concat_ws("\u0001", "ecosystem", "name").alias("name"))
     own = local_modules.select(F.concat_ws("\u0001", "ecosystem", "name").alias("name"))
     return unresolved(refs, (tag(raw), declared, "name"), (tag(norm), declared, "name"), (F.when(local.isNotNull(), tag(local)), own, "name")).drop("_eco")
 
 
+def local_module(path: Column) -> Column:
+    """``struct(ecosystem, name)`` of the module that a file makes its tree provide, or null."""
+    head, inner = F.split_part(path, F.lit("/"), F.lit(1)), F.regexp_replace(path, "^src/", "")
+    py = F.when(path.contains("/"), head).otherwise(F.regexp_replace(path, r"(\.py)+$", ""))
+    rs = F.when(inner.endswith("/mod.rs"), F.split_part(inner, F.lit("/"), F.lit(1))).when(~inner.contains("/"), F.regexp_replace(inner, r"(\.rs)+$", ""))
+    named = lambda eco, name: F.struct(F.lit(eco).alias("ecosystem"), name.alias("name"))
+    return F.when(path.endswith(".py") & (py != ""), named("python", py)).when(path.endswith(".rs") & rs.isNotNull(), named("rust", rs))
+
+
 def local_modules(files: DataFrame) -> DataFrame:
     """``(ecosystem, name)`` of modules that a tree itself provides, from ``files(path)`` alone."""
-    p = F.col("path")
-    head = F.split_part(p, F.lit("/"), F.lit(1))
-    py = files.filter(p.endswith(".py")).select(F.lit("python").alias("ecosystem"), F.when(p.contains("/"), head).otherwise(F.regexp_replace(p, r"(\.py)+$", "")).alias("name")).filter("name <> ''")
-    inner = F.regexp_replace(p, "^src/", "")
-    rs = files.filter(p.endswith(".rs")).select(
-        F.lit("rust").alias("ecosystem"),
-        F.when(inner.endswith("/mod.rs"), F.split_part(inner, F.lit("/"), F.lit(1))).when(~inner.contains("/"), F.regexp_replace(inner, r"(\.rs)+$", "")).alias("name"),
-    )
-    return py.unionByName(rs.filter("name IS NOT NULL")).distinct()
+    return files.select(local_module(F.col("path")).alias("m")).filter("m IS NOT NULL").select("m.*").distinct()
 
 
 def unresolved_if_any(refs: DataFrame, key: str, catalog: DataFrame, column: str) -> DataFrame:

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import diagnostics, gate, health, keys, latest, layout, notes, resolve, slicing
+from corvane.operators import arity, diagnostics, gate, health, keys, latest, layout, notes, resolve, slicing
 from corvane.plans.catalog import ORACLES, QUERIES, SENTENCES_SQL, _slice_oracle, _talks, query, table
 from corvane.sources import churn, manifests, reports, tree
+from corvane.session import work_folder
 from corvane.streaming import changes
+from corvane.streaming.incremental import Incremental
 
 # --- manifests ------------------------------------------------------------------------------------------------------
 
@@ -182,6 +184,32 @@ def q_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.tombstones(changes.relevant(feed.unionByName(hidden))).select("path", "kind", "seq")
 
 
+@query("""
+WITH last AS (SELECT user_id, max(event_id) AS e, arg_max(event_type, event_id) AS t FROM events GROUP BY 1), live AS (SELECT * FROM last WHERE t <> 'error'),
+one AS (SELECT 'n' || e * 7 % 101 AS name, any_value(e % 3) AS need FROM live GROUP BY 1 HAVING count(*) = 1)
+SELECT 'u' || user_id AS path, name AS callee, e % 5 AS argc, need FROM live JOIN one ON name = 'n' || e * 13 % 101 WHERE e % 5 <> need
+""")
+def q_incremental_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as versions of files, taken in four changes; a file defines one name and calls another, and an error removes it.  What is left must equal one look at the last versions."""
+    events = table(spark, sf_dir, "events")
+    name = lambda times: F.concat(F.lit("n"), (F.col("e") * times % 101).cast("string"))
+
+    def judge(units: DataFrame, provided: DataFrame) -> DataFrame:
+        calls = units.select("path", F.col("body.callee").alias("callee"), F.col("body.argc").alias("argc"))
+        defs = provided.select(F.col("key").alias("callee"), F.col("value").cast("long").alias("need"))
+        return arity.arity_mismatches(calls, defs, ["callee"], least="need", most="need")
+
+    state = Incremental(spark, f"{work_folder(spark)}/incremental", judge, "struct<callee:string,argc:long>", "callee string, argc long, need long", slots=4, salts=2)
+    n = events.count()
+    for k in range(4):
+        batch = events.filter((F.col("event_id") * 4 >= k * n) & (F.col("event_id") * 4 < (k + 1) * n))
+        last = latest.latest_wins(batch.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("e"), "event_type"), ["path"], ["e"])
+        defined = F.array(F.struct(name(7).alias("key"), (F.col("e") % 3).cast("string").alias("value")))
+        units = last.filter("event_type <> 'error'").select("path", defined.alias("provides"), F.array(name(13)).alias("uses"), F.struct(name(13).alias("callee"), (F.col("e") % 5).alias("argc")).alias("body"))
+        state.apply(last.select("path"), units, k)
+    return state.results()
+
+
 @query("SELECT DISTINCT sha256(text) AS blob_sha, lang AS language FROM documents EXCEPT SELECT sha256(text), lang FROM documents WHERE doc_id % 3 = 0")
 def q_unseen_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents that are not parsed yet, where every third document is."""

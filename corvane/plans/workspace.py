@@ -110,6 +110,13 @@ class Workspace:
     def bodies(self) -> DataFrame:
         return self._exploded("bodies")
 
+    def ecosystems(self) -> DataFrame:
+        """``(ecosystem)`` of those that have a manifest at all."""
+        return manifests.present(self.manifest_files)
+
+    def local_modules(self) -> DataFrame:
+        return resolve.local_modules(self.sources)
+
     def churn(self) -> DataFrame:
         if self._numstat is None:
             return self.spark.createDataFrame([], schemas.CHURN)
@@ -118,7 +125,7 @@ class Workspace:
     # --- diagnostics -------------------------------------------------------------------------------------------
 
     def unknown_imports(self) -> DataFrame:
-        rows = resolve.unknown_imports(self.imports(), self.packages, manifests.present(self.manifest_files), resolve.local_modules(self.sources), self.semantics.compat)
+        rows = resolve.unknown_imports(self.imports(), self.packages, self.ecosystems(), self.local_modules(), self.semantics.compat)
         hint = F.create_map(*(F.lit(x) for kv in MANIFEST_HINT.items() for x in kv))
         line = F.col("range.start.line")
         edge = lambda x: F.struct(x.cast("int").alias("line"), F.lit(0).alias("col"))
@@ -157,8 +164,12 @@ class Workspace:
         rows = regex.unionByName(found).withColumn("ord", F.lit(0))
         return diagnostics.build(rows, "rules", F.col("rule"), F.col("severity"), F.col("message"), F.concat_ws(":", F.lit("rules"), "file", F.col("range.start.line").cast("string"), "rule"))
 
+    def own_diagnostics(self) -> DataFrame:
+        """What the tree itself shows, without the reports of tools."""
+        return diagnostics.union([self.unknown_imports(), self.arity_mismatches(), self.unknown_bindings()])
+
     def all_diagnostics(self) -> DataFrame:
-        own = [self.unknown_imports(), self.arity_mismatches(), self.unknown_bindings()]
+        own = [self.own_diagnostics()]
         for tool, read in _SCHEMES.items():
             if tool in self.reports:
                 own.append(read(self.reports[tool]) if tool == "pytea" else read(self.reports[tool], root=self.root))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,9 @@ def session(name: str = "corvane", **conf: str) -> SparkSession:
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share: under ``spark.checkpoint.dir``, or else under the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/corvane-{uuid.uuid4().hex}"

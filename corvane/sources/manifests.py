@@ -124,10 +124,12 @@ def packages(files: DataFrame, path: str = "path", content: str = "source", comp
     return rows.select(F.element_at(pairs, F.col("p")).alias("ecosystem"), F.explode("names").alias("name"), F.col("p").alias("source_file")).filter("name <> ''").distinct()
 
 
+def shader_names(path: Column, content: Column) -> Column:
+    """The names that a shader file declares, null for other files."""
+    names = F.concat(F.regexp_extract_all(content, F.lit(GLSL_NAME), 1), F.regexp_extract_all(content, F.lit(WGSL_NAME), 1))
+    return F.when(F.regexp_like(path, F.lit(r"\.(glsl|vert|frag|wgsl|hlsl)$")), names)
+
+
 def shader_symbols(files: DataFrame, path: str = "path", content: str = "source") -> DataFrame:
     """``name`` of every uniform, attribute and variable that shader files declare."""
-    shaders = files.filter(F.regexp_like(path, F.lit(r"\.(glsl|vert|frag|wgsl|hlsl)$")))
-    t = F.col(content).cast("string")
-    glsl = F.regexp_extract_all(t, F.lit(GLSL_NAME), 1)
-    wgsl = F.regexp_extract_all(t, F.lit(WGSL_NAME), 1)
-    return shaders.select(F.explode(F.concat(glsl, wgsl)).alias("name")).distinct()
+    return files.select(F.explode(shader_names(F.col(path), F.col(content).cast("string"))).alias("name")).distinct()

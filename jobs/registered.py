@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import gate
 from corvane.plans.catalog import SENTENCES_SQL, TOKENS_SQL
+from corvane.session import work_folder
 from jobs import change_digest, grounding_audit
 
 #: Events as changes of files, in SQL that Spark and DuckDB share.
@@ -17,23 +17,17 @@ PATH = "concat('src/u', CAST(user_id AS STRING), CASE event_id % 4 WHEN 0 THEN '
 KIND = "CASE event_type WHEN 'click' THEN 'modify' WHEN 'view' THEN 'access' WHEN 'error' THEN 'remove' WHEN 'signup' THEN 'create' ELSE 'modify' END"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one; without a setting, in the session's warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def job1_grounding_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a summary whose facts are the passage of one benchmark item, dealt to documents in turn."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
-    s = grounding_audit.GroundingAudit(f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet", _folder(spark, "grounding-audit"), symbol=f"doc_id % {max(1, items)}", fact_symbol="item_id", fact_id="concat('b', item_id)", content="text")
+    s = grounding_audit.GroundingAudit(f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet", work_folder(spark), symbol=f"doc_id % {max(1, items)}", fact_symbol="item_id", fact_id="concat('b', item_id)", content="text")
     grounding_audit.run(spark, s)
     return grounding_audit.run(spark, s).select("lang", "source", "summary", "claims", "supported", F.round("ratio", 6).alias("ratio"), "low_confidence")
 
 
 def job2_change_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a change of a file."""
-    s = change_digest.ChangeDigest(f"{sf_dir}/events*.parquet", _folder(spark, "change-digest"), seq="event_id", path=PATH, kind=KIND)
+    s = change_digest.ChangeDigest(f"{sf_dir}/events*.parquet", work_folder(spark), seq="event_id", path=PATH, kind=KIND)
     change_digest.run(spark, s)
     out = change_digest.run(spark, s)
     return out.select(F.col("day").cast("string").alias("day"), "path", "last_kind", "last_seq", "changes", "bursts", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_ts"), F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_ts"))
