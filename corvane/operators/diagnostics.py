@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane import schemas
@@ -41,23 +41,25 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def ordered(rows: DataFrame) -> DataFrame:
-    """By severity, sources that look for generated code first, then file and line."""
+def order() -> list[Column]:
+    """The client's order: by severity, sources that look for generated code first, then file and line."""
     ai = F.when(F.col("source").isin(*schemas.AI_SOURCES), 0).otherwise(1)
-    return rows.orderBy(rank_of(F.col("severity"), schemas.SEVERITY_RANK), ai, "file", F.col("range.start.line"), "source", "ord")
+    return [rank_of(F.col("severity"), schemas.SEVERITY_RANK), ai, F.col("file"), F.col("range.start.line"), F.col("source"), F.col("ord")]
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(*order())
 
 
 def by_severity(rows: DataFrame, first: int) -> DataFrame:
     """``(severity, n, first)``: the number of diagnostics of each severity, and the first so many in the client's order.
 
-    A severity's rows are cut before they are gathered: each of the five is one plain top-k.
+    The first rows are cut within each task before they are shuffled (for up to 1,000), so no severity is gathered.
     """
-    out = []
-    for severity in schemas.SEVERITY_RANK:
-        some = rows.filter(F.col("severity") == severity)
-        top = ordered(some).limit(first).agg(F.collect_list(F.struct("file", "range", "source", "code", "message", "ord")).alias("first"))
-        out.append(some.agg(F.count(F.lit(1)).alias("n")).crossJoin(top).select(F.lit(severity).alias("severity"), "n", "first").filter("n > 0"))
-    return union(out)
+    counts = rows.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    placed = rows.withColumn("_k", F.row_number().over(Window.partitionBy("severity").orderBy(*order()))).filter(F.col("_k") <= first)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_k", "file", "range", "source", "code", "message", "ord"))), lambda d: d.dropFields("_k"))
+    return counts.join(placed.groupBy("severity").agg(listed.alias("first")), "severity").select("severity", "n", "first")
 
 
 def snapshot(rows: DataFrame, prefix: int = 80) -> DataFrame:

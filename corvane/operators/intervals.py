@@ -33,10 +33,13 @@ def packed_span(start_line: Column, start_col: Column, end_line: Column, end_col
 def by_suffix(texts: DataFrame, text: str, leaves: DataFrame, leaf: str, head: int = 3) -> DataFrame:
     """Pairs of a text and a leaf that it ends with.
 
-    An equality on the last ``head`` characters carries the join, and the full suffix is checked
-    after it; leaves shorter than that meet on their own length.  Empty leaves end nothing.
+    The last ``head`` characters only tell which lengths the leaves with this end have; a text then meets leaves by equality, once for each of
+    these lengths.  So texts that share their end don't meet in pairs, and work follows the output.  Leaves shorter than ``head`` have
+    ends of their own length.  Empty leaves end nothing.
     """
-    n = F.least(F.char_length(leaf), F.lit(head))
-    keyed = leaves.filter(F.char_length(leaf) > 0).withColumns({"_n": n, "_end": F.expr(f"right(`{leaf}`, least(char_length(`{leaf}`), {head}))")})
+    keyed = leaves.filter(F.char_length(leaf) > 0).withColumns({"_size": F.char_length(leaf), "_leaf": F.col(leaf)})
+    short = F.least("_size", F.lit(head))
+    lengths = keyed.groupBy(short.alias("_n"), F.expr(f"right(_leaf, least(_size, {head}))").alias("_end")).agg(F.collect_set("_size").alias("_sizes"))
     ends = texts.withColumn("_n", F.explode(F.array(*(F.lit(k) for k in range(1, head + 1))))).withColumn("_end", F.expr(f"right(`{text}`, _n)"))
-    return ends.join(keyed, ["_n", "_end"]).filter(F.endswith(text, F.col(leaf))).drop("_n", "_end")
+    cut = ends.join(lengths, ["_n", "_end"]).withColumn("_size", F.explode("_sizes")).filter(F.col("_size") <= F.char_length(text)).withColumn("_leaf", F.expr(f"right(`{text}`, _size)"))
+    return cut.drop("_n", "_end", "_sizes", "_size").join(keyed.drop("_size"), "_leaf").drop("_leaf")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.ordered import carried_forward
+
 
 def latest_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; an aggregate, so states are reduced before the shuffle."""
@@ -13,10 +15,13 @@ def latest_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return best.select(*keys, "_last.*")
 
 
-def changed(rows: DataFrame, key: list[str], version: str, value: str) -> DataFrame:
-    """Adds ``previous`` and ``changed``: whether the value differs from the key's previous version; a first one counts as changed."""
-    w = Window.partitionBy(*key).orderBy(version)
-    return rows.withColumn("previous", F.lag(value).over(w)).withColumn("changed", ~F.col(value).eqNullSafe(F.col("previous")))
+def changed(rows: DataFrame, key: list[str], version: str, value: str, stretches: int | None = None) -> DataFrame:
+    """Adds ``previous`` and ``changed``: whether the value differs from the key's previous version; a first one counts as changed unless it is null.
+
+    The previous version is carried along the order, so a key may hold any share of the rows.
+    """
+    out = carried_forward(rows, key, version, F.struct(value), "_before", stretches)
+    return out.withColumn("previous", F.col(f"_before.{value}")).withColumn("changed", ~F.col(value).eqNullSafe(F.col("previous"))).drop("_before")
 
 
 def sessions(rows: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
@@ -28,11 +33,6 @@ def sessions(rows: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     return burst.select(key, "first_ts", "last_ts", "n")
 
 
-def ticks(rows: DataFrame, order: str, every: int = 50) -> DataFrame:
-    """Each ``every``-th row by a dense order column that counts from 0."""
-    return rows.filter((F.col(order) + 1) % every == 0)
-
-
 def presence(delta_seconds: Column) -> Column:
     """``live`` below 3 seconds, ``recent`` below a minute, else ``idle``."""
     return F.when(delta_seconds < 3, "live").when(delta_seconds < 60, "recent").otherwise("idle")

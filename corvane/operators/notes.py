@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corvane import schemas
 from corvane.operators.keys import rank_of
 from corvane.operators.latest import strongest
+from corvane.operators.ordered import carried_forward
 
 _FIELDS = ("kind", "title", "body", "location", "symbol", "severity", "author", "ts")
 
@@ -30,15 +31,15 @@ def live(log: DataFrame) -> DataFrame:
     return last.select("id", "_n.*", "first_seq").orderBy("first_seq")
 
 
-def resolved(log: DataFrame) -> DataFrame:
-    """For each resolve, whether the note existed then: ``(seq, id, existed)``."""
-    ops = log.filter("op = 'resolve'").select(F.col("seq").alias("at"), "id")
-    before = ops.join(log.filter("op <> 'clear'").select("seq", "op", "id"), "id", "left").filter("seq IS NULL OR seq < at")
-    last = before.groupBy("at", "id").agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq"))
-    clears = log.filter("op = 'clear'").select(F.col("seq").alias("c"))
-    wiped = last.join(clears, (F.col("c") > F.col("seq")) & (F.col("c") < F.col("at")), "left_semi").select("at", F.lit(True).alias("wiped"))
-    out = ops.join(last.drop("id"), "at", "left").join(wiped, "at", "left")
-    return out.select(F.col("at").alias("seq"), "id", (F.coalesce(F.col("op") == "post", F.lit(False)) & F.col("wiped").isNull()).alias("existed"))
+def resolved(log: DataFrame, stretches: int | None = None) -> DataFrame:
+    """For each resolve, whether the note existed then: ``(seq, id, existed)``.
+
+    The last clear before an operation, and the last operation on its id, are carried along the log's order: an as-of join on each side.
+    """
+    ops = carried_forward(log.select("seq", "op", "id"), [], "seq", F.when(F.col("op") == "clear", F.col("seq")), "cleared", stretches)
+    ops = carried_forward(ops.filter("op <> 'clear'"), ["id"], "seq", F.struct("seq", "op"), "last", stretches)
+    there = (F.col("last.op") == "post") & (F.col("cleared").isNull() | (F.col("cleared") < F.col("last.seq")))
+    return ops.filter("op = 'resolve'").select("seq", "id", F.coalesce(there, F.lit(False)).alias("existed"))
 
 
 def badge(notes: DataFrame) -> DataFrame:

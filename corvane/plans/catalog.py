@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane import schemas
-from corvane.operators import arity, diagnostics, fanin, gate, health, intervals, keys, latest, layout, resolve, rules, slicing
+from corvane.operators import arity, diagnostics, fanin, gate, health, intervals, keys, latest, layout, ordered, resolve, rules, slicing
 from corvane.parse import udtf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,9 +148,12 @@ def q_rule_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "rule", "severity")
 
 
-@query("SELECT doc_id FROM documents WHERE (doc_id + 1) % 50 = 0")
+@query("""
+WITH n AS (SELECT count(*) AS n FROM documents) SELECT DISTINCT files_done, n AS files_total FROM (
+  SELECT unnest(range(0, n + 1, 50)) AS files_done, n FROM n UNION ALL SELECT n, n FROM n)
+""")
 def q_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.ticks(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50)
+    return ordered.ticks(table(spark, sf_dir, "documents"), ["source", "doc_id"], 50)
 
 
 # --- units, calls and health --------------------------------------------------------------------------------------

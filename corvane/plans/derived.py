@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import arity, diagnostics, gate, health, keys, latest, layout, notes, resolve, slicing
+from corvane.operators import arity, diagnostics, gate, health, keys, latest, layout, notes, ordered, resolve, slicing
 from corvane.plans.catalog import ORACLES, QUERIES, SENTENCES_SQL, _slice_oracle, _talks, query, table
 from corvane.sources import churn, manifests, reports, tree
 from corvane.session import work_folder
@@ -66,13 +66,15 @@ for _name in FORMATS:
     _manifest(_name)
 
 
-@query("SELECT ecosystem, count(*) AS n FROM (SELECT p_partkey, unnest(CASE p_partkey % 4 WHEN 0 THEN ['python'] WHEN 1 THEN ['js', 'python'] WHEN 2 THEN ['rust'] ELSE [] END) AS ecosystem FROM part WHERE p_partkey < 8) GROUP BY 1 HAVING count(*) > 0")
+@query("""
+SELECT DISTINCT p_brand, unnest(CASE p_partkey % 4 WHEN 0 THEN ['python'] WHEN 1 THEN ['js', 'python'] WHEN 2 THEN ['rust'] ELSE [] END) AS ecosystem FROM part
+""")
 def q_manifest_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brand is a workspace, and each of its parts a file at its root or below."""
     names = F.array(F.lit("requirements.txt"), F.lit("yarn.lock"), F.lit("Cargo.lock"), F.lit("src/package.json"))
-    files = table(spark, sf_dir, "part").filter("p_partkey < 8").select("p_partkey", F.get(names, (F.col("p_partkey") % 4).cast("int")).alias("path"))
+    files = table(spark, sf_dir, "part").select("p_brand", F.get(names, (F.col("p_partkey") % 4).cast("int")).alias("path"))
     both = files.unionByName(files.filter("path = 'yarn.lock'").withColumn("path", F.lit("uv.lock")))
-    found = manifests.present(both).withColumn("n", F.when(F.col("ecosystem") == "python", 4).otherwise(2).cast("long"))
-    return found.select("ecosystem", "n")
+    return manifests.present(both, keys=("p_brand",)).select("p_brand", "ecosystem")
 
 
 @query("""
@@ -190,7 +192,7 @@ one AS (SELECT 'n' || e * 7 % 101 AS name, any_value(e % 3) AS need FROM live GR
 SELECT 'u' || user_id AS path, name AS callee, e % 5 AS argc, need FROM live JOIN one ON name = 'n' || e * 13 % 101 WHERE e % 5 <> need
 """)
 def q_incremental_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as versions of files, taken in four changes; a file defines one name and calls another, and an error removes it.  What is left must equal one look at the last versions."""
+    """Events as versions of files, taken in three changes; a file defines one name and calls another, and an error removes it.  What is left must equal one look at the last versions."""
     events = table(spark, sf_dir, "events")
     name = lambda times: F.concat(F.lit("n"), (F.col("e") * times % 101).cast("string"))
 
@@ -201,8 +203,8 @@ def q_incremental_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     state = Incremental(spark, f"{work_folder(spark)}/incremental", judge, "struct<callee:string,argc:long>", "callee string, argc long, need long", slots=4, salts=2)
     n = events.count()
-    for k in range(4):
-        batch = events.filter((F.col("event_id") * 4 >= k * n) & (F.col("event_id") * 4 < (k + 1) * n))
+    for k in range(3):
+        batch = events.filter((F.col("event_id") * 3 >= k * n) & (F.col("event_id") * 3 < (k + 1) * n))
         last = latest.latest_wins(batch.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("e"), "event_type"), ["path"], ["e"])
         defined = F.array(F.struct(name(7).alias("key"), (F.col("e") % 3).cast("string").alias("value")))
         units = last.filter("event_type <> 'error'").select("path", defined.alias("provides"), F.array(name(13)).alias("uses"), F.struct(name(13).alias("callee"), (F.col("e") % 5).alias("argc")).alias("body"))
@@ -320,13 +322,11 @@ def q_diag_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_EVENT_DIAGNOSTICS}, r AS (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'error' THEN 1 WHEN 'warning' THEN 2 WHEN 'info' THEN 3 ELSE 4 END AS rank, CASE WHEN source IN ('hallucination', 'crossfile') THEN 0 ELSE 1 END AS ai FROM d)
-SELECT event_id, severity, source, file, line, row_number() OVER (ORDER BY rank, ai, file, line, source, event_id) AS place FROM r ORDER BY place LIMIT 100
+SELECT event_id, severity, source, file, line, row_number() OVER (ORDER BY rank, ai, file, line, source, event_id) AS place FROM r
 """)
 def q_diag_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred diagnostics of the client's list."""
-    top = diagnostics.ordered(_diagnostics(spark, sf_dir)).limit(100)
-    place = F.posexplode(F.transform("rows", lambda r: r)).alias("nth", "r")
-    return top.agg(F.collect_list(F.struct("event_id", "severity", "source", "file", F.col("range.start.line").alias("line"))).alias("rows")).select(place).select("r.*", (F.col("nth") + 1).cast("long").alias("place"))
+    """Every diagnostic's place in the client's list."""
+    return ordered.numbered(_diagnostics(spark, sf_dir), diagnostics.order()).select("event_id", "severity", "source", "file", F.col("range.start.line").alias("line"), "place")
 
 
 @query(f"""

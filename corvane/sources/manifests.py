@@ -40,10 +40,10 @@ def discovered(files: DataFrame, path: str = "path") -> DataFrame:
     return files.filter(F.col(path).isin(*MANIFESTS))
 
 
-def present(files: DataFrame, path: str = "path") -> DataFrame:
-    """Ecosystems that have a manifest at all, even an empty or broken one."""
+def present(files: DataFrame, path: str = "path", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Ecosystems that have a manifest at all, even an empty or broken one; of each workspace, where ``keys`` tell them apart."""
     pairs = F.create_map(*(F.lit(x) for kv in MANIFESTS.items() for x in kv))
-    return discovered(files, path).select(F.element_at(pairs, F.col(path)).alias("ecosystem")).distinct()
+    return discovered(files, path).select(*keys, F.element_at(pairs, F.col(path)).alias("ecosystem")).distinct()
 
 
 def _keys(json: Column, *sections: str) -> Column:

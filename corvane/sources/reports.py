@@ -82,7 +82,7 @@ def semgrep(reports: DataFrame, column: str = "json", root: str | None = None) -
 
 
 def rust_analyzer(published: DataFrame, column: str = "json", root: str | None = None) -> DataFrame:
-    """Published diagnostics, a JSON object a row; of equal file, line and code the last stays."""
+    """Published diagnostics, a JSON object a row; of equal file, line and code the last stays.  Within a file ``ord`` is the place in its report."""
     from corvane.operators.latest import latest_wins
 
     p = "struct<line:int,character:int>"
@@ -93,8 +93,8 @@ def rust_analyzer(published: DataFrame, column: str = "json", root: str | None =
     value = F.get_json_object("d.code", "$.value")
     code = F.coalesce(F.when(F.col("d.code").startswith("{"), value).otherwise(F.col("d.code")), "d.source", F.lit("rust-analyzer"))
     ends = (F.col("d.range.start.line"), F.col("d.range.start.character"), F.col("d.range.end.line"), F.col("d.range.end.character"))
-    rows = rows.select("file", _range(*ends).alias("range"), code.alias("code"), F.coalesce("d.severity", F.lit(1)).alias("level"), F.col("d.message").alias("message"), (F.col("n") * 100_000 + F.col("k")).alias("ord"))
-    rows = latest_wins(rows.withColumn("line", F.col("range.start.line")), ["file", "line", "code"], ["ord"])
+    rows = rows.select("file", _range(*ends).alias("range"), code.alias("code"), F.coalesce("d.severity", F.lit(1)).alias("level"), F.col("d.message").alias("message"), "n", "k")
+    rows = latest_wins(rows.withColumn("line", F.col("range.start.line")), ["file", "line", "code"], ["n", "k"]).withColumn("ord", F.col("k"))
     sev = F.when(F.col("level") == 1, "error").when(F.col("level") == 2, "warning").when(F.col("level") == 3, "info").otherwise("hint")
     return build(rows, "rust-analyzer", F.col("code"), sev, F.col("message"), _id("rust-analyzer", F.col("code")))
 

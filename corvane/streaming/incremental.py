@@ -67,6 +67,7 @@ class Incremental:
         salts: int = 4,
     ):
         self.spark, self.folder, self.judge, self.by_value, self.common, self.slots, self.salts = spark, folder.rstrip("/"), judge, by_value, common, slots, salts
+        self._created = False
         self.schemas = {
             "units": T._parse_datatype_string(f"path string, provides {PROVIDED}, uses array<string>, body {body}, slot int, version long"),
             "index": T._parse_datatype_string(INDEX),
@@ -141,7 +142,9 @@ class Incremental:
 
         Versions grow from 0 on.  A change with a version that was taken before replaces it, if it is the last.
         """
-        self._create()
+        if not self._created:
+            self._create()
+            self._created = True
         stage = f"{self.folder}/stage/version={version}"
 
         def kept(name: str, rows: DataFrame) -> DataFrame:
