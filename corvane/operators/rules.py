@@ -1,4 +1,4 @@
-"""The rule pack: rules as a table, and those that are plain patterns as column expressions."""
+"""The rule pack: rules as a table, those that are plain patterns as column expressions, and those that are tree patterns as twigs."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators import twigs
+from corvane.operators.twigs import Twig
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule with its languages and severity; ``pattern`` is null for rules that need the token tree."""
+    """A rule with its languages and severity; ``pattern`` is null for rules of ``TWIGS``."""
 
     id: str
     languages: tuple[str, ...]
@@ -42,6 +45,53 @@ RULES = (
 )
 
 
+
+
+def _arg(*children: Twig, ord: int | None = None, word: str | None = None) -> Twig:  # noqa: A002
+    return Twig("arg", word, ord=ord, children=children)
+
+
+def _call(word: str, *args: Twig, n: int | None = None) -> Twig:
+    return Twig("call", word, n=n, children=args)
+
+
+def _stmt(word: str, *body: Twig, text: str | None = None, n: int | None = None) -> Twig:
+    return Twig("stmt", word, text, n=n, children=body)
+
+
+_INTERPOLATED = _arg(Twig("fstr"), ord=0)
+_SUM = _arg(Twig("plus", children=(Twig("str", ord=0), Twig("str", ord=-1))), ord=0)
+
+#: Which calls and statements the structural rules mean, by rule, for each of its languages.
+TWIGS = {
+    "slop.eval-on-untyped-input": (_call("eval|exec", n=1),),
+    "slop.js-eval": (_call("eval|Function|new Function", n=1),),
+    "slop.shell-true-from-format": (_call(r"subprocess\.(run|call|Popen)", _INTERPOLATED, _arg(Twig("expr", text="True"), word="shell")), _call(r"os\.system", _INTERPOLATED)),
+    "slop.js-exec-template": (_call(r"(.*\.)?(exec|execSync)", _INTERPOLATED, n=1),),
+    "slop.py-sql-string-concat": (_call(r".*\.(execute|query)", _SUM, n=1), _call(r".*\.(execute|query)", _INTERPOLATED, n=1)),
+    "slop.js-sql-string-concat": (_call(r".*\.(execute|query)", _SUM, n=1), _call(r".*\.(execute|query)", _INTERPOLATED, n=1)),
+    "slop.silent-except": (_stmt("except", _stmt("pass"), text="", n=1),),
+    "slop.broad-except-pass": (_stmt("except", _stmt("pass"), text="Exception", n=1),),
+    "slop.requests-no-verify": (_call(r"requests\.(get|post|put|delete|request)", _arg(Twig("expr", text="False"), word="verify")),),
+    "slop.weak-hash-for-credentials": (_call(r"(?s)hashlib\.(md5|sha1)\(.*\)\.hexdigest", n=0),),
+    "slop.raise-not-implemented": (_stmt("def", _stmt("raise", text=r"(?s)NotImplementedError\(.*\)"), n=1),),
+    "slop.open-user-path": (_call("open", _arg(Twig("expr", text=r"(?s)request\.(args|form|json)\[.*"), ord=0)), _call("open", _arg(Twig("fstr", text=r"(?s).*\{\s*request\.args\[.*"), ord=0))),
+}
+
+
+def twig_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The tree patterns of the rules, a row for each of their nodes; as small as the pack."""
+    return twigs.patterns(spark, {(r.id, lang): TWIGS[r.id] for r in rules if r.pattern is None for lang in r.languages})
+
+
+def structural_hits(nodes: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``(file, rule, severity, message, range)``: ``nodes`` as front ends give them, with the tree patterns of their language."""
+    spark = nodes.sparkSession
+    pack = table(spark, rules).select("rule", "severity", "message").distinct()
+    found = twigs.matches(nodes, twig_table(spark, rules), "file")
+    return found.join(pack, "rule").select("file", "rule", "severity", "message", "range")
+
+
 def table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``(rule, language, severity, message, cwe, pattern)``: a row for each rule and language; as small as the pack."""
     rows = [(r.id, lang, r.severity, r.message, r.cwe, r.pattern) for r in rules for lang in r.languages]

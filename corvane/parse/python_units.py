@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from corvane.parse.lexer import Group, Lexer, Source, Tok, nested, split
-from corvane.parse.model import Parsed, distinct, function, in_stack_order, label, span
+from corvane.parse.model import Nodes, Parsed, arguments, distinct, function, in_stack_order, label, span
 
 KEYWORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
 _BLOCKS = frozenset("if elif else for while try except finally with def class match case".split())
@@ -389,7 +389,6 @@ def parse(text: str) -> Parsed:
             sites(n.body)
 
     sites(top)
-    out.findings = findings(src, top)
     return out
 
 
@@ -401,58 +400,46 @@ def _module(n: Node) -> str | None:
     return first.text
 
 
-# --- structural rules -------------------------------------------------------------------------------------------------
+# --- nodes ------------------------------------------------------------------------------------------------------------
 
 
-def _is_fstring(items: list) -> bool:
-    return bool(items) and isinstance(items[0], Tok) and items[0].kind == "str" and bool(items[0].parts)
+def _value(items: list) -> tuple[str, list[list]]:
+    first = items[0]
+    if isinstance(first, Tok) and first.kind == "str" and first.parts:
+        return "fstr", []
+    if len(items) == 1 and isinstance(first, Tok) and first.kind == "str":
+        return "str", []
+    pieces = [p for p in split(items, "+") if p]
+    return ("plus", pieces) if len(pieces) > 1 else ("expr", [])
 
 
-def _concatenated(items: list) -> bool:
-    """``"..." + x + "..."``"""
-    pieces = split(items, "+")
-    literal = lambda p: len(p) == 1 and isinstance(p[0], Tok) and p[0].kind == "str"
-    return len(pieces) >= 3 and literal(pieces[0]) and literal(pieces[-1])
+def _keyword(items: list) -> tuple[str, list]:
+    return (items[0].text, items[2:]) if len(items) > 2 and _is(items[1], "=") and isinstance(items[0], Tok) else ("", items)
 
 
-def findings(src: Source, top: list[Node]) -> list[dict]:
-    """Rules that need the tree, as ``(rule, range)``."""
-    out: list[dict] = []
-    text = src.text
+def nodes(text: str) -> list[dict]:
+    """Statements with their keyword and head, calls with their callee, arguments with their names and values.
 
-    def put(rule: str, s: int, e: int) -> None:
-        out.append({"rule": f"slop.{rule}", "range": span(src, s, e)})
+    A clause of a try statement begins with the statement, so it holds what it belongs to.
+    """
+    src = Source(text)
+    out = Nodes(src)
 
     def call(s: int, e: int, a: int, b: int, g: Group) -> None:
-        callee, args = text[a:b], [p for p in split(g.items, ",") if p]
-        plain = "".join(text[x.start : x.end] for x in g.items)
-        named = {p[0].text: "".join(text[x.start : x.end] for x in p[2:]) for p in args if len(p) > 2 and _is(p[1], "=")}
-        if callee in ("eval", "exec") and len(args) == 1:
-            put("eval-on-untyped-input", s, e)
-        if args and _is_fstring(args[0]) and (callee == "os.system" or callee in ("subprocess.run", "subprocess.call", "subprocess.Popen") and named.get("shell") == "True"):
-            put("shell-true-from-format", s, e)
-        if callee.endswith((".execute", ".query")) and len(args) == 1 and (_is_fstring(args[0]) or _concatenated(args[0])):
-            put("py-sql-string-concat", s, e)
-        if callee in tuple(f"requests.{m}" for m in ("get", "post", "put", "delete", "request")) and named.get("verify") == "False":
-            put("requests-no-verify", s, e)
-        if callee.startswith(("hashlib.md5(", "hashlib.sha1(")) and callee.endswith(").hexdigest") and not g.items:
-            put("weak-hash-for-credentials", s, e)
-        if callee == "open" and args and (plain.startswith(("request.args[", "request.form[", "request.json[")) or _is_fstring(args[0]) and any("request.args[" in text[i.start : i.end + 20] for p in args[0][0].parts for i in p[:1])):
-            put("open-user-path", s, e)
+        args = [p for p in split(g.items, ",") if p]
+        out.put("call", s, e, "".join(text[a:b].split()), n=len(args))
+        arguments(out, text, g, args, _keyword, _value)
 
     def walk(body: list[Node]) -> None:
-        for k, n in enumerate(body):
-            calls(n.head, call)
-            passes = len(n.body) == 1 and n.body[0].word == "pass"
-            if n.word == "except" and n.block and passes:
-                begin = next((m for m in reversed(body[:k]) if m.word == "try"), n)
-                if len(n.head) == 1:
-                    put("silent-except", begin.start, n.end)
-                elif len(n.head) == 2 and _word(n.head[1], "Exception"):
-                    put("broad-except-pass", begin.start, n.end)
-            if n.word == "def" and n.block and len(n.body) == 1 and n.body[0].word == "raise" and any(_word(x, "NotImplementedError") for x in n.body[0].head[1:2]) and len(n.body[0].head) == 3:
-                put("raise-not-implemented", n.start, n.end)
+        begin = 0
+        for n in body:
+            if n.word == "try":
+                begin = n.start
+            start = begin if n.word in ("except", "else", "finally") and n.block else n.start
+            inner = n.head[1:] if n.word else n.head
+            out.put("stmt", start, n.end, n.word, "".join(text[inner[0].start : inner[-1].end].split()) if inner else "", n=len(n.body))
+            calls(n.head if n.word != "def" else [x for x in n.head if isinstance(x, Group)], call)
             walk(n.body)
 
-    walk(top)
-    return out
+    walk(tree(src))
+    return out.rows()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corvane.parse.braces import TS, Function, Scorer, angle_end, argc, calls, is_group, is_op, is_word, statement_rows
 from corvane.parse.lexer import Group, Lexer, Source, Tok, nested, split
-from corvane.parse.model import Parsed, function, in_stack_order, span
+from corvane.parse.model import Nodes, Parsed, arguments, function, in_stack_order, span
 
 _NO_METHOD = frozenset("if for while switch catch with function return typeof new await throw super do else".split())
 _MODIFIERS = frozenset("public private protected static async get set readonly abstract override declare accessor".split())
@@ -323,25 +323,9 @@ def parse(text: str) -> Parsed:
             out.imports += [{"module": q, "range": span(src, s, e)} for x in g.items if (q := _quoted(x)) is not None]
         if callee.endswith(_BINDINGS):
             out.bindings += [{"callee": callee, "name": q, "range": span(src, x.start, x.end)} for p in split(g.items, ",") if len(p) == 1 for x in p if (q := _quoted(x)) is not None]
-        _rules(callee, g, s, e)
-
-    def _rules(callee: str, g: Group, s: int, e: int) -> None:
-        args = [p for p in split(g.items, ",") if p]
-        template = lambda p: len(p) == 1 and isinstance(p[0], Tok) and p[0].text.startswith("`") and bool(p[0].parts)
-        if callee in ("eval", "Function") and len(args) == 1:
-            out.findings.append({"rule": "slop.js-eval", "range": span(src, s, e)})
-        if callee.rpartition(".")[2] in ("exec", "execSync") and len(args) == 1 and template(args[0]):
-            out.findings.append({"rule": "slop.js-exec-template", "range": span(src, s, e)})
-        if callee.endswith((".execute", ".query")) and len(args) == 1:
-            plus = split(args[0], "+")
-            literal = lambda p: len(p) == 1 and isinstance(p[0], Tok) and p[0].kind == "str"
-            if template(args[0]) or len(plus) >= 3 and literal(plus[0]) and literal(plus[-1]):
-                out.findings.append({"rule": "slop.js-sql-string-concat", "range": span(src, s, e)})
 
     calls(top, TS, site, _declaration_head)
     for i, x in _everywhere(top):
-        if is_word(x[i], "new") and i + 2 < len(x) and is_word(x[i + 1], "Function") and is_group(x[i + 2], "(") and argc(x[i + 2]) == 1:
-            out.findings.append({"rule": "slop.js-eval", "range": span(src, x[i].start, x[i + 2].end)})
         if is_word(x[i], "import") and not (i + 1 < len(x) and is_group(x[i + 1], "(")) and not (i and is_op(x[i - 1], ".")):
             found = _import(x, i)
             if found:
@@ -349,6 +333,34 @@ def parse(text: str) -> Parsed:
     return out
 
 
+def _value(items: list) -> tuple[str, list[list]]:
+    first = items[0]
+    if len(items) == 1 and isinstance(first, Tok) and first.kind == "str":
+        return ("fstr" if first.text.startswith("`") and first.parts else "str"), []
+    if len(items) == 1 and isinstance(first, Tok) and first.text.startswith("`") and first.parts:
+        return "fstr", []
+    pieces = [p for p in split(items, "+") if p]
+    return ("plus", pieces) if len(pieces) > 1 else ("expr", [])
+
+
+def nodes(text: str) -> list[dict]:
+    """Calls with their callee (``new`` before that of a construction), arguments and their values."""
+    src = Source(text)
+    out = Nodes(src)
+    top = nested(Lexer(text, "ts").run())
+
+    def put(s: int, e: int, callee: str, g: Group) -> None:
+        args = [p for p in split(g.items, ",") if p]
+        out.put("call", s, e, callee, n=len(args))
+        arguments(out, text, g, args, lambda p: ("", p), _value)
+
+    calls(top, TS, lambda s, e, a, b, g: put(s, e, "".join(text[a:b].split()), g), _declaration_head)
+    for i, x in _everywhere(top):
+        if is_word(x[i], "new") and i + 2 < len(x) and is_word(x[i + 1]) and is_group(x[i + 2], "("):
+            put(x[i].start, x[i + 2].end, f"new {x[i + 1].text}", x[i + 2])
+    return out.rows()
+
+
 def _everywhere(items: list):
     for i, x in enumerate(items):
         yield i, items

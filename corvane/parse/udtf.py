@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane import schemas
+from corvane.operators.twigs import NODE
 from corvane.shipping import ship
 
 R = schemas.RANGE
 PARSED = (
     f"path string, language string, functions array<struct<name:string,range:{R},cc:int,loc:int,callees:array<string>>>, imports array<struct<module:string,range:{R}>>, "
     f"definitions array<struct<name:string,min_args:int,max_args:int,range:{R}>>, calls array<struct<callee:string,argc:int,range:{R}>>, "
-    f"bindings array<struct<callee:string,name:string,range:{R}>>, bodies array<struct<name:string,range:{R},statements:array<struct<range:{R},label:string,writes:array<string>,reads:array<string>>>>>, "
-    f"findings array<struct<rule:string,range:{R}>>"
+    f"bindings array<struct<callee:string,name:string,range:{R}>>, bodies array<struct<name:string,range:{R},statements:array<struct<range:{R},label:string,writes:array<string>,reads:array<string>>>>>"
 )
+NODES = f"path string, language string, nodes array<{NODE}>"
 
 
 def parse(language: str, source: str):
@@ -55,7 +56,6 @@ def _arrow_schema() -> pa.Schema:
         "calls": [("callee", text), ("argc", num), ("range", span)],
         "bindings": [("callee", text), ("name", text), ("range", span)],
         "bodies": [("name", text), ("range", span), ("statements", pa.list_(statement))],
-        "findings": [("rule", text), ("range", span)],
     }
     return pa.schema([("path", text), ("language", text), *((k, pa.list_(pa.struct(v))) for k, v in lists.items())])
 
@@ -64,3 +64,30 @@ def parsed(files: DataFrame) -> DataFrame:
     """``files(path, language, source)`` → ``PARSED``: one call of a front end for each row, in Arrow batches."""
     ship(files.sparkSession)
     return files.select("path", "language", F.col("source").cast("string").alias("source")).mapInArrow(_parsed, PARSED)
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from corvane.parse import python_units, ts_units
+
+    ends = {"python": python_units.nodes, "typescript": ts_units.nodes, "tsx": ts_units.nodes}
+    point = pa.struct([("line", pa.int32()), ("col", pa.int32())])
+    num, text = pa.int32(), pa.string()
+    node = pa.struct([("id", num), ("last", num), ("parent", num), ("kind", text), ("word", text), ("text", text), ("ord", num), ("of", num), ("n", num), ("range", pa.struct([("start", point), ("end", point)]))])
+    schema = pa.schema([("path", text), ("language", text), ("nodes", pa.list_(node))])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            rows = []
+            for r in batch.slice(at, 64).to_pylist():
+                try:
+                    found = ends[r["language"]](r["source"] or "") if r["language"] in ends else []
+                except RecursionError:
+                    found = []
+                rows.append({"path": r["path"], "language": r["language"], "nodes": found})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def nodes(files: DataFrame) -> DataFrame:
+    """``files(path, language, source)`` → a row for each node: ``(file, language, id, last, parent, kind, word, text, ord, of, n, range)``."""
+    ship(files.sparkSession)
+    rows = files.select("path", "language", F.col("source").cast("string").alias("source")).mapInArrow(_nodes, NODES)
+    return rows.select(F.col("path").alias("file"), "language", F.inline("nodes"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import arity, diagnostics, gate, health, keys, latest, layout, notes, ordered, resolve, slicing
+from corvane.operators import arity, crossing, diagnostics, gate, health, keys, latest, layout, notes, ordered, resolve, rules, slicing
+from corvane.parse import udtf
 from corvane.plans.catalog import ORACLES, QUERIES, SENTENCES_SQL, _slice_oracle, _talks, query, table
 from corvane.sources import churn, manifests, reports, tree
 from corvane.session import work_folder
@@ -298,6 +299,65 @@ def q_report_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("id", "file", F.col("range.start.line").alias("line"), "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Sources by ``o_orderkey mod 12`` with the rule that they break and its severity, if any; the last two are TypeScript.
+_SOURCES = (
+    ("x = eval(y{k})", "eval-on-untyped-input", "error"),
+    ("\nrequests.get(u{k}, timeout=3, verify=False)", "requests-no-verify", "error"),
+    ('db.execute("a" + x + "b{k}")', "py-sql-string-concat", "error"),
+    ("try:\n    f{k}()\nexcept:\n    pass", "silent-except", "warning"),
+    ('def f{k}(a):\n    raise NotImplementedError("x")', "raise-not-implemented", "warning"),
+    ("requests.get(u{k}, verify=True)", None, None),
+    ("eval(a{k}, b)", None, None),
+    ('subprocess.run(f"ls {{x{k}}}", shell=True)', "shell-true-from-format", "error"),
+    ("hashlib.md5(p{k}).hexdigest()", "weak-hash-for-credentials", "warning"),
+    ('s = "eval(x{k})"', None, None),
+    ("a.exec(`ls ${{x{k}}}`);", "js-exec-template", "error"),
+    ("f(new Function(y{k}));", "js-eval", "error"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT 'o' || o_orderkey || '{'.ts' if i > 9 else '.py'}' AS file, 'slop.{rule}' AS rule, '{sev}' AS severity, {int(text.startswith(chr(10)))} AS line FROM orders WHERE o_orderkey % 12 = {i}" for i, (text, rule, sev) in enumerate(_SOURCES) if rule))
+def q_rule_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a source file, and all tree patterns are looked for in each."""
+    kind = (F.col("o_orderkey") % 12).cast("int")
+    source = F.get(F.array(*(_filled(text, "o_orderkey") for text, _, _ in _SOURCES)), kind)
+    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.when(kind > 9, ".ts").otherwise(".py")).alias("path"), F.when(kind > 9, "typescript").otherwise("python").alias("language"), source.alias("source"))
+    return rules.structural_hits(udtf.nodes(files)).select("file", "rule", "severity", F.col("range.start.line").alias("line"))
+
+
+def _program_sql(hops: int) -> str:
+    return f"""
+WITH RECURSIVE w AS (SELECT conv_id AS fn, turn AS place, role, string_split(text, ' ') AS w FROM conversations),
+reads AS (SELECT DISTINCT fn, place, unnest(w[3:]) AS name FROM w), writes AS (SELECT DISTINCT fn, place, unnest(w[1:2]) AS name FROM w),
+size AS (SELECT greatest(max(fn), 0) + 1 AS n FROM w), calls AS (SELECT fn, place, (fn + 1) % n AS callee, w FROM w, size WHERE role = 'assistant'),
+args AS (SELECT DISTINCT fn, place, callee, pos, name FROM (SELECT fn, place, callee, unnest([0, 1]) AS pos, unnest([w[3], w[4]]) AS name FROM calls) WHERE name IS NOT NULL),
+params AS (SELECT fn, pos, name FROM (SELECT fn, unnest([0, 1]) AS pos, unnest([w[3], w[4]]) AS name FROM w WHERE place = 0) WHERE name IS NOT NULL),
+returns AS (SELECT fn, max(place) AS place FROM w GROUP BY fn),
+needs AS (SELECT fn, place, -1 AS pos, name FROM reads UNION ALL SELECT fn, place, pos, name FROM args),
+edges AS (SELECT n.fn, n.place, n.pos, x.fn AS fn2, x.place AS place2, -1 AS pos2 FROM needs n JOIN writes x ON x.fn = n.fn AND x.name = n.name AND x.place < n.place
+  UNION SELECT n.fn, n.place, n.pos, a.fn, a.place, a.pos FROM needs n JOIN params p ON p.fn = n.fn AND p.name = n.name JOIN args a ON a.callee = n.fn AND a.pos = p.pos
+  UNION SELECT c.fn, c.place, -1, r.fn, r.place, -1 FROM calls c JOIN returns r ON r.fn = c.callee),
+walk(q, fn, place, pos, hop) AS (SELECT fn, fn, place, -1, 0 FROM returns UNION SELECT q, fn2, place2, pos2, hop + 1 FROM walk JOIN edges USING (fn, place, pos) WHERE hop < {hops})
+SELECT q, fn, place, min(hop) AS hop FROM walk GROUP BY q, fn, place
+"""
+
+
+@query(_program_sql(4))
+def q_slice_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as functions that call the next one: every function's result, sliced across them."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("fn"), F.col("turn").alias("at"), "role", F.split("text", " ").alias("w"))
+    names = lambda words: turns.select("fn", "at", F.explode(words).alias("name")).distinct()
+    n = turns.agg(F.greatest(F.max("fn"), F.lit(0)) + 1).scalar()
+    calls = turns.filter("role = 'assistant'").select("fn", "at", ((F.col("fn") + 1) % n).alias("callee"), "w")
+    pair = F.posexplode(F.array(F.get("w", 2), F.get("w", 3))).alias("pos", "name")
+    arguments = calls.select("fn", "at", "callee", pair).filter("name IS NOT NULL")
+    params = turns.filter("at = 0").select("fn", pair).filter("name IS NOT NULL")
+    returns = turns.groupBy("fn").agg(F.max("at").alias("at"))
+    origins = returns.select(F.col("fn").alias("q"), "fn", "at")
+    rest = F.slice("w", F.lit(3), F.greatest(F.size("w") - 2, F.lit(0)))
+    return crossing.backward(origins, names(rest), names(F.slice("w", 1, 2)), params, calls.drop("w"), arguments, returns, 4).withColumnRenamed("at", "place")
+
+
 # --- diagnostics ----------------------------------------------------------------------------------------------------
 
 _EVENT_DIAGNOSTICS = """d AS (SELECT event_id, 'u' || user_id || '.py' AS file, (event_id % 40)::INT AS line, CASE event_type WHEN 'error' THEN 'hallucination' WHEN 'purchase' THEN 'crossfile' WHEN 'signup' THEN 'semgrep' ELSE 'pyright' END AS source,

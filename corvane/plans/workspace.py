@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane import schemas
 from corvane.operators import arity, diagnostics, fanin, gate, health, intervals, layout, resolve, rules, slicing
+from corvane.parse import udtf
 from corvane.plans import store
 from corvane.sources import churn as churn_source
 from corvane.sources import manifests, reports, tree
@@ -43,10 +44,11 @@ class Semantics:
     """``compat`` keeps quirks on which recorded results depend; without it, they are corrected.
 
     In a compatible run the definition index ignores languages, the standard library is a short list, and requirement
-    lines keep ``~`` and ``@``.  ``prefix`` stands before the codes of this engine's own diagnostics, and ``scheme`` in symbol ids.
+    lines keep ``~`` and ``@``.  ``rules`` says whether the rule pack runs over the tree where no scanner's report is given.  ``prefix`` stands before the codes of this engine's own diagnostics, and ``scheme`` in symbol ids.
     """
 
     compat: bool = True
+    rules: bool = True
     prefix: str = ""
     scheme: str = "corvane"
     weights: health.Weights = field(default_factory=health.Weights)
@@ -159,8 +161,7 @@ class Workspace:
         zero = F.lit(0)
         point = F.struct(F.col("line").alias("line"), zero.alias("col"))
         regex = regex.select("file", "rule", "severity", "message", F.struct(point.alias("start"), point.alias("end")).alias("range"))
-        pack = rules.table(self.spark).select("rule", "severity", "message").distinct()
-        found = self._exploded("findings").select("file", "rule", "range").join(F.broadcast(pack), "rule").select("file", "rule", "severity", "message", "range")
+        found = rules.structural_hits(udtf.nodes(self.sources.select("path", "language", "source")))
         rows = regex.unionByName(found).withColumn("ord", F.lit(0))
         return diagnostics.build(rows, "rules", F.col("rule"), F.col("severity"), F.col("message"), F.concat_ws(":", F.lit("rules"), "file", F.col("range.start.line").cast("string"), "rule"))
 
@@ -170,6 +171,8 @@ class Workspace:
 
     def all_diagnostics(self) -> DataFrame:
         own = [self.own_diagnostics()]
+        if self.semantics.rules and "semgrep" not in self.reports:
+            own.append(self.rule_hits())
         for tool, read in _SCHEMES.items():
             if tool in self.reports:
                 own.append(read(self.reports[tool]) if tool == "pytea" else read(self.reports[tool], root=self.root))
@@ -302,7 +305,7 @@ class Workspace:
         rows.append(("summaries", True, "offline, from facts"))
         rows.append(("cross-file-slices", False, "only from a flow report"))
         structural = [r.id for r in rules.RULES if r.pattern is None]
-        rows.append(("rules", True, f"{len(rules.RULES) - len(structural)} by pattern, {len(structural)} by the front ends"))
+        rows.append(("rules", True, f"{len(rules.RULES) - len(structural)} by pattern, {len(structural)} by tree patterns"))
         return self.spark.createDataFrame(rows, schemas.CAPABILITIES)
 
     def invalidate(self) -> None:

@@ -354,3 +354,42 @@ def test_degraded_and_snapshots(spark):
     assert [tuple(r) for r in diagnostics.snapshot(df).collect()] == [("a", 9, "x", "error", "m" * 80), ("a", 9, "y", "error", "m" * 80), ("b", 1, "x", "error", "m" * 80)]
     (only,) = diagnostics.by_severity(df, 2).collect()
     assert (only["severity"], only["n"], [d["ord"] for d in only["first"]]) == ("error", 4, [9, 9])
+
+
+def test_tree_patterns(spark):
+    """Order, counts, places from the end, and patterns of several heights, against a walk over random trees."""
+    import random
+
+    from corvane.operators import twigs
+    from corvane.operators.twigs import Twig
+
+    rng = random.Random(4)
+    pats = {
+        ("flat", "l"): (Twig("a", "x|y"),),
+        ("deep", "l"): (Twig("a", None, children=(Twig("b", ord=0, children=(Twig("a", "x"),)), Twig("b", ord=-1))), Twig("b", "z", n=0)),
+        ("other", "m"): (Twig("a", "x"),),
+    }
+
+    def tree(n):
+        parents = [-1] + [rng.randrange(max(0, k - 3), k) for k in range(1, n)]
+        nodes = [{"id": k, "parent": p, "kind": rng.choice("ab"), "word": rng.choice("xyz"), "text": ""} for k, p in enumerate(parents)]
+        for x in nodes:
+            same = [y["id"] for y in nodes if y["parent"] == x["parent"] and y["kind"] == x["kind"]]
+            x |= {"ord": same.index(x["id"]), "of": len(same), "n": sum(y["parent"] == x["id"] for y in nodes)}
+        return nodes
+
+    def holds(t, x, nodes):
+        import re
+
+        own = x["kind"] == t.kind and (t.word is None or re.fullmatch(t.word, x["word"])) and (t.n is None or t.n == x["n"])
+        own = own and (t.ord is None or x["ord"] == (t.ord if t.ord >= 0 else x["of"] + t.ord))
+        return bool(own) and all(any(y["parent"] == x["id"] and holds(c, y, nodes) for y in nodes) for c in t.children)
+
+    rows, want = [], set()
+    for f in range(25):
+        nodes = tree(rng.randint(1, 14))
+        rows += [(str(f), "l", x["id"], 0, x["parent"], x["kind"], x["word"], x["text"], x["ord"], x["of"], x["n"], ((x["id"], 0), (x["id"], 1))) for x in nodes]
+        want |= {(str(f), rule, x["id"]) for (rule, lang), alts in pats.items() if lang == "l" for x in nodes if any(holds(t, x, nodes) for t in alts)}
+    kind = "file string, language string, id int, last int, parent int, kind string, word string, text string, ord int, of int, n int, range struct<start:struct<line:int,col:int>,end:struct<line:int,col:int>>"
+    got = {(r["file"], r["rule"], r["id"]) for r in twigs.matches(spark.createDataFrame(rows, kind), twigs.patterns(spark, pats)).collect()}
+    assert got == want and {r for _, r, _ in want} == {"flat", "deep"}
