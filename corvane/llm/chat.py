@@ -69,32 +69,78 @@ def _problems(args: Column, known: Column, params: Column) -> Column:
 
 
 def _placed(spots: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Places and levels behind all calls that a call depends on, round by round until a round settles none.
+    """Places and levels behind all calls that a call depends on.
 
-    ``stuck`` says of the calls that are left whether they are in a cycle or only wait for one; it is null for all others.
+    A call with one need is a link of a chain, and chains are followed by doubling: each link jumps to the end of its chain, with the length
+    and the latest place on the way.  Only calls with several needs are settled round by round, behind the ends of their chains, until a
+    round settles none.  ``stuck`` says of the calls that are left whether they are in a cycle or only wait for one; it is null for all others.
     """
     key = ["conv", "call_id"]
     spots = scratch.table("spots", spots)
+    needs = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("needs"))
+    single = edges.join(needs.filter("needs = 1"), key, "left_semi")
+    links = single.join(spots.select(*key, "at"), key).select(*key, F.col("dep").alias("end"), F.lit(1).alias("length"), F.col("at").alias("top"))
+    chains, ringed = _chained(scratch.table("links-0", links), scratch)
+
+    # What isn't a link: calls without needs, settled at once, and those with several, behind the ends of chains.
     waiting = edges.select(*key).distinct()
     fresh = scratch.table("settled-0", spots.join(waiting, key, "left_anti").withColumn("stuck", F.lit(None).cast("string")))
-    open_ = edges.withColumns({"dat": F.lit(None).cast("long"), "dlevel": F.lit(None).cast("int")})
+    several = edges.join(needs.filter("needs > 1"), key, "left_semi")
+    hop = chains.select("conv", F.col("call_id").alias("dep"), "end", "length", "top")
+    open_ = several.join(hop, ["conv", "dep"], "left").select(*key, "dep", F.coalesce("end", "dep").alias("end"), F.coalesce("length", F.lit(0)).alias("length"), "top")
+    open_ = scratch.table("open-0", open_.withColumns({"dat": F.lit(None).cast("long"), "dlevel": F.lit(None).cast("int")}))
     i = 0
-    while not fresh.isEmpty():
+    while not (fresh.isEmpty() or open_.isEmpty()):
         i += 1
-        done = fresh.select("conv", F.col("call_id").alias("dep"), F.col("at").alias("fat"), F.col("level").alias("flevel"))
-        filled = open_.join(done, ["conv", "dep"], "left").select("conv", "call_id", "dep", F.coalesce("dat", "fat").alias("dat"), F.coalesce("dlevel", "flevel").alias("dlevel"))
+        done = fresh.select("conv", F.col("call_id").alias("end"), F.col("at").alias("fat"), F.col("level").alias("flevel"))
+        filled = open_.join(done, ["conv", "end"], "left").select(*key, "dep", "end", "length", "top", F.coalesce("dat", F.greatest("fat", F.when(F.col("fat").isNotNull(), F.col("top")))).alias("dat"), F.coalesce("dlevel", F.col("flevel") + F.col("length")).alias("dlevel"))
         filled = scratch.table(f"open-{i}", filled)
         scratch.drop(f"open-{i - 1}")
         ready = filled.groupBy(*key).agg(F.max("dat").alias("dat"), F.max("dlevel").alias("dlevel"), F.bool_and(F.col("dlevel").isNotNull()).alias("ready")).filter("ready")
         fresh = scratch.table(f"settled-{i}", spots.join(ready, key).select(*key, F.greatest("at", "dat").alias("at"), (F.col("dlevel") + 1).alias("level"), F.lit(None).cast("string").alias("stuck")))
         open_ = filled.join(fresh.select(*key), key, "left_anti")
-    settled = scratch.spark.read.schema(fresh.schema).parquet(*(f"{scratch.root}/settled-{k}" for k in range(i + 1)))
-    if open_.isEmpty():
+    ends = scratch.spark.read.schema(fresh.schema).parquet(*(f"{scratch.root}/settled-{k}" for k in range(i + 1)))
+    behind = chains.join(ends.select("conv", F.col("call_id").alias("end"), F.col("at").alias("eat"), "level"), ["conv", "end"])
+    behind = behind.select(*key, F.greatest("top", "eat").alias("at"), (F.col("level") + F.col("length")).alias("level"), F.lit(None).cast("string").alias("stuck"))
+    settled = scratch.table("settled", ends.unionByName(behind))
+
+    left = edges.join(settled.select(*key), key, "left_anti")
+    if left.isEmpty():
         return settled
-    behind = open_.groupBy(*key).agg(F.max("dat").alias("dat"), F.max("dlevel").alias("dlevel"))
-    left = spots.join(behind, key).select(*key, F.greatest("at", "dat").alias("at"), F.coalesce(F.col("dlevel") + 1, F.lit(0)).alias("level"))
-    left = left.join(_cyclic(open_.filter("dlevel IS NULL").select("conv", "call_id", "dep"), scratch), key, "left")
-    return settled.unionByName(left.withColumn("stuck", F.coalesce("stuck", F.lit("waits for a cycle"))))
+    left = scratch.table("left", left)
+    known = left.join(settled.select("conv", F.col("call_id").alias("dep"), F.col("at").alias("dat"), F.col("level").alias("dlevel")), ["conv", "dep"], "left")
+    after = known.groupBy(*key).agg(F.max("dat").alias("dat"), F.max("dlevel").alias("dlevel"))
+    after = spots.join(after, key).select(*key, F.greatest("at", "dat").alias("at"), F.coalesce(F.col("dlevel") + 1, F.lit(0)).alias("level"))
+    # Chains that only run into themselves are told by doubling; the closure is for cycles that calls with several needs are in.
+    mixed = known.filter("dlevel IS NULL").select(*key, "dep").join(ringed.select(*key), key, "left_anti")
+    mixed = mixed.join(ringed.select("conv", F.col("call_id").alias("dep")), ["conv", "dep"], "left_anti")
+    found = ringed.filter("ring").select(*key, F.lit("cycle").alias("stuck"))
+    if not mixed.isEmpty():
+        found = found.unionByName(_cyclic(mixed, scratch)).distinct()
+    return settled.unionByName(after.join(found, key, "left").withColumn("stuck", F.coalesce("stuck", F.lit("waits for a cycle"))))
+
+
+def _chained(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``links(conv, call_id, end, length, top)``, one for each call with one need → those that come to an end that is no link, with their whole length and
+    latest place, and ``(conv, call_id, ring)`` for those that never do: ``ring`` tells the cycle itself from what leads into it.
+
+    Every round doubles the jumps, so a round more than the logarithm of the number of links is enough; in a ring all jumps then lead to its members.
+    """
+    ids = ["conv", "call_id"]
+    n, jumps, i = links.count(), links, 0
+    while True:
+        onward = jumps.select("conv", F.col("call_id").alias("end"), F.col("end").alias("far"), F.col("length").alias("more"), F.col("top").alias("high"))
+        if 1 << i > n or jumps.join(onward, ["conv", "end"], "left_semi").isEmpty():
+            break
+        i += 1
+        # lengths in rings mean nothing and are held back from overflowing
+        further = F.least(F.col("length") + F.coalesce("more", F.lit(0)), F.lit(1 << 30)).cast("int")
+        jumps = scratch.table(f"links-{i}", jumps.join(onward, ["conv", "end"], "left").select(*ids, F.coalesce("far", "end").alias("end"), further.alias("length"), F.greatest("top", "high").alias("top")))
+        scratch.drop(f"links-{i - 1}")
+    endless = scratch.table("endless", jumps.join(jumps.select("conv", F.col("call_id").alias("end")), ["conv", "end"], "left_semi").select(*ids, "end"))
+    ring = endless.select("conv", F.col("end").alias("call_id"), F.lit(True).alias("ring")).distinct()
+    ringed = endless.select(*ids).join(ring, ids, "left").select(*ids, F.coalesce("ring", F.lit(False)).alias("ring"))
+    return jumps.join(endless.select(*ids), ids, "left_anti"), ringed
 
 
 def _cyclic(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -1,6 +1,8 @@
 """Tool-call linking, and the pipeline stage by stage against plain Python."""
 
 import json
+import random
+import time
 import math
 import zlib
 
@@ -82,6 +84,61 @@ def test_chains_beyond_any_number_of_rounds_and_calls_that_wait_for_cycles(spark
     assert {r["call_id"]: r["problems"] for r in lines(df, 2) if r["kind"] == "call"} == {"own": "cycle", "p": "cycle", "q": "cycle", "between": waits, "s": "cycle", "t": "cycle", "after": waits, "last": waits, "free": ""}
 
 
+def placed_by_walking(spots, needs):
+    """Levels, places and stuck calls of one conversation: settled again and again, cycles by search from each call."""
+    out = {}
+    while True:
+        ready = [c for c in spots if c not in out and all(d in out for d in needs.get(c, ()))]
+        if not ready:
+            break
+        for c in ready:
+            out[c] = (max([spots[c], *(out[d][0] for d in needs.get(c, ()))]), 1 + max((out[d][1] for d in needs.get(c, ())), default=-1), None)
+
+    def reaches_itself(c):
+        seen, todo = set(), list(needs.get(c, ()))
+        while todo:
+            x = todo.pop()
+            if x == c:
+                return True
+            if x not in seen:
+                seen.add(x)
+                todo += needs.get(x, ())
+        return False
+
+    stuck = {c: "cycle" if reaches_itself(c) else "waits for a cycle" for c in spots if c not in out}
+    return out, stuck
+
+
+def placed(spark, spots, needs):
+    from corvane.llm.scratch import Scratch
+
+    rows = spark.createDataFrame([(1, c, at, 0) for c, at in spots.items()], "conv long, call_id string, at long, level int")
+    edges = spark.createDataFrame([(1, c, d) for c, ds in needs.items() for d in ds], "conv long, call_id string, dep string")
+    got = chat._placed(rows, edges, Scratch(spark, "t")).collect()
+    assert len(got) == len(spots)
+    return {r["call_id"]: (r["at"], r["level"], r["stuck"]) for r in got if r["stuck"] is None}, {r["call_id"]: r["stuck"] for r in got if r["stuck"]}
+
+
+def test_places_in_random_graphs(spark):
+    rng = random.Random(21)
+    for n in (14, 30):
+        spots = {f"c{k}": rng.randrange(50) for k in range(n)}
+        needs = {f"c{k}": sorted({f"c{rng.randrange(max(0, k - 4), min(n, k + (5 if rng.random() < 0.06 else 1)))}" for _ in range(rng.choice((1, 1, 1, 2)))} - {f"c{k}"}) for k in range(n) if rng.random() < 0.8}
+        needs = {c: d for c, d in needs.items() if d}
+        assert placed(spark, spots, needs) == placed_by_walking(spots, needs)
+
+
+def test_long_chain_and_long_cycle(spark):
+    """Chains and rings are followed by doubling, so neither rounds nor rows follow the square of their length."""
+    spots = {f"c{k}": k % 17 for k in range(1000)} | {f"r{k}": 3 for k in range(10_000)} | {"tail": 1}
+    needs = {f"c{k}": [f"c{k + 1}"] for k in range(999)} | {f"r{k}": [f"r{(k + 1) % 10_000}"] for k in range(10_000)} | {"tail": ["r5"]}
+    began = time.time()
+    settled, stuck = placed(spark, spots, needs)
+    assert time.time() - began < 120
+    assert settled == {f"c{k}": (max(j % 17 for j in range(k, min(1000, k + 17))), 999 - k, None) for k in range(1000)}
+    assert stuck == {f"r{k}": "cycle" for k in range(10_000)} | {"tail": "waits for a cycle"}
+
+
 def test_arguments_against_schemas(spark):
     tools = spark.createDataFrame([("add", "x", "number", True), ("add", "y", "object", None), ("get", "q", "string", True), ("get", "n", "array", False), ("get", "ok", "boolean", False), ("ping", None, None, None)], "tool string, param string, type string, required boolean")
     cases = {"1": ("add", {"x": 1.5}, ""), "2": ("add", {"x": "s", "y": {}}, "type of x"), "3": ("add", {}, "missing x"), "4": ("get", {"q": "v", "n": [1], "ok": True}, ""), "5": ("get", {"q": 1, "n": {}, "zz": 0}, "type of n; type of q; unexpected zz"), "6": ("nope", {}, "unknown tool"), "7": ("get", "[1]", "arguments are no object"), "8": ("ping", {}, ""), "9": ("add", {"x": {"$result": "1"}}, ""), "10": ("ping", None, "arguments are no object")}
