@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.ordered import carried_forward, numbered, running_total
+
 
 def innermost(points: DataFrame, intervals: DataFrame, on: list[str], inside: Column, point_id: list[str], prefer: list[Column], width: tuple[Column, Column, Column, int] | None = None) -> DataFrame:
     """For each point the interval that ``prefer`` orders first among those that contain it; points in none are left out.
@@ -25,6 +27,33 @@ def innermost(points: DataFrame, intervals: DataFrame, on: list[str], inside: Co
     return best.select(*point_id, "_best.*")
 
 
+def innermost_nested(points: DataFrame, intervals: DataFrame, on: list[str], at: str, start: str, end: str, tie: str, stretches: int | None = None) -> DataFrame:
+    """Each point with the columns of the innermost interval that contains it, ends included; points in none are left out.
+
+    For intervals that are nested or apart, as those of a tree are.  Points and ends of intervals are one sorted sequence: how many
+    intervals are open at a point is a running total, and the innermost of them is the last that was opened at this depth, as on a stack.  Work follows the rows of
+    both tables, however many intervals lie around each other, and stretches of the sequence are taken apart, so one file may hold any share.
+    Of equal intervals the one with the larger ``tie`` is the inner one.  Points and intervals share the columns ``on`` and no others; their
+    places are whole numbers.
+    """
+    own = [c for c in points.columns if c not in on]
+    theirs = [c for c in intervals.columns if c not in on]
+    held = F.struct(*theirs)
+    none, asked = F.lit(None).cast(intervals.select(held.alias("x")).schema["x"].dataType), F.struct(*own)
+    nothing = F.lit(None).cast(points.select(asked.alias("x")).schema["x"].dataType)
+    row = lambda place, kind, first, second, step, p, i: [place.cast("long").alias("_at"), F.lit(kind).alias("_kind"), first.cast("long").alias("_a"), second.cast("long").alias("_b"), F.lit(step).alias("_step"), p.alias("_p"), i.alias("_i")]
+    zero = F.lit(0)
+    events = (
+        intervals.select(*on, *row(F.col(start), 0, -F.col(end), F.col(tie), 1, nothing, held))
+        .unionByName(points.select(*on, *row(F.col(at), 1, zero, zero, 0, asked, none)))
+        .unionByName(intervals.select(*on, *row(F.col(end), 2, -F.col(start), -F.col(tie), -1, nothing, none)))
+    )
+    placed = numbered(events, [*on, "_at", "_kind", "_a", "_b"], "_n")
+    deep = running_total(placed, on, "_n", F.col("_step"), "_depth", stretches)
+    found = carried_forward(deep, [*on, "_depth"], "_n", F.col("_i"), "_best", stretches)
+    return found.filter("_kind = 1 AND _depth > 0").select(*on, "_p.*", "_best.*")
+
+
 def packed_span(start_line: Column, start_col: Column, end_line: Column, end_col: Column) -> Column:
     """Lines first, then columns, as one number."""
     return (end_line - start_line) * 100_000 + (end_col - start_col)

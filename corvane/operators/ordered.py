@@ -50,6 +50,19 @@ def carried_forward(rows: DataFrame, keys: list[str], order: str, value: Column,
     return joined.select(*rows.columns, F.coalesce("_here", "_carry").alias(out))
 
 
+def running_total(rows: DataFrame, keys: list[str], order: str, value: Column, out: str, stretches: int | None = None) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the key's rows up to and with this one, taken by stretches as ``carried_forward`` does."""
+    base = rows.withColumns({"_v": value, "_s": stretch(rows, order, stretches)})
+    here = base.withColumn("_here", F.sum("_v").over(Window.partitionBy(*keys, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = base.groupBy(*keys, "_s").agg(F.sum("_v").alias("_sum")).withColumn("_carry", F.sum("_sum").over(along))
+    carry = carry.select(*(F.col(k).alias(f"_c_{k}") for k in keys), F.col("_s").alias("_c_s"), "_carry")
+    on = F.col("_s") == F.col("_c_s")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    return here.join(carry, on, "left").select(*rows.columns, (F.col("_here") + F.coalesce("_carry", F.lit(0))).alias(out))
+
+
 def numbered(rows: DataFrame, order: list, out: str = "place") -> DataFrame:
     """Adds the place of each row in the order, from 1 and without gaps; among equal rows any.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import arity, crossing, diagnostics, gate, health, keys, latest, layout, notes, ordered, resolve, rules, slicing
+from corvane.operators import arity, crossing, diagnostics, gate, health, intervals, keys, latest, layout, notes, ordered, resolve, rules, slicing
 from corvane.parse import udtf
 from corvane.plans.catalog import ORACLES, QUERIES, SENTENCES_SQL, _slice_oracle, _talks, query, table
 from corvane.sources import churn, manifests, reports, tree
@@ -358,6 +358,46 @@ def q_slice_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossing.backward(origins, names(rest), names(F.slice("w", 1, 2)), params, calls.drop("w"), arguments, returns, 4).withColumnRenamed("at", "place")
 
 
+@query("""
+SELECT event_id, CASE WHEN hour(ts) % 3 = 0 THEN 1 WHEN (hour(ts) // 6 + user_id) % 2 = 1 THEN 6 ELSE 24 END AS hours FROM events
+""")
+def q_innermost_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days, some of their quarters and some hours as nested spans of each user, and events as points in them."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.hour("ts").alias("h"), F.datediff("ts", F.lit("2000-01-01")).cast("long").alias("d"))
+    slot = lambda size: ((F.col("d") * 24 + F.floor(F.col("h") / size) * size) * 10).alias("lo")
+    spans = [events.filter(keep).select("user_id", slot(size), F.lit(size).alias("hours")).distinct() for size, keep in ((24, "true"), (6, "(h div 6 + user_id) % 2 = 1"), (1, "h % 3 = 0"))]
+    spans = diagnostics.union(spans).select("user_id", "lo", (F.col("lo") + F.col("hours") * 10 - 1).alias("hi"), "hours")
+    points = events.select("event_id", "user_id", ((F.col("d") * 24 + F.col("h")) * 10 + 5).alias("at"))
+    return intervals.innermost_nested(points, spans, ["user_id"], "at", "lo", "hi", "hours").select("event_id", "hours")
+
+
+@query("""
+WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'diagnosticsUpdated' WHEN 'view' THEN 'healthUpdated' WHEN 'error' THEN 'capabilityDegraded' WHEN 'signup' THEN 'capabilityRestored' ELSE 'notesUpdated' END AS type,
+  'u' || user_id AS file, 'tool' || user_id % 7 AS capability, props FROM events),
+k AS (SELECT *, CASE WHEN type LIKE 'capability%' THEN 'capability' ELSE type END AS slot, CASE WHEN type = 'diagnosticsUpdated' THEN file WHEN type LIKE 'capability%' THEN capability ELSE '' END AS key FROM e)
+SELECT slot, key, arg_max(type, event_id) AS type, arg_max(props, event_id) AS payload, max(event_id) AS seq FROM k GROUP BY slot, key
+""")
+def q_client_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a daemon's five lasting kinds, folded to what a client shows."""
+    kind = F.col("event_type")
+    type_ = F.when(kind == "click", "diagnosticsUpdated").when(kind == "view", "healthUpdated").when(kind == "error", "capabilityDegraded").when(kind == "signup", "capabilityRestored").otherwise("notesUpdated")
+    user = F.col("user_id").cast("string")
+    tool = F.concat(F.lit("tool"), (F.col("user_id") % 7).cast("string"))
+    return changes.client_state(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), type_.alias("type"), F.concat(F.lit("u"), user).alias("file"), tool.alias("capability"), F.col("props").alias("payload")))
+
+
+@query("""
+WITH d AS (SELECT 'o' || o_custkey AS file, 'i' || o_orderkey AS id, o_orderstatus AS code, o_orderpriority AS message, o_orderkey FROM orders),
+old AS (SELECT file, id, code, message FROM d WHERE o_orderkey % 10 <> 3), new AS (SELECT file, id, CASE WHEN o_orderkey % 10 = 5 THEN 'X' ELSE code END, message FROM d WHERE o_orderkey % 10 <> 7)
+SELECT DISTINCT file, 'diagnosticsUpdated' AS type FROM ((SELECT * FROM old EXCEPT ALL SELECT * FROM new) UNION ALL (SELECT * FROM new EXCEPT ALL SELECT * FROM old))
+""")
+def q_events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as diagnostics of their customer's file, in two versions: which files' events follow."""
+    k = F.col("o_orderkey") % 10
+    d = table(spark, sf_dir, "orders").select(k.alias("k"), F.concat(F.lit("o"), F.col("o_custkey").cast("string")).alias("file"), F.concat(F.lit("i"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderstatus").alias("code"), F.col("o_orderpriority").alias("message"), F.lit("error").alias("severity"))
+    return changes.events_of(d.filter("k <> 3"), d.filter("k <> 7").withColumn("code", F.when(F.col("k") == 5, "X").otherwise(F.col("code"))))
+
+
 # --- diagnostics ----------------------------------------------------------------------------------------------------
 
 _EVENT_DIAGNOSTICS = """d AS (SELECT event_id, 'u' || user_id || '.py' AS file, (event_id % 40)::INT AS line, CASE event_type WHEN 'error' THEN 'hallucination' WHEN 'purchase' THEN 'crossfile' WHEN 'signup' THEN 'semgrep' ELSE 'pyright' END AS source,

@@ -75,3 +75,31 @@ def test_crowded_suffixes_stay_linear(spark):
     assert got == [(f"call{i:05}_end", f"{i:05}_end") for i in range(0, 3000, 2)]
     plan = out._jdf.queryExecution().executedPlan()
     assert "CartesianProduct" not in plan.toString() and "NestedLoop" not in plan.toString()
+
+
+@pytest.mark.parametrize("stretches", [1, 5])
+def test_innermost_of_nested_intervals(spark, stretches):
+    rng = random.Random(8)
+    spans = []
+
+    def nest(f, lo, hi, depth):
+        spans.append((f, lo, hi, len(spans)))
+        at = lo
+        while depth and at < hi and rng.random() < 0.8:
+            a = rng.randint(at, hi)
+            b = rng.randint(a, hi)
+            nest(f, a, b, depth - 1)
+            at = b + 1
+
+    for f in ("hot", "hot2", None):
+        for base in (0, 60, 200):
+            nest(f, base, base + 50, 4)
+    spans.append(("hot", 60, 110, len(spans)))  # equal to another: the later is the inner one
+    points = [(f, k, rng.randint(-3, 260)) for k, f in enumerate(rng.choices(("hot", "hot2", None, "none"), k=300))]
+    want = {}
+    for f, k, x in points:
+        around = [(b - a, -o) for g, a, b, o in spans if g == f and a <= x <= b]
+        if around:
+            want[k] = -min(around)[1]
+    df = intervals.innermost_nested(spark.createDataFrame(points, "f string, k int, x long"), spark.createDataFrame(spans, "f string, lo long, hi long, o int"), ["f"], "x", "lo", "hi", "o", stretches)
+    assert {r["k"]: r["o"] for r in df.collect()} == want
