@@ -522,8 +522,9 @@ def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sentences as the body of a small module: each second sentence is a condition."""
     body = F.transform(gate.sentences(F.col("text")), lambda s, i: F.concat(F.when(i % 2 == 0, "    if ready and able or idle:\n        ").otherwise("    "), F.lit("say("), F.concat(F.lit('"'), F.regexp_replace(s, r'["\\\n\r]', " "), F.lit('"')), F.lit(")")))
     source = F.concat(F.lit("import os\n\ndef act_"), F.col("doc_id").cast("string"), F.lit("(ready, able, idle=False):\n"), F.array_join(body, "\n"), F.lit("\n"))
-    # Parsing is bound by CPU, so texts are dealt out to all cores first, however few splits the table has.
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
+    # Parsing is bound by CPU, so texts are dealt out to all cores first where the table has fewer splits than these; a large table stays as it is.
+    docs, least = table(spark, sf_dir, "documents").select("doc_id", "text"), 2 * spark.sparkContext.defaultParallelism
+    docs = docs.repartition(least, "doc_id") if docs.rdd.getNumPartitions() < least else docs
     return docs.select(F.concat(F.lit("m/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), source.alias("source"))
 
 
