@@ -11,8 +11,8 @@ from corvane import schemas
 from corvane.operators.keys import rank_of
 
 
-def build(rows: DataFrame, source: str, code: Column | str, severity: Column | str, message: Column, id_: Column, related: Column | None = None, fix: Column | None = None, ord_: str = "ord") -> DataFrame:
-    """Rows ``(file, range, ord, ...)`` as diagnostics."""
+def build(rows: DataFrame, source: str, code: Column | str, severity: Column | str, message: Column, id_: Column, related: Column | None = None, fix: Column | None = None, ord_: str = "ord", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ``(file, range, ord, ...)`` as diagnostics, with further columns that are to stay."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     kinds = {f.name: f.dataType for f in _empty_schema().fields}
     return rows.select(
@@ -27,6 +27,7 @@ def build(rows: DataFrame, source: str, code: Column | str, severity: Column | s
         (related if related is not None else F.array()).cast(kinds["related"]).alias("related"),
         (fix if fix is not None else F.lit(None)).cast(kinds["fix"]).alias("fix"),
         F.col(ord_).cast("long").alias("ord"),
+        *keep,
     )
 
 

@@ -81,22 +81,28 @@ def semgrep(reports: DataFrame, column: str = "json", root: str | None = None) -
     return build(rows, "semgrep", code, sev, F.coalesce("r.extra.message", code), _id("semgrep", code))
 
 
-def rust_analyzer(published: DataFrame, column: str = "json", root: str | None = None) -> DataFrame:
-    """Published diagnostics, a JSON object a row; of equal file, line and code the last stays.  Within a file ``ord`` is the place in its report."""
+def rust_analyzer(published: DataFrame, column: str = "json", root: str | None = None, session: str | None = None, at: tuple[str, str] | None = None) -> DataFrame:
+    """Published diagnostics, a JSON object a row; of equal file, line and code the last stays.  Within a file ``ord`` is the place in its report.
+
+    ``at`` names the columns of a message's number and of the place where its entries begin; without it rows count in the order they are in.
+    With ``session`` the last stays of each session, and the column stays too.
+    """
     from corvane.operators.latest import latest_wins
 
     p = "struct<line:int,character:int>"
     kind = f"uri string, diagnostics array<struct<range:struct<start:{p},end:{p}>,severity:int,code:string,message:string,source:string>>"
-    rows = published.select(F.monotonically_increasing_id().alias("n"), F.from_json(column, kind).alias("p"))
+    own = [session] if session else []
+    n, first = (F.col(at[0]), F.col(at[1])) if at else (F.monotonically_increasing_id(), F.lit(0))
+    rows = published.select(*own, n.alias("n"), first.alias("first"), F.from_json(column, kind).alias("p"))
     path = F.url_decode(F.regexp_replace(F.replace(F.regexp_replace("p.uri", "^file://", ""), F.lit("+"), F.lit("%2B")), r"^/([A-Za-z]:)", "$1"))
-    rows = rows.select("n", _relative(path, root).alias("file"), F.posexplode("p.diagnostics").alias("k", "d"))
+    rows = rows.select(*own, "n", "first", _relative(path, root).alias("file"), F.posexplode("p.diagnostics").alias("k", "d")).withColumn("k", F.col("first") + F.col("k"))
     value = F.get_json_object("d.code", "$.value")
     code = F.coalesce(F.when(F.col("d.code").startswith("{"), value).otherwise(F.col("d.code")), "d.source", F.lit("rust-analyzer"))
     ends = (F.col("d.range.start.line"), F.col("d.range.start.character"), F.col("d.range.end.line"), F.col("d.range.end.character"))
-    rows = rows.select("file", _range(*ends).alias("range"), code.alias("code"), F.coalesce("d.severity", F.lit(1)).alias("level"), F.col("d.message").alias("message"), "n", "k")
-    rows = latest_wins(rows.withColumn("line", F.col("range.start.line")), ["file", "line", "code"], ["n", "k"]).withColumn("ord", F.col("k"))
+    rows = rows.select(*own, "file", _range(*ends).alias("range"), code.alias("code"), F.coalesce("d.severity", F.lit(1)).alias("level"), F.col("d.message").alias("message"), "n", "k")
+    rows = latest_wins(rows.withColumn("line", F.col("range.start.line")), [*own, "file", "line", "code"], ["n", "k"]).withColumn("ord", F.col("k"))
     sev = F.when(F.col("level") == 1, "error").when(F.col("level") == 2, "warning").when(F.col("level") == 3, "info").otherwise("hint")
-    return build(rows, "rust-analyzer", F.col("code"), sev, F.col("message"), _id("rust-analyzer", F.col("code")))
+    return build(rows, "rust-analyzer", F.col("code"), sev, F.col("message"), _id("rust-analyzer", F.col("code")), keep=tuple(own))
 
 
 def pytea(reports: DataFrame, file: str = "file", column: str = "text") -> DataFrame:
