@@ -1,4 +1,4 @@
-"""Queries of byte streams and commit histories, which follow from the columns of orders and their lines.
+"""Queries of byte streams, commit histories and versions of tables, which follow from the columns of orders, their lines and events.
 
 A customer is a session of a language server: it opens with the first order, and every order publishes one diagnostic.  A chunk holds the second half of one frame and the
 first of the next, so what an order publishes arrives with the customer's next order.  An order is also a commit, and its lines what the commit changed.
@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.operators import latest
 from corvane.plans.catalog import query, table
 from corvane.session import work_folder
 from corvane.sources import churn, reports
-from corvane.streaming import frames
+from corvane.streaming import capture, frames
 
 _SETTLE = "400 days"
 
@@ -105,3 +106,55 @@ def q_renames_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     renames = orders.filter("renames").select("seq", name(F.col("v") - 1).alias("old_path"), name(F.col("v")).alias("path"))
     out = churn.moved(orders.select(name(F.col("v")).alias("path"), "seq", "loc", "changes"), renames)
     return out.groupBy("now").agg(F.sum("loc").alias("loc"), F.sum("changes").alias("changes"))
+
+
+# --- versions and what changed between them ---------------------------------------------------------------------------
+
+
+@query("""
+WITH s AS (SELECT v, user_id, max(event_id) AS e, arg_max(event_type, event_id) AS t FROM events, (VALUES (0), (1), (2)) x(v) WHERE event_id % 3 <= v GROUP BY ALL), l AS (SELECT v, user_id, e FROM s WHERE t <> 'error')
+SELECT coalesce(n.v, o.v + 1)::BIGINT AS version, 'u' || coalesce(n.user_id, o.user_id) || '.py' AS path, CASE WHEN o.v IS NULL THEN 'create' WHEN n.v IS NULL THEN 'remove' ELSE 'modify' END AS kind
+FROM l n FULL JOIN (SELECT * FROM l WHERE v < 2) o ON n.v = o.v + 1 AND n.user_id = o.user_id WHERE o.e IS DISTINCT FROM n.e
+""")
+def q_tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as files whose content is their last event, looked at three times while a third of the events is added each time; an error removes a file."""
+    folder = work_folder(spark)
+    for v in range(3):
+        last = latest.latest_wins(table(spark, sf_dir, "events").filter(F.col("event_id") % 3 <= v).select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"]).filter("event_type <> 'error'")
+        capture.watch(last.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"), F.col("event_id").cast("string").alias("blob_sha")), folder)
+    return spark.read.schema(capture.CHANGES).parquet(f"{folder}/changes").select("version", "path", "kind")
+
+
+@query("""
+WITH o AS (SELECT 'c' || o_custkey AS file, o_orderkey AS k, o_orderkey % 10 AS m, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+a AS (SELECT * FROM o WHERE m <> 3), b AS (SELECT * FROM o WHERE m <> 7),
+ha AS (SELECT file, count(*) AS n FROM a GROUP BY 1), hb AS (SELECT file, count(*) AS n FROM b GROUP BY 1), h AS (SELECT file, ha.n AS was, hb.n AS now FROM ha FULL JOIN hb USING (file) WHERE ha.n IS DISTINCT FROM hb.n),
+ca AS (SELECT p, count(*) AS n FROM a GROUP BY 1), cb AS (SELECT p, count(*) AS n FROM b GROUP BY 1),
+d AS (SELECT file, k, s, -1 AS c FROM a UNION ALL SELECT file, k, CASE WHEN m = 5 THEN 'X' ELSE s END, 1 FROM b),
+t AS (SELECT count(*) FILTER (now IS NOT NULL) AS n FROM h)
+SELECT 'healthUpdated' AS type, file AS key, CASE WHEN now IS NOT NULL THEN '{"composite":' || now || '}' END AS payload, NULL::BIGINT AS copies FROM h
+UNION ALL SELECT 'notesUpdated', 'n' || k, CASE m WHEN 3 THEN '{"title":"' || p || '"}' END, NULL FROM o WHERE s = 'F' AND m IN (3, 7)
+UNION ALL SELECT 'diagnosticsUpdated', file, '{"id":"i' || k || '","code":"' || s || '"}', sum(c)::BIGINT AS n FROM d GROUP BY file, k, s HAVING n <> 0
+UNION ALL SELECT CASE WHEN cb.n % 2 = 0 THEN 'capabilityRestored' ELSE 'capabilityDegraded' END, p, CASE WHEN cb.n % 2 = 0 THEN '{"available":true,"reason":"restored"}' ELSE '{"available":false,"reason":"n' || cb.n || '"}' END, NULL
+  FROM cb LEFT JOIN ca USING (p) WHERE ca.n IS DISTINCT FROM cb.n AND (cb.n % 2 = 1 OR coalesce(ca.n % 2 = 1, true))
+UNION ALL SELECT 'indexProgress', NULL, '{"filesDone":' || i || ',"filesTotal":' || n || '}', NULL FROM (SELECT DISTINCT n, unnest(range(0, n, 50) || [n]) AS i FROM t)
+""")
+def q_daemon_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as diagnostics and notes, customers as files with a score, priorities as capabilities, in two versions: events of all kinds."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(k, (k % 10).alias("m"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("file"), F.col("o_orderstatus").alias("code"), F.col("o_orderpriority").alias("p"))
+
+    def version(rows: DataFrame) -> dict[str, DataFrame]:
+        n, key = F.count(F.lit(1)), F.col("o_orderkey").cast("string")
+        scores = rows.groupBy("file").agg(n.alias("composite"))
+        return {
+            "health": scores,
+            "notes": rows.filter("code = 'F'").select(F.concat(F.lit("n"), key).alias("id"), F.col("p").alias("title")),
+            "diagnostics": rows.select("file", F.concat(F.lit("i"), key).alias("id"), "code"),
+            "capabilities": rows.groupBy(F.col("p").alias("capability")).agg((n % 2 == 0).alias("available"), F.concat(F.lit("n"), n.cast("string")).alias("reason")),
+            "files": scores.select(F.col("file").alias("path"), F.col("composite").cast("string").alias("blob_sha")),
+        }
+
+    old, new = version(orders.filter("m <> 3")), version(orders.filter("m <> 7"))
+    new["diagnostics"] = version(orders.filter("m <> 7").withColumn("code", F.when(F.col("m") == 5, "X").otherwise(F.col("code"))))["diagnostics"]
+    return capture.events(old, new)
