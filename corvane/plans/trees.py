@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from corvane.plans import store
 from corvane.plans.catalog import query, table
 from corvane.plans.workspace import Workspace
+from corvane.shipping import dealt
 from corvane.sources import manifests
 
+#: Files that a task makes and parses, about: some MB of text.
+_FILES_A_TASK = 5_000
+
 _CALLS = "".join(f"    g{j}(a)\n" for j in range(20))
 
 
@@ -21,7 +25,8 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     imported = F.when(k % 5 == 0, F.concat(F.lit("lib_"), k.cast("string"))).otherwise("json")
     text = F.concat(F.lit("import os\nimport "), imported, F.lit("\ndef f"), k.cast("string"), F.lit("(a):\n"), F.repeat(F.lit("    if a:\n        pass\n"), F.col("p_size")), F.when(k % 4 == 0, _CALLS).otherwise(""), F.lit("    return a\n"))
-    files = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string"), F.lit(".py")).alias("path"), text.alias("t"))
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", _FILES_A_TASK)
+    files = parts.select(F.concat(F.lit("p"), k.cast("string"), F.lit(".py")).alias("path"), text.alias("t"))
     manifest = spark.createDataFrame([("requirements.txt", "requests\n")], "path string, t string")
     return files.unionByName(manifest).select("path", F.encode("t", "UTF-8").alias("content"), F.octet_length("t").cast("long").alias("size"))
 
