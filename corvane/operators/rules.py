@@ -79,9 +79,18 @@ TWIGS = {
 }
 
 
+def _twigs(rules: tuple[Rule, ...]) -> dict[tuple[str, str], tuple[Twig, ...]]:
+    return {(r.id, lang): TWIGS[r.id] for r in rules if r.pattern is None for lang in r.languages}
+
+
 def twig_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The tree patterns of the rules, a row for each of their nodes; as small as the pack."""
-    return twigs.patterns(spark, {(r.id, lang): TWIGS[r.id] for r in rules if r.pattern is None for lang in r.languages})
+    return twigs.patterns(spark, _twigs(rules))
+
+
+def node_conditions(rules: tuple[Rule, ...] = RULES) -> dict[str, list[tuple[str, str | None, int | None]]]:
+    """What ``udtf.nodes`` may cut nodes down to where only the rules look at them."""
+    return twigs.conditions(_twigs(rules))
 
 
 def structural_hits(nodes: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -89,7 +98,7 @@ def structural_hits(nodes: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
     spark = nodes.sparkSession
     pack = table(spark, rules).select("rule", "severity", "message").distinct()
     found = twigs.matches(nodes, twig_table(spark, rules), "file")
-    return found.join(pack, "rule").select("file", "rule", "severity", "message", "range")
+    return found.join(F.broadcast(pack), "rule").select("file", "rule", "severity", "message", "range")
 
 
 def table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -56,16 +56,25 @@ def patterns(spark: SparkSession, twigs: dict[tuple[str, str], tuple[Twig, ...]]
     return spark.createDataFrame([r for (rule, lang), alts in twigs.items() for r in rows_of(rule, lang, alts)], PATTERNS)
 
 
+def conditions(twigs: dict[tuple[str, str], tuple[Twig, ...]]) -> dict[str, list[tuple[str, str | None, int | None]]]:
+    """What a front end needs to leave out nodes that are no pattern's: ``(kind, word, n)`` of the patterns' nodes by language."""
+    out: dict[str, set] = {}
+    for (rule, lang), alts in twigs.items():
+        out.setdefault(lang, set()).update((kind, word, n) for *_, kind, word, _, _, n in rows_of(rule, lang, alts))
+    return {lang: sorted(found, key=str) for lang, found in out.items()}
+
+
 def matches(nodes: DataFrame, patterns_: DataFrame, tree: str = "file") -> DataFrame:
     """``(tree, rule, id, range)``: nodes at which a pattern of their language holds, once for each rule.
 
-    ``nodes(tree, language, id, last, parent, kind, word, text, ord, of, n, range)``.  Nodes are first cut down to those that some pattern's node could be.
+    ``nodes(tree, language, id, last, parent, kind, word, text, ord, of, n, range)``.  Nodes are first cut down to those that some pattern's node could be, where they lie: the patterns are
+    as small as the pack that they are written in, and dealt out by language and kind all nodes would meet in a few tasks.
     """
     whole = lambda c, p: F.col(p).isNull() | F.regexp_like(c, F.concat(F.lit("^(?:"), F.col(p), F.lit(")$")))
     fits = whole("word", "p_word") & whole("text", "p_text") & (F.col("p_n").isNull() | (F.col("n") == F.col("p_n")))
     place = F.col("p_ord").isNull() | (F.col("ord") == F.col("p_ord")) | (F.col("p_ord") == F.col("ord") - F.col("of"))
     sized = nodes.select(tree, "language", "id", "parent", "kind", "word", "text", "ord", "of", "n", "range")
-    cand = sized.join(patterns_, ["language", "kind"]).filter(fits & place).select(tree, "rule", "alt", "node", "up", "height", "parts", "id", "parent", "range")
+    cand = sized.join(F.broadcast(patterns_), ["language", "kind"]).filter(fits & place).select(tree, "rule", "alt", "node", "up", "height", "parts", "id", "parent", "range")
     folder = f"{work_folder(nodes.sparkSession)}/twigs"  # few rows; each level reads them, and none parses again
     cand.write.parquet(folder)
     cand = nodes.sparkSession.read.schema(cand.schema).parquet(folder)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,28 +68,49 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("path", "language", F.col("source").cast("string").alias("source")).mapInArrow(_parsed, PARSED)
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from corvane.parse import python_units, ts_units
+def _kept(conditions: list[tuple[str, str | None, int | None]]):
+    """Whether a node of this kind, word and number of parts fits any of the conditions; what was asked before is kept, up to a bound."""
+    each: dict[str, list] = {}
+    for kind, word, n in conditions:
+        each.setdefault(kind, []).append((word and re.compile(word), n))
+
+    @lru_cache(1 << 16)
+    def keep(kind: str, word: str, n: int) -> bool:
+        return any((pattern is None or pattern.fullmatch(word)) and (many is None or n == many) for pattern, many in each.get(kind, ()))
+
+    return keep
+
+
+def _nodes(only: dict[str, list[tuple[str, str | None, int | None]]] | None):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from corvane.parse import python_units, ts_units
+
+        ends = {"python": python_units.nodes, "typescript": ts_units.nodes, "tsx": ts_units.nodes}
+        keep = {lang: None if only is None else _kept(only.get(lang, [])) for lang in ends}
+        point = pa.struct([("line", pa.int32()), ("col", pa.int32())])
+        num, text = pa.int32(), pa.string()
+        node = pa.struct([("id", num), ("last", num), ("parent", num), ("kind", text), ("word", text), ("text", text), ("ord", num), ("of", num), ("n", num), ("range", pa.struct([("start", point), ("end", point)]))])
+        schema = pa.schema([("path", text), ("language", text), ("nodes", pa.list_(node))])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for r in batch.slice(at, 64).to_pylist():
+                    lang = r["language"]
+                    try:
+                        rows_of = ends[lang](r["source"] or "", keep[lang]) if lang in ends else []
+                    except RecursionError:
+                        rows_of = []
+                    rows.append({"path": r["path"], "language": lang, "nodes": rows_of})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return found
 
-    ends = {"python": python_units.nodes, "typescript": ts_units.nodes, "tsx": ts_units.nodes}
-    point = pa.struct([("line", pa.int32()), ("col", pa.int32())])
-    num, text = pa.int32(), pa.string()
-    node = pa.struct([("id", num), ("last", num), ("parent", num), ("kind", text), ("word", text), ("text", text), ("ord", num), ("of", num), ("n", num), ("range", pa.struct([("start", point), ("end", point)]))])
-    schema = pa.schema([("path", text), ("language", text), ("nodes", pa.list_(node))])
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            rows = []
-            for r in batch.slice(at, 64).to_pylist():
-                try:
-                    found = ends[r["language"]](r["source"] or "") if r["language"] in ends else []
-                except RecursionError:
-                    found = []
-                rows.append({"path": r["path"], "language": r["language"], "nodes": found})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+def nodes(files: DataFrame, only: dict[str, list[tuple[str, str | None, int | None]]] | None = None) -> DataFrame:
+    """``files(path, language, source)`` → a row for each node: ``(file, language, id, last, parent, kind, word, text, ord, of, n, range)``.
 
-def nodes(files: DataFrame) -> DataFrame:
-    """``files(path, language, source)`` → a row for each node: ``(file, language, id, last, parent, kind, word, text, ord, of, n, range)``."""
+    ``only`` cuts nodes down where they are found: conditions ``(kind, word, n)`` by language, of which a node must fit one; its numbers stay those among all.
+    """
     ship(files.sparkSession)
-    rows = files.select("path", "language", F.col("source").cast("string").alias("source")).mapInArrow(_nodes, NODES)
+    rows = files.select("path", "language", F.col("source").cast("string").alias("source")).mapInArrow(_nodes(only), NODES)
     return rows.select(F.col("path").alias("file"), "language", F.inline("nodes"))

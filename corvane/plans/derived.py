@@ -14,6 +14,7 @@ from corvane.parse import udtf
 from corvane.plans.catalog import ORACLES, QUERIES, SENTENCES_SQL, _slice_oracle, _talks, query, table
 from corvane.sources import churn, manifests, reports, tree
 from corvane.session import work_folder
+from corvane.shipping import dealt
 from corvane.streaming import changes
 from corvane.streaming.incremental import Incremental
 
@@ -321,8 +322,9 @@ def q_rule_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is a source file, and all tree patterns are looked for in each."""
     kind = (F.col("o_orderkey") % 12).cast("int")
     source = F.get(F.array(*(_filled(text, "o_orderkey") for text, _, _ in _SOURCES)), kind)
-    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.when(kind > 9, ".ts").otherwise(".py")).alias("path"), F.when(kind > 9, "typescript").otherwise("python").alias("language"), source.alias("source"))
-    return rules.structural_hits(udtf.nodes(files)).select("file", "rule", "severity", F.col("range.start.line").alias("line"))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 50_000)
+    files = orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.when(kind > 9, ".ts").otherwise(".py")).alias("path"), F.when(kind > 9, "typescript").otherwise("python").alias("language"), source.alias("source"))
+    return rules.structural_hits(udtf.nodes(files, rules.node_conditions())).select("file", "rule", "severity", F.col("range.start.line").alias("line"))
 
 
 def _program_sql(hops: int) -> str:

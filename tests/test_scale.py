@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from corvane.operators import rules, twigs
+from corvane.parse import python_units, udtf
 from corvane.plans import trees
 
 
@@ -15,3 +17,21 @@ def test_files_of_one_split_are_dealt_out(spark, tmp_path):
     sizes = _rows_by_task(trees._raw(spark, str(tmp_path)).select("path"))
     assert sum(sizes) == 60_001
     assert max(sizes) < 2 * trees._FILES_A_TASK  # the texts of all files were one task's before
+
+
+def test_patterns_meet_nodes_where_these_lie(spark):
+    files = spark.createDataFrame([("a.py", "python", "eval(x)\ntry:\n    f()\nexcept:\n    pass\n")], "path string, language string, source string")
+    nodes = udtf.nodes(files)
+    hits = rules.structural_hits(nodes)
+    assert {r["rule"] for r in hits.collect()} == {"slop.eval-on-untyped-input", "slop.silent-except"}
+    assert {tuple(r) for r in rules.structural_hits(udtf.nodes(files, rules.node_conditions())).collect()} == {tuple(r) for r in hits.collect()}
+    assert udtf.nodes(files, rules.node_conditions()).count() < nodes.count()
+
+
+def test_conditions_are_those_of_the_patterns():
+    source = "def f():\n    raise NotImplementedError('x')\nrequests.get(u, verify=False)\nopen(p)\n"
+    every = python_units.nodes(source)
+    keep = udtf._kept(twigs.conditions(rules._twigs(rules.RULES))["python"])
+    some = python_units.nodes(source, keep)
+    assert some == [n for n in every if keep(n["kind"], n["word"], n["n"])]
+    assert {n["word"] for n in some} >= {"def", "raise", "requests.get", "verify", "open"}
