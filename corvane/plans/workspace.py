@@ -161,7 +161,7 @@ class Workspace:
         zero = F.lit(0)
         point = F.struct(F.col("line").alias("line"), zero.alias("col"))
         regex = regex.select("file", "rule", "severity", "message", F.struct(point.alias("start"), point.alias("end")).alias("range"))
-        found = rules.structural_hits(udtf.nodes(self.sources.select("path", "language", "source")))
+        found = rules.structural_hits(udtf.nodes(self.sources.select("path", "language", "source"), rules.node_conditions()))
         rows = regex.unionByName(found).withColumn("ord", F.lit(0))
         return diagnostics.build(rows, "rules", F.col("rule"), F.col("severity"), F.col("message"), F.concat_ws(":", F.lit("rules"), "file", F.col("range.start.line").cast("string"), "rule"))
 
