@@ -13,21 +13,40 @@ from corvane.session import work_folder
 STRETCH = 1_000_000
 #: Stretches at most; beyond, they grow.
 STRETCHES = 5_000
+#: Bins by which keys are counted first.
+BINS = 10_007
 
 
-def stretch(rows: DataFrame, order: str, stretches: int | None = None) -> Column:
+def needed(rows: DataFrame, keys: list[str]) -> int:
+    """How many stretches the order takes: one, if no key holds more rows than a stretch does.
+
+    Keys are first counted by ``BINS`` bins, so that only a table in which some bin holds more than that is shuffled by key.
+    """
+    counted = lambda by: rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("most"), F.sum("_n").alias("all")).first()
+    held = counted([F.pmod(F.hash(*keys), F.lit(BINS))] if keys else [])
+    if keys and (held["most"] or 0) > STRETCH:
+        held = counted(keys)
+    return min(STRETCHES, math.ceil(held["all"] / STRETCH)) if (held["most"] or 0) > STRETCH else 1
+
+
+def stretch(rows: DataFrame, order: str, stretches: int) -> Column:
     """The stretch of the order to which a row belongs: cuts are approximate quantiles, so that each holds about as many rows.
 
-    Rows of one order value share a stretch.  A null comes before all others.
+    Rows of one order value share a stretch.  A null comes before all others.  A row is compared with every so many-th cut, and then with those between two of these.
     """
-    if stretches is None:
-        stretches = min(STRETCHES, math.ceil(rows.count() / STRETCH))
     if stretches <= 1:
         return F.lit(0)
     at = [k / stretches for k in range(1, stretches)]
     cuts = rows.agg(F.percentile_approx(order, at, 10 * stretches).alias("c")).first()["c"] or []
-    kind = rows.schema[order].dataType
-    return F.size(F.filter(F.array(*(F.lit(c).cast(kind) for c in sorted(set(cuts)))), lambda c: F.coalesce(F.col(order) > c, F.lit(False))))
+    kind, cuts = rows.schema[order].dataType, sorted(set(cuts))
+    if not cuts:
+        return F.lit(0)
+    each = math.isqrt(len(cuts)) + 1
+    parts = [cuts[i : i + each] for i in range(0, len(cuts), each)]
+    above = lambda some: F.size(F.filter(some, lambda c: F.coalesce(F.col(order) > c, F.lit(False))))
+    listed = lambda some: F.array(*(F.lit(c).cast(kind) for c in some))
+    part = above(listed([p[-1] for p in parts]))  # parts that lie below the row as a whole
+    return F.when(part == len(parts), len(cuts)).otherwise(part * each + above(F.get(F.array(*map(listed, parts)), part)))
 
 
 def carried_forward(rows: DataFrame, keys: list[str], order: str, value: Column, out: str, stretches: int | None = None) -> DataFrame:
@@ -35,8 +54,13 @@ def carried_forward(rows: DataFrame, keys: list[str], order: str, value: Column,
 
     This is an as-of join once both sides are one table, with a null ``value`` on the rows that only ask.  A key's rows are taken by
     stretches of the order; what each stretch ends with is carried into the later ones, as few rows as there are stretches.  So a key, or no key
-    at all, may hold any share of the rows.  Rows of equal order don't see each other's values reliably: the order should be unique within a key.
+    at all, may hold any share of the rows.  Where no key holds more rows than a stretch, the order isn't cut.  Rows of equal order don't see each
+    other's values reliably: the order should be unique within a key.  Without ``stretches`` the rows are counted, so they should be cheap to read again.
     """
+    stretches = needed(rows, keys) if stretches is None else stretches
+    if stretches <= 1:
+        along = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("_v", value).withColumn(out, F.last("_v", ignorenulls=True).over(along)).drop("_v")
     base = rows.withColumns({"_v": value, "_s": stretch(rows, order, stretches)})
     before = Window.partitionBy(*keys, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     here = base.withColumn("_here", F.last("_v", ignorenulls=True).over(before))
@@ -52,6 +76,7 @@ def carried_forward(rows: DataFrame, keys: list[str], order: str, value: Column,
 
 def running_total(rows: DataFrame, keys: list[str], order: str, value: Column, out: str, stretches: int | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the key's rows up to and with this one, taken by stretches as ``carried_forward`` does."""
+    stretches = needed(rows, keys) if stretches is None else stretches
     base = rows.withColumns({"_v": value, "_s": stretch(rows, order, stretches)})
     here = base.withColumn("_here", F.sum("_v").over(Window.partitionBy(*keys, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
     along = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)

@@ -73,32 +73,35 @@ def moved(rows: DataFrame, renames: DataFrame) -> DataFrame:
     """Adds ``now``: the name that a file which was ``path`` at ``seq`` has after all later renames ``(seq, old_path, path)``.
 
     A name may be given up and used again.  Each rename leads to the next one of the name it gives, an as-of join along ``seq``; chains are followed by doubling, in as
-    many rounds as the logarithm of the longest.  Of several renames of one name at one ``seq`` the least new name counts.
+    many rounds as the logarithm of the longest, and a rename whose chain has ended takes no further part.  Of several renames of one name at one ``seq`` the least new name counts.
+    Rows and renames are written once, as they are read more than once.
     """
     spark = rows.sparkSession
     folder = work_folder(spark)
-    events = renames.groupBy(F.col("old_path").alias("path"), "seq").agg(F.min("path").alias("name"))
-    events.write.parquet(f"{folder}/renames")
-    events = spark.read.schema(events.schema).parquet(f"{folder}/renames")
-    gives_up = events.select("path", (-2 * F.col("seq")).alias("_at"), F.col("seq").alias("_next"), F.lit(None).cast("string").alias("_path"), F.lit(None).cast("long").alias("_seq"))
+
+    def kept(name: str, table: DataFrame) -> DataFrame:
+        table.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    events = kept("renames", renames.groupBy(F.col("old_path").alias("path"), "seq").agg(F.min("path").alias("name")))
+    gives_up = events.select("path", (-2 * F.col("seq")).alias("_at"), F.col("seq").cast("long").alias("_next"))
 
     def next_of(asks: DataFrame) -> DataFrame:
-        """For ``(path, _path, _seq)`` the first rename of ``path`` after ``_seq``."""
-        asks = asks.select("path", (-2 * F.col("_seq") - 1).alias("_at"), F.lit(None).cast("long").alias("_next"), "_path", "_seq")
-        found = carried_forward(gives_up.unionByName(asks), ["path"], "_at", F.col("_next"), "_then")
-        return found.filter("_seq IS NOT NULL").select("path", "_path", "_seq", "_then")
-
-    steps = next_of(events.select(F.col("name").alias("path"), F.col("path").alias("_path"), F.col("seq").alias("_seq")))
-    steps = steps.select(F.col("_path").alias("path"), F.col("_seq").alias("seq"), F.col("path").alias("name"), F.col("_then").alias("then"))
-    done = 0
-    while True:
-        steps.write.parquet(f"{folder}/steps_{done}")
-        steps = spark.read.schema(steps.schema).parquet(f"{folder}/steps_{done}")
-        if steps.filter("then IS NOT NULL").isEmpty():
-            break
-        on = steps.select(F.col("path").alias("name"), F.col("seq").alias("then"), F.col("name").alias("_name"), F.col("then").alias("_then"))
-        steps = steps.join(on, ["name", "then"], "left").select("path", "seq", F.coalesce("_name", "name").alias("name"), F.col("_then").alias("then"))
+        """For ``(path, _seq, _row)``, where ``_row`` isn't null, the first rename of ``path`` after ``_seq``."""
+        asks = asks.select("path", (-2 * F.col("_seq") - 1).alias("_at"), F.lit(None).cast("long").alias("_next"), "_row")
+        found = carried_forward(asks.unionByName(gives_up, allowMissingColumns=True), ["path"], "_at", F.col("_next"), "_then")
+        return found.filter("_row IS NOT NULL").select("path", "_then", "_row")
+
+    steps = next_of(events.select(F.col("name").alias("path"), F.col("seq").alias("_seq"), F.struct("path", "seq").alias("_row")))
+    steps = kept("steps_0", steps.select("_row.path", "_row.seq", F.col("path").alias("name"), F.col("_then").alias("then")))
+    ended, open_, done = steps.filter("then IS NULL"), steps.filter("then IS NOT NULL"), 0
+    while not open_.isEmpty():
+        on = ended.unionByName(open_).select(F.col("path").alias("name"), F.col("seq").alias("then"), F.col("name").alias("_name"), F.col("then").alias("_then"))
         done += 1
-    asked = next_of(rows.select("path", F.lit("").alias("_path"), F.col("seq").cast("long").alias("_seq")).distinct())
-    names = asked.filter("_then IS NOT NULL").join(steps.select("path", F.col("seq").alias("_then"), F.col("name").alias("now")), ["path", "_then"]).select("path", F.col("_seq").alias("seq"), "now")
-    return rows.join(names, ["path", "seq"], "left").withColumn("now", F.coalesce("now", "path"))
+        now = open_.join(on, ["name", "then"], "left").select("path", "seq", F.coalesce("_name", "name").alias("name"), F.col("_then").alias("then"))
+        now = kept(f"steps_{done}", now)
+        ended, open_ = ended.unionByName(now.filter("then IS NULL")), now.filter("then IS NOT NULL")
+    whole = kept("rows", rows.select("path", F.col("seq").cast("long").alias("_seq"), F.struct("*").alias("_row")))
+    asked = next_of(whole).select("path", "_then", "_row")
+    names = ended.select("path", F.col("seq").alias("_then"), F.col("name").alias("now"))
+    return asked.join(names, ["path", "_then"], "left").select("_row.*", F.coalesce("now", "path").alias("now"))

@@ -50,6 +50,23 @@ def test_moved_follows_files(spark, seed):
     assert sorted((r["path"], r["seq"], r["now"]) for r in got.collect()) == sorted((p, s, now[of]) for p, s, of in changes)
 
 
+def test_moved_reads_its_rows_once(spark):
+    """Rows may be costly to make, so they are written once; other columns stay, and rows without a name or a place are kept."""
+    seen = spark.sparkContext.accumulator(0)
+    renames = spark.createDataFrame([(2, "a", "b"), (5, "b", "c"), (7, "c", "d")], "seq long, old_path string, path string")
+
+    def read(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("a", 1, 10), ("a", 1, 11), ("b", 3, 12), ("b", 5, 13), (None, 3, 14), ("c", None, 15)], "path string, seq int, loc int")
+    got = churn.moved(rows.mapInArrow(read, rows.schema), renames)
+    assert got.columns == ["path", "seq", "loc", "now"]
+    assert sorted((r["loc"], r["now"]) for r in got.collect()) == [(10, "d"), (11, "d"), (12, "d"), (13, "b"), (14, None), (15, "c")]
+    assert seen.value == 6
+
+
 def test_collect(spark):
     commits = [(1, 1, NOW - timedelta(days=20), False), (2, 2, NOW - timedelta(days=14), None), (3, 3, NOW - timedelta(days=3), True), (4, 4, NOW - timedelta(days=2), False), (5, 5, NOW - timedelta(days=1), False), (6, 6, NOW, False)]
     diffs = [(1, "src/a", None, 100, 0), (2, "src/a", None, 1, 1), (3, "src/a", None, 50, 0), (4, "src/b", "src/a", 3, 0), (4, "bin", None, None, None), (5, "src/c", "src/b", 0, 4), (5, "doc", None, 9, 9), (6, "doc", None, 1, 0), (6, "src/c", None, None, None)]

@@ -26,6 +26,22 @@ def test_carried_forward_equals_a_walk(spark, stretches):
     assert {r["at"]: r["seen"] for r in ordered.carried_forward(df, [], "at", F.col("v"), "seen", stretches).collect()} == want
 
 
+def test_only_a_large_key_is_cut(spark, monkeypatch):
+    """Keys that a task can hold are taken by one window, however many there are; a row finds its stretch without looking at all cuts."""
+    monkeypatch.setattr(ordered, "STRETCH", 50)
+    small = spark.createDataFrame([(f"k{i % 40}", i, i) for i in range(400)], "k string, at long, v long")
+    assert ordered.needed(small, ["k"]) == 1 and ordered.needed(small, []) == 8 and ordered.needed(small.limit(0), ["k"]) == 1
+    one = ordered.carried_forward(small, ["k"], "at", F.col("v"), "seen")
+    assert "Join" not in one._jdf.queryExecution().toString()
+    assert {r["at"]: r["seen"] for r in one.collect()} == {i: i - 40 if i >= 40 else None for i in range(400)}
+    large = small.withColumn("k", F.when(F.col("at") % 4 == 0, F.col("k")).otherwise("hot"))
+    assert ordered.needed(large, ["k"]) == 8
+    cut = small.union(spark.createDataFrame([("n", None, 0)], small.schema)).withColumn("s", ordered.stretch(small, "at", 24))
+    places = [(r["at"], r["s"]) for r in cut.collect()]
+    assert dict(places)[None] == 0 and [s for _, s in sorted(p for p in places if p[0] is not None)] == sorted(s for at, s in places if at is not None)
+    assert {s for _, s in places} == set(range(24))
+
+
 def test_changes_along_stretches(spark):
     rows = [("k", i, v) for i, v in enumerate([None, "a", "a", None, None, "b", "a"])] + [("j", 3, "a")]
     df = spark.createDataFrame(rows, "k string, v long, s string")
