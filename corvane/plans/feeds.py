@@ -12,34 +12,43 @@ from pyspark.sql import functions as F
 from corvane.operators import latest
 from corvane.plans.catalog import query, table
 from corvane.session import work_folder
+from corvane.shipping import tasks_for
 from corvane.sources import churn, reports
 from corvane.streaming import capture, frames
 
 _SETTLE = "400 days"
+#: Orders of which a task makes chunks, about: some 100 MB of text.
+_ORDERS_A_TASK = 250_000
 
 
 def _framed(body: Column) -> Column:
     return F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body)
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _chunks(spark: SparkSession, sf_dir: str, tasks: int) -> DataFrame:
+    """Texts are made after the sort, so that only narrow rows are shuffled; sessions stay where they were dealt to."""
     k = F.col("o_orderkey")
     level = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 3).otherwise(4)
     said = '{"jsonrpc":"2.0","method":"textDocument/publishDiagnostics","params":{"uri":"file:///w/o%d.rs","diagnostics":[{"range":{"start":{"line":%d,"character":2},"end":{"line":%d,"character":4}},"severity":%d,"code":"E%d","message":"order %d"}]}}'
     said = _framed(F.format_string(said, k % 3, k % 2, k % 2, level, k % 2, k))
     said = F.when(k % 4 == 0, F.concat(said, _framed(F.lit('{"broken')))).otherwise(said)
-    orders = table(spark, sf_dir, "orders").filter("o_custkey IS NOT NULL").select(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("session"), F.col("o_orderdate").cast("timestamp").alias("ts"), k, said.alias("said"))
+    orders = table(spark, sf_dir, "orders").filter("o_custkey IS NOT NULL").select(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("session"), F.col("o_orderdate").cast("timestamp").alias("ts"), k, "o_orderstatus")
     along = Window.partitionBy("session").orderBy("ts", "o_orderkey")
+    orders = orders.repartition(tasks, "session").withColumns({"r": F.row_number().over(along).cast("long"), "end": F.lead("ts").over(along).isNull()})
     half = (F.length("said") / 2).cast("int")
-    orders = orders.select("session", "ts", F.row_number().over(along).cast("long").alias("r"), F.substr("said", F.lit(1), half).alias("a"), F.substr("said", half + 1).alias("b"), F.lead("ts").over(along).isNull().alias("end"))
-    before = F.lag("b").over(Window.partitionBy("session").orderBy("r"))
+    orders = orders.select("session", "ts", k, "r", "end", said.alias("said")).select("session", "ts", k, "r", "end", F.substr("said", F.lit(1), half).alias("a"), F.substr("said", half + 1).alias("b"))
     opening = _framed(F.lit('{"jsonrpc":"2.0","id":1,"result":{}}'))
-    own = F.struct((F.col("r") - 1).alias("seq"), F.concat(F.coalesce(before, opening), "a").alias("text"), F.lit(False).alias("last"))
+    orders = orders.withColumn("before", F.coalesce(F.lag("b").over(along), opening))
+    own = F.struct((F.col("r") - 1).alias("seq"), F.concat("before", "a").alias("text"), F.lit(False).alias("last"))
     closing = F.struct(F.col("r").alias("seq"), F.col("b").alias("text"), F.lit(True).alias("last"))
     rows = orders.select("session", "ts", F.when(F.col("end"), F.array(own, closing)).otherwise(F.array(own)).alias("c"))
     return rows.select("session", "ts", F.inline("c")).select("session", "seq", F.encode("text", "UTF-8").alias("chunk"), "ts", "last")
 
 
+def _tasks(spark: SparkSession, sf_dir: str) -> int:
+    return tasks_for(table(spark, sf_dir, "orders"), _ORDERS_A_TASK)
+
+
 _PUBLISHED = """
 WITH t AS (SELECT 's' || o_custkey AS session, o_orderkey AS k, o_orderdate AS d, o_orderstatus AS s, coalesce(lead(o_orderdate) OVER w, o_orderdate) AS arrives, min(o_orderdate) OVER (PARTITION BY o_custkey) AS d0
   FROM orders WHERE o_custkey IS NOT NULL WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
@@ -55,13 +64,14 @@ def _diagnostics(entries: DataFrame) -> DataFrame:
 
 @query(_PUBLISHED)
 def q_session_published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diagnostics(frames.published(_chunks(spark, sf_dir), _SETTLE))
+    tasks = _tasks(spark, sf_dir)
+    return _diagnostics(frames.published(_chunks(spark, sf_dir, tasks), _SETTLE, tasks=tasks))
 
 
 @query(_PUBLISHED)
 def q_session_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As a stream in two runs: chunks of the first years, and then also those of the others."""
-    folder, chunks = work_folder(spark), _chunks(spark, sf_dir)
+    folder, chunks = work_folder(spark), _chunks(spark, sf_dir, _tasks(spark, sf_dir))
     late = F.year("ts") >= 1998
     old = {k: spark.conf.get(k, None) for k in frames.STORE}
     try:
