@@ -104,6 +104,68 @@ def test_gap_stops_a_session_and_empty_tables(spark):
     assert found(frames.published(chunks.limit(0))) == set()
 
 
+def test_a_task_sorts_a_bounded_share(spark, monkeypatch):
+    """Sessions are dealt out by the number of their chunks, not by their size in the shuffle."""
+    monkeypatch.setattr(frames, "CHUNKS_A_TASK", 10)
+    rows, want = sessions(6)
+    out = frames.published(spark.createDataFrame(rows, frames.CHUNKS))
+    assert out.rdd.getNumPartitions() == max(8, -(-len(rows) // 10)) > 8
+    assert found(out) == want
+
+
+class Kept(dict):
+    """A state variable that counts what is put into it."""
+
+    puts = 0
+
+    def get(self):
+        return super().get(())
+
+    exists = dict.__len__
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def updateValue(self, key, value):
+        self.puts += 1
+        self[key] = value
+
+    def containsKey(self, key):
+        return key in self
+
+    getValue = dict.__getitem__
+    removeKey = dict.pop
+
+
+class Handle(dict):
+    def getValueState(self, name, _):
+        return self.setdefault(name, Kept())
+
+    def getMapState(self, name, *_):
+        return self.setdefault(name, Kept())
+
+    def registerTimer(self, at):
+        self.setdefault("timers", []).append(at)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (0, 2, 1)])
+def test_a_session_that_comes_at_once_keeps_no_entries(order):
+    """Its entries are given out as they are read; only that it is over is remembered, and that with one timer."""
+    data = frame({"id": 1}) + frame(publish("a.rs", entry(0, "A", "x"))), frame(publish("a.rs", entry(0, "A", "y"))), frame(publish("b.rs", entry(0, "B", "z")))
+    row = type("R", (), {})
+    rows = []
+    for k in order:
+        r = row()
+        r.seq, r.chunk, r.ms, r.last = k, data[k], 1000 + k, k == 2
+        rows.append(r)
+    handle, state = Handle(), frames._Settling(15_000, 10_000, 60_000)
+    state.init(handle)
+    got = [json.loads(r["json"])["diagnostics"][0]["message"] for r in state.handleInputRows(("s",), iter(rows), None)]
+    assert sorted(got) == ["y", "z"] and handle["entries"].puts == 0 and not handle["early"]
+    assert handle["head"].puts == 1 and handle["timers"] == [1000 + 15_000 + 60_000]
+    assert list(state.handleInputRows(("s",), iter(rows), None)) == []
+
+
 @pytest.fixture
 def store(spark):
     old = {k: spark.conf.get(k, None) for k in frames.STORE}
