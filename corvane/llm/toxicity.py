@@ -48,8 +48,10 @@ L2 = 2e-4
 #: Texts that share a step of the forward-backward pass, and bytes of text taken at once so that there are enough of them.
 SIDE = 256
 RUN = 1 << 20
+#: The same of the sample, whose features are gathered on the driver.
+FIT_RUN = 1 << 18
 #: Pieces of the sample whose marginals are held at once by the fit.
-STEP = 2048
+STEP = 512
 #: Longest text of a step times the texts beside it, at most.
 CELLS = 1 << 20
 
@@ -141,7 +143,7 @@ def _curve_inputs(p: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 def _features(texts: pa.Array) -> Iterator[tuple[int, K.Words, np.ndarray]]:
     """Runs of texts with the index of their first text, so that no more than one run's features are held."""
-    for run in K.runs(texts, RUN):
+    for run in K.runs(texts, FIT_RUN):
         w = K.words(run, K.NOT_ALNUM)
         yield run.first, w, features(w)
 
@@ -257,11 +259,12 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Field:
 
     # Features that hardly any toxic document has tell nothing; index 0 stands for them.
     keys = np.unique(np.append(_often(texts.filter(pa.array(toxic)), SEED_DOCS) & ~OFTEN, np.uint64(0)))
+    number = np.min_scalar_type(len(keys))  # the largest table of the fit holds such numbers
     rows, marks, beside = [], [], [np.zeros(0, np.uint64)]
     for first, w, f in _features(texts):
         at = np.searchsorted(keys, f)
         at[at == len(keys)] = 0
-        at = np.where(keys[at] == f, at, 0).astype(np.int32)
+        at = np.where(keys[at] == f, at, 0).astype(number)
         doc = w.doc()
         hits = np.isin(f, seed).any(1)
         beside.append(np.unique(f[hits]))
@@ -269,7 +272,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Field:
         pieces = -(-np.diff(w.ptr) // PIECE)  # of each text
         place = np.arange(len(doc)) - w.ptr[doc]
         piece = (np.cumsum(pieces) - pieces)[doc] + place // PIECE
-        row, m = np.zeros((int(pieces.sum()), PIECE, len(KINDS)), np.int32), np.full((int(pieces.sum()), PIECE), -1, np.int8)
+        row, m = np.zeros((int(pieces.sum()), PIECE, len(KINDS)), number), np.full((int(pieces.sum()), PIECE), -1, np.int8)
         row[piece, place % PIECE], m[piece, place % PIECE] = at, mark
         rows.append(row)
         marks.append(m)
