@@ -78,6 +78,19 @@ def test_suffix_join(spark):
     assert got == {(t, x) for t in texts for x in leaves if x and t.endswith(x)}
 
 
+def test_words_are_lower_cased_by_sentence(spark):
+    """One pass lower-cases a whole sentence, ASCII letters only, and stop words are taken off the facts alone."""
+    texts = ["Reads THE Cache. Über ÄRGER. \u0130stanbul \u212aelvin Temp", "The And For.", "ABC_d 12é4 ab", None, ""]
+    facts = spark.createDataFrame([([("a", "the cache and Ärger"), ("b", "TEMP the"), ("c", "and for")],)], "facts array<struct<id:string,content:string>>")
+    cases = gate.verdicts(spark.createDataFrame([(t,) for t in texts], "t string").crossJoin(gate.tokenised(facts, "facts")), "t", "facts")
+    got = {r["t"]: [(v["claim"], v["supporting_fact_ids"]) for v in r["verdicts"] or []] for r in cases.collect()}
+    assert got == {texts[0]: [("Reads THE Cache.", ["a"]), ("Über ÄRGER.", ["a"]), ("\u0130stanbul \u212aelvin Temp", ["b"])], texts[1]: [("The And For.", [])], texts[2]: [(texts[2], [])], None: [], "": []}
+    words = spark.createDataFrame([(t,) for t in texts[:3]], "t string").select(gate.tokens(F.col("t")).alias("k")).collect()
+    assert [r["k"] for r in words] == [["reads", "cache", "Über", "Ärger", "\u0130stanbul", "\u212aelvin", "temp"], [], ["abc_d", "12é4"]]
+    plan = spark.createDataFrame([("x", [("a", "x", ["x"])])], "t string, facts array<struct<id:string,content:string,tokens:array<string>>>")
+    assert "array_except" not in gate.verdicts(plan, "t", "facts")._jdf.queryExecution().analyzed().toString()
+
+
 def _slice(statements, origin, hops, backward):
     mine, theirs = ("w", "r") if backward else ("r", "w")
     names, taken = set(statements[origin][theirs]), [origin]
