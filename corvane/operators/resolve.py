@@ -75,7 +75,9 @@ def unknown_imports(imports: DataFrame, packages: DataFrame, present: DataFrame,
     names as written and with underscores for hyphens, JavaScript by top-level package.
     """
     m = F.col("module")
-    refs = imports.withColumn("_eco", ecosystem(F.col("language"))).join(present.select(F.col("ecosystem").alias("_eco")).distinct(), "_eco", "left_semi")
+    # At most three rows; a shuffle would deal all imports out by as many keys.
+    there = present.select(F.col("ecosystem").alias("_eco")).filter(F.col("_eco").isin("python", "js", "rust")).distinct()
+    refs = imports.withColumn("_eco", ecosystem(F.col("language"))).join(F.broadcast(there), "_eco", "left_semi")
     node_head = F.split_part(F.regexp_replace(m, "^node:", ""), F.lit("/"), F.lit(1))
     builtin = (
         F.when(F.col("_eco") == "python", m.isin(*python_modules(compat)) | m.startswith(".") | (m == ""))

@@ -91,6 +91,22 @@ def test_words_are_lower_cased_by_sentence(spark):
     assert "array_except" not in gate.verdicts(plan, "t", "facts")._jdf.queryExecution().analyzed().toString()
 
 
+def test_imports_are_not_dealt_out_by_ecosystem(spark):
+    """Three ecosystems are three keys, which may not gather the imports in three tasks."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("python", "nope"), ("python", "mine"), ("typescript", "left"), ("tsx", "right"), ("rust", "crate_a"), (None, "x")]
+        imports = spark.createDataFrame(rows, "language string, module string")
+        named = lambda r: spark.createDataFrame(r, "ecosystem string, name string")
+        present = spark.createDataFrame([("python",), ("js",), ("js",), ("other",)], "ecosystem string")
+        out = resolve.unknown_imports(imports, named([("js", "left")]), present, named([("python", "mine")]))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi, BuildRight" in plan
+        assert sorted(tuple(r) for r in out.collect()) == [("python", "nope"), ("tsx", "right")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def _slice(statements, origin, hops, backward):
     mine, theirs = ("w", "r") if backward else ("r", "w")
     names, taken = set(statements[origin][theirs]), [origin]
