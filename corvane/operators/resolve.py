@@ -46,11 +46,13 @@ def unresolved(refs: DataFrame, *catalogs: tuple[Column | str, DataFrame, str])
 
     Each catalogue is ``(key of a reference, names, their column)``.  Every one becomes its own anti-join on an equality, never
     one join with OR, which could only be a nested loop.  A null key is found in no catalogue.
+
+    Names are shuffled and never broadcast: what a plan takes for their size is that of the columns they are made of, which may be a hundredth of theirs.
     """
     out = refs
     for k, (key, names, column) in enumerate(catalogs):
         name = f"_name{k}"
-        known = names.select(F.col(column).alias(name)).distinct()
+        known = names.select(F.col(column).alias(name)).distinct().hint("merge")
         out = out.join(known, (F.col(key) if isinstance(key, str) else key) == F.col(name), "left_anti")
     return out
 
@@ -88,8 +90,10 @@ def unknown_imports(imports: DataFrame, packages: DataFrame, present: DataFrame,
     tag = lambda name: F.concat_ws("\u0001", F.col("_eco"), name)
     raw, norm, local = import_names(F.col("_eco"), m)
     declared = packages.select(F.concat_ws("\u0001", "ecosystem", "name").alias("name"))
-    own = local_modules.select(F.concat_ws("\u0001", "ecosystem", "name").alias("name"))
-    return unresolved(refs, (tag(raw), declared, "name"), (tag(norm), declared, "name"), (F.when(local.isNotNull(), tag(local)), own, "name")).drop("_eco")
+    own = local_modules.filter(F.col("ecosystem").isin("python", "rust")).select(F.concat_ws("\u0001", "ecosystem", "name").alias("name"))
+    # What can't be local has a key that no module has; nulls would all be shuffled to one task.
+    as_local = F.when(local.isNotNull(), tag(local)).otherwise(F.concat(F.lit("\u0001"), m))
+    return unresolved(refs, (tag(raw), declared, "name"), (tag(norm), declared, "name"), (as_local, own, "name")).drop("_eco")
 
 
 def local_module(path: Column) -> Column:

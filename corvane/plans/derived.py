@@ -117,8 +117,10 @@ def _unknown_sql() -> str:
 def q_unknown_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     lang = F.get(F.array(*map(F.lit, _MODULES)), (F.col("l_linenumber") % 3).cast("int"))
-    each = [F.array(*(_filled(p, "l_partkey") for p in modules)) for modules in _MODULES.values()]
-    module = F.get(F.get(F.array(*each), (F.col("l_linenumber") % 3).cast("int")), (F.col("l_partkey") % 12).cast("int"))
+    # The pattern is chosen before it is filled: a plan that repeats the expression then makes one text and not all of them.
+    each = F.array(*(F.array(*map(F.lit, modules)) for modules in _MODULES.values()))
+    pattern = F.get(F.get(each, (F.col("l_linenumber") % 3).cast("int")), (F.col("l_partkey") % 12).cast("int"))
+    module = F.replace(pattern, F.lit("{k}"), F.col("l_partkey").cast("string"))
     imports = lines.select("l_orderkey", "l_linenumber", lang.alias("language"), module.alias("module"))
     small = table(spark, sf_dir, "part").filter("p_size <= 25")
     named = [F.struct(F.lit(eco).alias("ecosystem"), _filled(p, "p_partkey").alias("name")) for eco, ps in _DECLARED.items() for p in ps]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corvane.operators import rules, twigs
+from corvane.operators import resolve, rules, twigs
 from corvane.parse import python_units, udtf
 from corvane.plans import trees
 
@@ -35,3 +35,20 @@ def test_conditions_are_those_of_the_patterns():
     some = python_units.nodes(source, keep)
     assert some == [n for n in every if keep(n["kind"], n["word"], n["n"])]
     assert {n["word"] for n in some} >= {"def", "raise", "requests.get", "verify", "open"}
+
+
+def test_names_of_a_catalogue_are_not_broadcast(spark):
+    """Their plan's size is that of the few numbers they are made of; what can't be a local module isn't one key."""
+    names = spark.range(1000).select(F.lit("js").alias("ecosystem"), F.concat(F.lit("a"), "id").alias("name"))
+    imports = spark.range(3000).select(F.lit("a.ts").alias("file"), F.lit("typescript").alias("language"), F.concat(F.lit("a"), "id").alias("module"))
+    present = spark.createDataFrame([("js",)], "ecosystem string")
+    own = spark.createDataFrame([("python", "a5"), ("js", "a2000")], "ecosystem string, name string")
+    found = resolve.unknown_imports(imports, names, present, own)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        by_task = _rows_by_task(resolve.unknown_imports(imports, names, present, own))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(by_task) == 2000 and max(by_task) < 1000  # null keys were all one task's
