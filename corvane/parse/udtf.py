@@ -34,6 +34,23 @@ def parse(language: str, source: str):
         return model.Parsed()
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """Lists and dictionaries as Arrow, a column of plain values at a time."""
+    if pa.types.is_list(kind):
+        ends, flat = [0], []
+        for v in values:
+            flat += v
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _column(flat, kind.value_type), type=kind)
+    if pa.types.is_struct(kind):
+        return pa.StructArray.from_arrays([_column([v[f.name] for v in values], f.type) for f in kind], fields=list(kind))
+    return pa.array(values, kind)
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_column([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _arrow_schema()
     for batch in batches:
@@ -42,7 +59,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in batch.slice(at, 64).to_pylist():
                 p = parse(r["language"], r["source"] or "")
                 rows.append({"path": r["path"], "language": r["language"], **p.__dict__})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield _batch(rows, schema)
 
 
 def _arrow_schema() -> pa.Schema:
@@ -101,7 +118,7 @@ def _nodes(only: dict[str, list[tuple[str, str | None, int | None]]] | None):
                     except RecursionError:
                         rows_of = []
                     rows.append({"path": r["path"], "language": lang, "nodes": rows_of})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield _batch(rows, schema)
 
     return found
 

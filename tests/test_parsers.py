@@ -5,11 +5,12 @@ import random
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corvane.parse import python_units, rust_units, ts_units
+from corvane.parse import python_units, rust_units, ts_units, udtf
 
 
 def cc(parser, source):
@@ -148,3 +149,22 @@ def test_long_lines_and_deep_nesting():
     deep = "x = " + "(" * 300 + "1" + ")" * 300
     assert python_units.parse("def f():\n  " + deep).functions[0]["cc"] == 0
     assert python_units.parse("def f():\n  return " + " or ".join(["a"] * 5000)).functions[0]["cc"] == 1
+
+
+def test_lines_that_read_the_same_are_looked_at_once(monkeypatch):
+    seen = []
+    looked = python_units.expression
+    monkeypatch.setattr(python_units, "expression", lambda items, nesting: seen.append(1) or looked(items, nesting))
+    body = "    if a and not b:\n        g(a, b).h(1)\n" * 500
+    p = python_units.parse(f"def f(a, b):\n{body}    return a\n;\n  x = (1,\n  # no\n  2) ; y = 'p'\n{body}")
+    assert p.functions[0]["cc"] == 1000 and p.functions[0]["callees"] == ["g(a, b).h", "g"]
+    assert len(p.calls) == 1000 and p.calls[499]["range"] == {"start": {"line": 1000, "col": 8}, "end": {"line": 1000, "col": 15}}
+    assert len(seen) < 50  # before, each line's expressions were walked again
+
+
+def test_columns_are_those_of_the_rows():
+    sources = ["import a\ndef f(x, *y):\n    if x:\n        return g(x)\n", "", "def (", "class K:\n    def m(self): self.n = [1]\n"]
+    rows = [{"path": str(k), "language": "python", **python_units.parse(s).__dict__} for k, s in enumerate(sources)]
+    schema = udtf._arrow_schema()
+    assert udtf._batch(rows, schema).equals(pa.RecordBatch.from_pylist(rows, schema=schema))
+    assert udtf._batch([], schema).num_rows == 0
