@@ -113,8 +113,7 @@ class Api:
 
     def _scan(self, params: dict):
         if self._ws is not None:
-            self._ws.sources.unpersist()
-            self._ws.parsed.unpersist()
+            self._ws.release()
         self._ws = self.open()
 
     def _invalidate(self, params: dict):

@@ -7,20 +7,28 @@ from pyspark.sql import functions as F
 
 from corvane.operators import latest
 from corvane.parse import udtf
+from corvane.shipping import tasks_for
 
 #: Results of another version are never reused.
 ANALYZER_VERSION = "1"
+#: Files that a task parses, about: some MB of text.
+FILES_A_TASK = 5_000
 
 
-def _representatives(files: DataFrame) -> DataFrame:
-    """One file for each content and language; only names are compared, texts stay where they are."""
+def tasks(files: DataFrame) -> int:
+    """Tasks to which the counted files are dealt out; joined by their size in the shuffle, where texts and what is parsed of them are a small part of what they are in memory, a task's share would grow with the tree."""
+    return tasks_for(files, FILES_A_TASK)
+
+
+def _representatives(files: DataFrame, many: int) -> DataFrame:
+    """One file for each content and language, in so many tasks; only names are compared."""
     one = files.groupBy("blob_sha", "language").agg(F.min("path").alias("path"))
-    return files.join(one.select("path"), "path", "left_semi")
+    return files.repartition(many, "path").join(one.select("path").repartition(many, "path"), "path", "left_semi")
 
 
-def parse_once(files: DataFrame) -> DataFrame:
-    """``(blob_sha, language, functions, ...)`` for each distinct content."""
-    todo = _representatives(files).select(F.col("blob_sha").alias("path"), "language", "source")
+def parse_once(files: DataFrame, many: int | None = None) -> DataFrame:
+    """``(blob_sha, language, functions, ...)`` for each distinct content, parsed by so many tasks."""
+    todo = _representatives(files, many or tasks(files)).select(F.col("blob_sha").alias("path"), "language", "source")
     return udtf.parsed(todo).withColumnRenamed("path", "blob_sha")
 
 
@@ -41,10 +49,10 @@ class Silver:
             return None
         return self.spark.read.parquet(self.path)
 
-    def parsed(self, files: DataFrame) -> DataFrame:
+    def parsed(self, files: DataFrame, many: int | None = None) -> DataFrame:
         """Parses what is new, and returns the parsed contents of all files by hash and language."""
         known = self.known()
-        todo = _representatives(files)
+        todo = _representatives(files, many or tasks(files))
         if known is not None:
             todo = todo.join(known.select("blob_sha", "language").distinct(), ["blob_sha", "language"], "left_anti")
         fresh = udtf.parsed(todo.select(F.col("blob_sha").alias("path"), "language", "source")).withColumnRenamed("path", "blob_sha")

@@ -6,6 +6,7 @@ Everything is lazy.  Contents are parsed in one pass, once for each distinct con
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,9 +73,9 @@ class Workspace:
         self.manifest_files = text.filter(F.col("path").isin(*manifests.MANIFESTS))
         self.packages = manifests.packages(self.manifest_files, compat=self.semantics.compat)
         self.shaders = manifests.shader_symbols(text)
-        parsed = silver.parsed(self.sources) if silver else store.parse_once(self.sources)
-        self.parsed = self.sources.select("path", "language", "blob_sha", "loc").join(parsed, ["blob_sha", "language"]).persist()
         self._scores: dict[str, DataFrame] = {}
+        if silver:
+            self.parsed  # noqa: B018  (what is new is stored now)
 
     @classmethod
     def scan(cls, spark: SparkSession, root: str, **options) -> Workspace:
@@ -82,6 +83,13 @@ class Workspace:
         extensions = tuple(e for ends in schemas.LANGUAGES.values() for e in ends) + _SHADERS
         return cls(tree.read(spark, root, extensions, tuple(manifests.MANIFESTS)), root=root, **options)
 
+    @cached_property
+    def parsed(self) -> DataFrame:
+        """What the front ends find in each file; files are counted for the number of tasks."""
+        many, on = store.tasks(self.sources), ["blob_sha", "language"]
+        found = self.silver.parsed(self.sources, many) if self.silver else store.parse_once(self.sources, many)
+        return self.sources.select("path", "language", "blob_sha", "loc").repartition(many, *on).join(found.repartition(many, *on), on).persist()
+
     # --- relations ---------------------------------------------------------------------------------------------
 
     def _exploded(self, column: str) -> DataFrame:
@@ -187,7 +195,9 @@ class Workspace:
         functions = self.functions()
         hall = self.unknown_imports().groupBy("file").agg(F.count(F.lit(1)).alias("hallucinated"))
         fan = fanin.fan_in(functions)
-        units = functions.join(fan, "symbol_id", "left").join(hall, "file", "left").join(self.churn().withColumnRenamed("path", "file").withColumnRenamed("churn_loc", "churn"), "file", "left")
+        churn = self.churn().withColumnRenamed("path", "file").withColumnRenamed("churn_loc", "churn")
+        # Never broadcast: a plan takes them for as small as the columns that their texts are made of.
+        units = functions.join(fan.hint("merge"), "symbol_id", "left").join(hall.hint("merge"), "file", "left").join(churn.hint("merge"), "file", "left")
         units = units.fillna(0, ["fan_in", "hallucinated", "churn"]).withColumns({"fan_out": fanin.fan_out(F.col("callees")), "diagnostics": F.lit(0), "untested": F.lit(False)})
         return health.unit_scores(units, self.semantics.weights)
 
@@ -199,7 +209,7 @@ class Workspace:
         if kind == "symbol":
             return health.ranked(units.withColumn("dominant", health.dominant()), "symbol_id", limit)
         counts = diagnostics.per_file(self.all_diagnostics())
-        files = self.sources.select(F.col("path").alias("file"), "loc", "language").join(counts, "file", "left").fillna(0, ["diagnostics", "errors", "hallucinated"])
+        files = self.sources.select(F.col("path").alias("file"), "loc", "language").join(counts.hint("merge"), "file", "left").fillna(0, ["diagnostics", "errors", "hallucinated"])
         scores = health.file_scores(files, units)
         return health.ranked(scores.withColumn("dominant", health.dominant()), "file", limit)
 
@@ -308,9 +318,14 @@ class Workspace:
         rows.append(("rules", True, f"{len(rules.RULES) - len(structural)} by pattern, {len(structural)} by tree patterns"))
         return self.spark.createDataFrame(rows, schemas.CAPABILITIES)
 
+    def release(self) -> None:
+        """Drop what is cached."""
+        self.sources.unpersist()
+        if "parsed" in self.__dict__:
+            self.parsed.unpersist()
+
     def invalidate(self) -> None:
         """Drop what is cached, and the parsed contents of a store."""
-        self.sources.unpersist()
-        self.parsed.unpersist()
+        self.release()
         if self.silver:
             self.silver.invalidate()

@@ -38,8 +38,7 @@ class LiveWorkspace:
         old = before if before is not None else self.spark.createDataFrame([], schemas.DIAGNOSTICS)
         told = changes.events_of(old, now).unionByName(self.spark.createDataFrame([("healthUpdated", None)], "type string, file string"))
         told.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/events")
-        ws.sources.unpersist()
-        ws.parsed.unpersist()
+        ws.release()
 
     def follow(self, feed: DataFrame, trigger: dict | None = None) -> StreamingQuery:
         return changes.follow(feed, self.rebuild, f"{self.folder}/progress", trigger)

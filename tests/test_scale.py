@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import resolve, rules, twigs
 from corvane.parse import python_units, udtf
-from corvane.plans import trees
+from corvane.plans import store, trees
 
 
 def _rows_by_task(df):
@@ -52,3 +52,13 @@ def test_names_of_a_catalogue_are_not_broadcast(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(by_task) == 2000 and max(by_task) < 1000  # null keys were all one task's
+
+
+def test_files_are_parsed_in_counted_tasks_and_churn_is_not_broadcast(spark, tmp_path, monkeypatch):
+    k = F.col("id")
+    spark.range(400).select(k.alias("p_partkey"), (k % 50 + 1).cast("int").alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(store, "FILES_A_TASK", 20)
+    ws = trees._workspace(spark, str(tmp_path))
+    sizes = _rows_by_task(ws.parsed.select("path"))
+    assert sum(sizes) == 400 and max(sizes) < 60  # joined by their size in the shuffle, one task's before
+    assert "BroadcastHashJoin [file" not in ws.red_functions()._jdf.queryExecution().executedPlan().toString()
