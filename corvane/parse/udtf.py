@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,13 +24,16 @@ PARSED = (
 NODES = f"path string, language string, nodes array<{NODE}>"
 
 
-def parse(language: str, source: str):
-    """The front end's result for one file; an empty one for an unknown language, or brackets nested thousands deep."""
+def parse(language: str, source: str, bodies: bool = True):
+    """The front end's result for one file; an empty one for an unknown language, or brackets nested thousands deep.  Without ``bodies`` it has no statements of functions."""
     from corvane.parse import model, python_units, rust_units, ts_units
 
-    ends = {"python": python_units.parse, "typescript": ts_units.parse, "tsx": ts_units.parse, "rust": rust_units.parse}
+    ends = {"typescript": ts_units.parse, "tsx": ts_units.parse, "rust": rust_units.parse}
     try:
-        return ends[language](source) if language in ends else model.Parsed()
+        if language == "python":
+            return python_units.parse(source, bodies)
+        found = ends[language](source) if language in ends else model.Parsed()
+        return found if bodies else replace(found, bodies=[])
     except RecursionError:
         return model.Parsed()
 
@@ -51,15 +55,18 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_column([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = _arrow_schema()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            rows = []
-            for r in batch.slice(at, 64).to_pylist():
-                p = parse(r["language"], r["source"] or "")
-                rows.append({"path": r["path"], "language": r["language"], **p.__dict__})
-            yield _batch(rows, schema)
+def _parsed(bodies: bool):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _arrow_schema()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for r in batch.slice(at, 64).to_pylist():
+                    p = parse(r["language"], r["source"] or "", bodies)
+                    rows.append({"path": r["path"], "language": r["language"], **p.__dict__})
+                yield _batch(rows, schema)
+
+    return found
 
 
 def _arrow_schema() -> pa.Schema:
@@ -79,10 +86,10 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([("path", text), ("language", text), *((k, pa.list_(pa.struct(v))) for k, v in lists.items())])
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """``files(path, language, source)`` → ``PARSED``: one call of a front end for each row, in Arrow batches."""
+def parsed(files: DataFrame, bodies: bool = True) -> DataFrame:
+    """``files(path, language, source)`` → ``PARSED``: one call of a front end for each row, in Arrow batches.  ``bodies`` are most of what is found; without them the column is empty."""
     ship(files.sparkSession)
-    return files.select("path", "language", F.col("source").cast("string").alias("source")).mapInArrow(_parsed, PARSED)
+    return files.select("path", "language", F.col("source").cast("string").alias("source")).mapInArrow(_parsed(bodies), PARSED)
 
 
 def _kept(conditions: list[tuple[str, str | None, int | None]]):

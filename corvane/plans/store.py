@@ -26,10 +26,10 @@ def _representatives(files: DataFrame, many: int) -> DataFrame:
     return files.repartition(many, "path").join(one.select("path").repartition(many, "path"), "path", "left_semi")
 
 
-def parse_once(files: DataFrame, many: int | None = None) -> DataFrame:
+def parse_once(files: DataFrame, many: int | None = None, bodies: bool = True) -> DataFrame:
     """``(blob_sha, language, functions, ...)`` for each distinct content, parsed by so many tasks."""
     todo = _representatives(files, many or tasks(files)).select(F.col("blob_sha").alias("path"), "language", "source")
-    return udtf.parsed(todo).withColumnRenamed("path", "blob_sha")
+    return udtf.parsed(todo, bodies).withColumnRenamed("path", "blob_sha")
 
 
 class Silver:

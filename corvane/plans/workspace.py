@@ -85,15 +85,24 @@ class Workspace:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        """What the front ends find in each file; files are counted for the number of tasks."""
+        """What the front ends find in each file; without a store, bodies are left to ``_with_bodies``, as only slices look at them and they are most of it."""
+        return self._found(False)
+
+    @cached_property
+    def _with_bodies(self) -> DataFrame:
+        return self.parsed if self.silver else self._found(True)
+
+    def _found(self, bodies: bool) -> DataFrame:
+        """Files are counted for the number of tasks."""
         many, on = store.tasks(self.sources), ["blob_sha", "language"]
-        found = self.silver.parsed(self.sources, many) if self.silver else store.parse_once(self.sources, many)
+        found = self.silver.parsed(self.sources, many) if self.silver else store.parse_once(self.sources, many, bodies)
         return self.sources.select("path", "language", "blob_sha", "loc").repartition(many, *on).join(found.repartition(many, *on), on).persist()
 
     # --- relations ---------------------------------------------------------------------------------------------
 
     def _exploded(self, column: str) -> DataFrame:
-        return self.parsed.select(F.col("path").alias("file"), "language", F.posexplode(column).alias("ord", "_r")).select("file", "language", "_r.*", "ord")
+        parsed = self._with_bodies if column == "bodies" else self.parsed
+        return parsed.select(F.col("path").alias("file"), "language", F.posexplode(column).alias("ord", "_r")).select("file", "language", "_r.*", "ord")
 
     def symbol_id(self, file: Column, name: Column) -> Column:
         return F.concat(F.lit(f"local . {self.semantics.scheme} "), file, F.lit(" "), name, F.lit("#."))
@@ -321,8 +330,9 @@ class Workspace:
     def release(self) -> None:
         """Drop what is cached."""
         self.sources.unpersist()
-        if "parsed" in self.__dict__:
-            self.parsed.unpersist()
+        for kept in ("parsed", "_with_bodies"):
+            if kept in self.__dict__:
+                self.__dict__[kept].unpersist()
 
     def invalidate(self) -> None:
         """Drop what is cached, and the parsed contents of a store."""

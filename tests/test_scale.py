@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from corvane.operators import resolve, rules, twigs
 from corvane.parse import python_units, udtf
 from corvane.plans import store, trees
+from corvane.plans.workspace import Workspace
+from tests.conftest import tree_of
 
 
 def _rows_by_task(df):
@@ -62,3 +64,12 @@ def test_files_are_parsed_in_counted_tasks_and_churn_is_not_broadcast(spark, tmp
     sizes = _rows_by_task(ws.parsed.select("path"))
     assert sum(sizes) == 400 and max(sizes) < 60  # joined by their size in the shuffle, one task's before
     assert "BroadcastHashJoin [file" not in ws.red_functions()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bodies_are_made_for_slices_only(spark):
+    files = {"a.py": "def f(x):\n    y = x\n    return y\n", "b.ts": "function g(x) { const y = x; return y }\n"}
+    ws = Workspace(tree_of(spark, files))
+    assert {r["n"] for r in ws.parsed.select(F.size("bodies").alias("n")).collect()} == {0}
+    assert {r["name"] for r in ws.functions().select("name").collect()} == {"f", "g"}
+    assert {(r["name"], r["n"]) for r in ws.bodies().select("name", F.size("statements").alias("n")).collect()} == {("f", 2), ("g", 2)}
+    ws.release()
