@@ -1,6 +1,6 @@
 """A source tree as tables, and the questions that can be asked of it.
 
-Everything is lazy.  Contents are parsed in one pass, once for each distinct content; all other steps are joins and aggregates.
+Everything is lazy; files are counted when something parsed is first asked for.  Contents are parsed in one pass, once for each distinct content, and in another for slices; all other steps are joins and aggregates.
 """
 
 from __future__ import annotations
